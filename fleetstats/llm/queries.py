@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import chat, langid, packing, quality, url_filter, warc
+from . import chat, decontamination, jaccard_join, langid, packing, quality, url_filter, warc
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op4_quality": quality.op4_quality,
     "op5_chat_format": chat.op5_chat_format,
     "op6_language_id": langid.op6_language_id,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_warc": warc.op8_warc,
+    "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {
+    "op2_decontamination": decontamination.ORACLE,
     "op4_quality": quality.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
