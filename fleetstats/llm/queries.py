@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard_join, langid, packing, quality, suffix_dedup, url_filter, warc
+from . import chat, decontamination, jaccard_join, langid, packing, paragraph_dedup, quality, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_substring_dedup": paragraph_dedup.op3_substring_dedup,
     "op4_quality": quality.op4_quality,
     "op5_chat_format": chat.op5_chat_format,
     "op6_language_id": langid.op6_language_id,

@@ -393,15 +393,23 @@ def covered_spans(docs: DataFrame) -> DataFrame:
     return marks.where("NOT open").select("doc_id", "span").unionByName(compared)
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:long,end:long>>"
+RESULT = "n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:long,end:long>>"
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _remove(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
+    """The columns before the text and spans, then RESULT."""
     names = [x.split()[0] for x in RESULT.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
     for b in batches:
-        rows, held = [], 0
-        for doc, text, spans in zip(*(b[x].to_pylist() for x in ("doc_id", "text", "spans")), strict=True):
+        carried = b.schema.names[:-2]
+        rows, held, at_row = [], 0, 0
+
+        def flush(n: int, b=b, carried=carried) -> pa.RecordBatch:
+            part = b.slice(n - len(rows), len(rows))
+            return pa.RecordBatch.from_arrays([*part.columns[:-2], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*carried, *names])
+
+        for text, spans in zip(b[-2].to_pylist(), b[-1].to_pylist(), strict=True):
+            at_row += 1
             data = (text or "").encode("utf-8", "surrogatepass")
             removed: list[list[int]] = []
             for span in sorted(spans or ()):
@@ -417,20 +425,26 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for begin, end in removed:
                 kept.append(data[at:begin])
                 at = end
-            kept = b"".join([*kept, data[at:]]) if removed else data
-            rows.append((doc, len(data), len(data) - len(kept), len(removed), kept, [{"begin": x, "end": y} for x, y in removed]))
+            left = b"".join([*kept, data[at:]]) if removed else data
+            rows.append((len(data), len(data) - len(left), len(removed), left.decode(errors="ignore") if as_text else left, [{"begin": x, "end": y} for x, y in removed]))
             held += len(data)
             if held > 8_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield flush(at_row)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield flush(at_row)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), removed (byte ranges) of every row."""
-    spans = covered_spans(docs).groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove, RESULT)
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes), removed (byte ranges) of every row; before these the columns in ``carry``.
+
+    ``as_text``: kept is a string, without the bytes that a cut inside a character leaves.
+    """
+    spans = covered_spans(docs).groupBy("doc_id").agg(F.collect_set("span").alias("_spans"))
+    rows = docs.select("doc_id", *carry, F.col("text").alias("_text")).join(spans, "doc_id", "left").select("doc_id", *carry, "_text", "_spans")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    result = RESULT.replace("kept binary", "kept string") if as_text else RESULT
+    return rows.mapInArrow(lambda batches: _remove(batches, as_text), f"{fields}, {result}")
 
 
 def op1_suffix_array_dedup(spark, sf_dir):
