@@ -1,4 +1,214 @@
-"""The registered queries of the fleet statistics and their SQL."""
+"""The registered queries of the fleet statistics."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracles
+from .functions import bins
+from .functions.ages import WINDOWS
+from .functions.bins import bin_case, bin_range_join, bins_table
+from .operators import catalog, history
+from .operators.registry import STATS
+from .plans import engine, publish, views
+from .sources import demo
+from .sources.landing import latest_report
+from .sources.shared import stored
+from .streaming.ingest import upload_status
+
+Query = Callable[[SparkSession, str], DataFrame]
+COUNTS = list(WINDOWS)
+#: 2024-02-01 00:00:00 UTC, later than every event of the small tables.
+EVENTS_AS_OF = oracles.EVENTS_AS_OF
+
+
+def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.snapshot(demo.reports(spark, sf_dir), demo.AS_OF)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts_ms", F.expr("unix_micros(cast(ts AS timestamp)) div 1000"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+
+
+def _stat(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return engine.summary(_current(spark, sf_dir), [STATS[name]])
+
+    return query
+
+
+def _view(spark: SparkSession, sf_dir: str, stat: str, **more) -> DataFrame:
+    return views.of(engine.summary(_current(spark, sf_dir), [STATS[stat]]), stat, **more)
+
+
+def summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.summary(stored(_current(spark, sf_dir)))
+
+
+def summary_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = [STATS[n] for n in ("platform", "version", "timeZone")]
+    return engine.summary_population(engine.summary(_current(spark, sf_dir), chosen), "False")
+
+
+def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publish.summary_json(summary_all(spark, sf_dir), demo.AS_OF)
+
+
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_report(demo.flat_reports(spark, sf_dir)).select("uuid", "ts", "report_id", "platform", "version")
+
+
+def latest_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_report(_events(spark, sf_dir), "user_id", "ts_ms", "event_id").select("user_id", "event_id", "ts_ms", "event_type")
+
+
+def not_docker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _current(spark, sf_dir).where("NOT is_docker").select("uuid", F.col("systemInfo.platform").alias("platform"), F.col("systemInfo.platformVariant").alias("variant"))
+
+
+def upload_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr(oracles.UPLOAD_TEXT)
+    return upload_status(_events(spark, sf_dir).select("event_id", text.alias("value"))).select("event_id", "status", "uuid")
+
+
+def count_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine.count_by_age(_events(spark, sf_dir), ["event_type"], "ts_ms", EVENTS_AS_OF)
+
+
+def bin_case_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(bin_case(F.col("l_quantity"), bins.PEERS).alias("quantity"), bin_case(F.col("l_extendedprice"), bins.CHANNELS).alias("price"))
+    return rows.groupBy("quantity", "price").agg(F.count(F.lit(1)).alias("n"))
+
+
+def bin_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_totalprice")
+    labelled = bin_range_join(orders, "o_totalprice", bins_table(spark, bins.CHANNELS), bins.CHANNELS.default, "o_orderkey")
+    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unique_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = demo.reports(spark, sf_dir)
+    return history.unique_by_month(reports, engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+
+
+def interarrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.interarrival(_events(spark, sf_dir), "user_id", "ts_ms").select("event_id", "user_id", "gap_seconds", "label_ref")
+
+
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.freshness(_events(spark, sf_dir), "ts_ms", EVENTS_AS_OF)
+
+
+def topk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.topk_view(_view(spark, sf_dir, "versionWithOS"), 15)
+
+
+def topk_plugins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.topk_view(_view(spark, sf_dir, "topPlugins", time="last180Days").where("n > 0"), 10)
+
+
+def pie_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.pie_view(_view(spark, sf_dir, "fppMode"))
+
+
+def dense_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = views.stat_order(spark, "outputLocalPixels", without=("Zero",))
+    return views.dense_bar(_view(spark, sf_dir, "outputLocalPixels", population="noDocker"), order)
+
+
+def table_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table_pct(_view(spark, sf_dir, "platformVariant", time="totalCount"), 6)
+
+
+def timezone_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.timezone_order(_view(spark, sf_dir, "timeZone", time="totalCount"))
+
+
+def period_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.period_options(engine.summary(_current(spark, sf_dir), [STATS["Instances"]]))
+
+
+def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", views.format_date(F.col("ts_ms")).alias("shown"))
+
+
+def _branches(orders: DataFrame) -> DataFrame:
+    """A customer is a branch, its last order the head."""
+    heads = orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
+    return heads.select(F.concat(F.lit("branch-"), F.col("o_custkey").cast("string")).alias("name"), (F.col("o_custkey") % 2 == 0).alias("protected"), F.struct(F.md5(F.col("k").cast("string").cast("binary")).alias("sha"), F.lit("").alias("url")).alias("commit"))
+
+
+def _commits(orders: DataFrame) -> DataFrame:
+    """An order is a commit; a fifth of them isn't known."""
+    known, sha = orders.where("o_orderkey % 5 != 0"), F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    date = F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return known.select(sha.alias("sha"), F.concat(F.lit("commits/"), sha).alias("url"), F.struct(F.col("o_orderpriority").alias("message"), F.struct(date.alias("date")).alias("author")).alias("commit"))
+
+
+def branch_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return catalog.branch_details(_branches(orders), _commits(orders))
+
+
+def missing_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    return catalog.missing_commits(_branches(orders), _commits(orders))
+
+
+def release_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.lit("")
+    releases = part.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("tag_name"), (F.col("p_size") % 2 == 0).alias("draft"), F.sequence(F.lit(1), F.col("p_size") % 7 + 1).alias("assets"),
+        *[text.alias(c) for c in catalog.RELEASE_DROPPED if c != "assets"],
+    )
+    return catalog.release_summary(releases)
+
+
+#: Query keys of the statistics.
+STAT_KEYS = {
+    "instances": "Instances", "platform": "platform", "platform_variant": "platformVariant", "platform_variant_breakout": "platformVariantBreakout", "version_major": "version",
+    "version_detailed": "versionDetailed", "version_with_os": "versionWithOS", "cape_installed": "capeInstalled", "cape_type": "capeType", "cape_release_version": "capeReleaseVersion",
+    "fpp_mode": "fppMode", "mqtt_enabled": "mqttEnabled", "ui_level": "uiLevel", "timezone": "timeZone", "last_reported": "lastReported", "device_memory": "deviceMemory",
+    "device_storage": "deviceStorage", "multisync_peers": "multisyncPeers", "output_local_pixels": "outputLocalPixels", "output_universes": "outputUniverses", "input_universes": "inputUniverses",
+    "output_panels": "outputPanels", "output_other": "outputOther", "output_processors": "outputProcessors", "settings_popular": "settingsPopular", "settings_values": "settingsValues",
+    "top_plugins": "topPlugins",
+}
+
+QUERIES: dict[str, Query] = {
+    "summary_all": summary_all,
+    "summary_population": summary_population,
+    "summary_json": summary_json,
+    "latest_report": latest,
+    "latest_event": latest_event,
+    "not_docker_filter": not_docker_filter,
+    "upload_status": upload_status_query,
+    "count_by_age": count_by_age,
+    "bin_case": bin_case_query,
+    "bin_range_join": bin_range_query,
+    **{key: _stat(name) for key, name in STAT_KEYS.items()},
+    "unique_by_month": unique_by_month,
+    "interarrival": interarrival,
+    "freshness": freshness,
+    "topk_view": topk_view,
+    "topk_plugins": topk_plugins,
+    "pie_view": pie_view,
+    "dense_bar": dense_bar,
+    "table_pct": table_pct,
+    "timezone_order": timezone_order,
+    "period_options": period_options,
+    "format_date": format_date,
+    "branch_details": branch_details,
+    "missing_commits": missing_commits,
+    "release_summary": release_summary,
+}
+ORACLE_SQL: dict[str, str] = oracles.build(STAT_KEYS)
