@@ -8,22 +8,18 @@ from pyspark.sql import functions as F
 
 def trim_master(v: Column) -> Column:
     """Keep up to the first ``-master`` that more text follows, unless it is at the start."""
-    at = F.instr(v, "-master-")
-    return F.when(at > 1, F.substring(v, F.lit(1), at + 6)).otherwise(v)
+    return F.regexp_replace(v, r"(?s)^(.+?-master)-.*$", "$1")
 
 
 def drop_dirty(v: Column) -> Column:
     """Without the first ``-dirty``."""
-    at = F.instr(v, "-dirty")
-    return F.when(at > 0, F.concat(F.substring(v, F.lit(1), at - 1), F.substring(v, at + 6, F.length(v)))).otherwise(v)
+    return F.regexp_replace(v, r"(?s)^(.*?)-dirty", "$1")
 
 
 def major(v: Column) -> Column:
     """``7.5-x`` becomes ``7.x``: up to the first hyphen, the major number alone if a minor one follows, then ``.x`` once."""
-    at = F.instr(v, "-")
-    head = F.when(at > 1, F.substring(v, F.lit(1), at - 1)).otherwise(v)
-    number = F.regexp_extract(head, r"^([0-9]+)\.[0-9]+", 1)
-    head = F.when(number != "", number).otherwise(head)
-    out = F.when(head == "Unknown", head).otherwise(F.concat(head, F.lit(".x")))
-    twice = F.regexp_extract(out, r"^([0-9]+)\.x\.x", 1)
-    return F.when(twice != "", F.concat(twice, F.lit(".x"))).otherwise(out)
+    head = F.regexp_replace(v, r"(?s)^([^-]+)-.*$", "$1")
+    head = F.regexp_replace(head, r"(?s)^([0-9]+)\.[0-9]+.*$", "$1")
+    # ".x" goes to everything but "Unknown"; twice, it counts once.
+    named = F.regexp_replace(head, r"(?s)^(?!Unknown$)(.*)$", "$1.x")
+    return F.regexp_replace(named, r"(?s)^([0-9]+)\.x\.x.*$", "$1.x")

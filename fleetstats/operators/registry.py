@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Stat:
-    """``fixed``: (series, key) pairs, one row each, none for a null key. ``each``: an array of strings, or of structs (series,
+    """``fixed``: (series, key), or (series, number, bins), one row each, none for a null key. ``each``: an array of strings, or of structs (series,
     key), one row per element. ``drop``: keys left out, by series. ``orders``: display order of labels, by series. ``max_age_days``: older
     reports aren't counted (those without a time are). ``weight``: bin expressions count more towards a family's size."""
 
     name: str
     description: str
-    fixed: Callable[[], list[tuple[str, Column]]] | None = None
+    fixed: Callable[[], list[tuple]] | None = None
     each: Callable[[], Column] | None = None
     drop: dict[str, tuple[str, ...]] = field(default_factory=dict)
     orders: dict[str, list[str]] = field(default_factory=dict)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import bins
-from ..functions.bins import Bins, bin_case
+from ..functions.bins import Bins
 from ..functions.compat import js_num, key_text, loose_eq, truthy
 from ..functions.versions import drop_dirty, major, trim_master
 from .registry import Stat, register
@@ -44,12 +44,12 @@ def _breakout_series() -> Column:
 
 
 register(Stat("platformVariantBreakout", "Hardware variants of each platform", fixed=lambda: [(_breakout_series(), F.when(col("systemInfo.platform").isNotNull(), _or("systemInfo.platformVariant", "Unknown")))]))
-_flat("version", "Major releases", lambda: major(trim_master(col("systemInfo.version"))))
+_flat("version", "Major releases", lambda: major(trim_master(col("systemInfo.version"))), weight=3)
 _flat("versionDetailed", "Detailed releases", lambda: drop_dirty(col("systemInfo.version")))
-_flat("versionWithOS", "Releases with their OS", lambda: F.concat(trim_master(col("systemInfo.version")), F.lit("/"), _or("systemInfo.osVersion", "Unknown")))
+_flat("versionWithOS", "Releases with their OS", lambda: F.concat(trim_master(col("systemInfo.version")), F.lit("/"), _or("systemInfo.osVersion", "Unknown")), weight=3)
 _flat("capeInstalled", "Whether a cape is installed", lambda: F.when(col("capeInfo.name") != "None", "Yes").otherwise("No"))
 _flat("capeType", "Cape types", lambda: _or("capeInfo.name", "None"), drop=("None", "Unknown"))
-_flat("capeReleaseVersion", "Capes with their release", lambda: F.coalesce(F.concat("capeInfo.name", F.lit("-"), F.coalesce(trim_master(col("systemInfo.version")), F.lit("unknown"))), F.lit("None")), drop=("None", "Unknown"))
+_flat("capeReleaseVersion", "Capes with their release", lambda: F.coalesce(F.concat("capeInfo.name", F.lit("-"), F.coalesce(trim_master(col("systemInfo.version")), F.lit("unknown"))), F.lit("None")), drop=("None", "Unknown"), weight=3)
 
 
 def _mode() -> Column:
@@ -76,16 +76,16 @@ def _ui_level() -> Column:
     return F.when((n >= 0) & (n < len(LEVELS)), F.when(whole, named).otherwise("undefined")).otherwise("Undefined")
 
 
-_flat("fppMode", "Player modes", _mode)
-_flat("mqttEnabled", "Whether MQTT is configured", _mqtt)
-_flat("uiLevel", "User interface levels", _ui_level)
+_flat("fppMode", "Player modes", _mode, weight=3)
+_flat("mqttEnabled", "Whether MQTT is configured", _mqtt, weight=3)
+_flat("uiLevel", "User interface levels", _ui_level, weight=3)
 _flat("timeZone", "Time zones", lambda: renamed(_or("timezone", "Not Reported"), {"+0000 GMT": "+0000 UTC"}))
 
 
 def _binned(name: str, description: str, drop: dict[str, tuple[str, ...]] | None = None, **series: tuple[Bins, object]) -> None:
     register(
         Stat(
-            name, description, fixed=lambda: [("" if s == "_" else s, bin_case(value(), table)) for s, (table, value) in series.items()],
+            name, description, fixed=lambda: [("" if s == "_" else s, value(), table) for s, (table, value) in series.items()],
             orders={"" if s == "_" else s: table.labels for s, (table, _) in series.items()}, weight=2, drop=drop or {},
         )
     )
@@ -111,13 +111,14 @@ def _if_enabled(path: str) -> Column:
 _binned("inputUniverses", "Input universes", universe=(bins.UNIVERSES, lambda: _if_enabled("universe_input.universeCount")), channel=(bins.CHANNELS, lambda: _if_enabled("universe_input.channelCount")))
 
 
-def _panels() -> list[tuple[str, Column]]:
+def _panels() -> list[tuple]:
     on = ~loose_eq(col("output_panel.enabled"), 0)
     kind = col("output_panel.type")
     sub = renamed(col("output_panel.subType"), {"LEDscapeMatrix": "BeagleBone", "RGBMatrix": "RGBMatrix(Pi)"})
     size = F.concat(key_text(col("output_panel.panelWidth")), F.lit("x"), key_text(col("output_panel.panelHeight")))
-    rows = [("panels", bin_case(number("output_panel.panelCount"), bins.PANELS)), ("channel", bin_case(number("output_panel.channelCount"), bins.CHANNELS)), ("panelType", kind), ("panelSubType", F.coalesce(sub, kind)), ("panelSize", size)]
-    return [(s, F.when(on, k)) for s, k in rows]
+    # Of a disabled panel the counts are null, so their bin is one that is dropped.
+    counts = [("panels", F.when(on, number("output_panel.panelCount")), bins.PANELS), ("channel", F.when(on, number("output_panel.channelCount")), bins.CHANNELS)]
+    return [*counts, *((s, F.when(on, k)) for s, k in (("panelType", kind), ("panelSubType", F.coalesce(sub, kind)), ("panelSize", size)))]
 
 
 register(Stat(

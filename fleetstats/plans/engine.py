@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import DAY_MS, WINDOWS, age_class, age_ms, counters, counters_of_classes
+from ..functions.bins import bin_case
 from ..operators import stats  # noqa: F401  registers the statistics
 from ..operators.registry import STATS, Stat, row
 from ..sources.landing import latest_report
@@ -41,13 +42,23 @@ def rows_of(current: DataFrame, family: list[Stat]) -> DataFrame:
     if family[0].each is not None:
         (stat,) = family
         element = F.col("e")
-        rows = current.where(_young(stat)).select("is_docker", "age_class", "age_ms", F.explode(stat.each()).alias("e"))
+        rows = current.where(_young(stat)).select("is_docker", "age_class", F.explode(stat.each()).alias("e"))
         nested = dict(rows.dtypes)["e"].startswith("struct")
-        rows = rows.select("is_docker", "age_class", "age_ms", row(stat.name, element["series"] if nested else "", element["key"] if nested else element).alias("r"))
+        rows = rows.select("is_docker", "age_class", row(stat.name, element["series"] if nested else "", element["key"] if nested else element).alias("r"))
     else:
-        structs = [row(s.name, series, F.when(_young(s), key) if s.max_age_days else key) for s in family for series, key in s.fixed()]
-        rows = current.select("is_docker", "age_class", "age_ms", F.explode(F.array(*structs)).alias("r"))
-    rows = rows.select("r.*", "is_docker", "age_class", "age_ms").where("key IS NOT NULL")
+        # Numbers come first, so that the many branches of their bins read a column, not its expression.
+        parts = [(s, *entry) for s in family for entry in s.fixed()]
+        numbers = {f"_v{i}": p[2] for i, p in enumerate(parts) if len(p) == 4}
+        keys, series, structs = {}, {}, []
+        for i, p in enumerate(parts):
+            key = bin_case(F.col(f"_v{i}"), p[3]) if len(p) == 4 else p[2]
+            keys[f"_k{i}"] = F.when(_young(p[0]), key) if p[0].max_age_days else key
+            if not isinstance(p[1], str):
+                series[f"_s{i}"] = p[1]
+            structs.append(row(p[0].name, p[1] if isinstance(p[1], str) else F.col(f"_s{i}"), F.col(f"_k{i}")))
+        named = current.withColumns(numbers).select("is_docker", "age_class", *(c.alias(n) for n, c in {**keys, **series}.items()))
+        rows = named.select("is_docker", "age_class", F.explode(F.array(*structs)).alias("r"))
+    rows = rows.select("r.*", "is_docker", "age_class").where("key IS NOT NULL")
     for s in family:
         for series, keys in s.drop.items():
             rows = rows.where(~((F.col("stat") == s.name) & (F.col("series") == series) & F.col("key").isin(*keys)))
