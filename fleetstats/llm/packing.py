@@ -3,8 +3,8 @@
 Texts become token ids with an end mark; only longer ones than a sequence are cut, the first piece takes the remainder. The
 histogram of piece lengths (at most a sequence's length of numbers) goes to the driver. There multiplicative weights solve
 the configuration linear program: weights are the prices of lengths, a knapsack dynamic program finds the configuration worth
-most at these prices, and prices of what it covers fall. The solution is rounded down; what is left is filled with priced
-configurations and best fits. Pieces find their place by rank within their length, so no task sees them all.
+most at these prices for each length, and prices of what these cover fall. The solution is rounded down; what is left is
+packed by best fit. Pieces find their place by rank within their length, so no task sees them all.
 
 Null texts are empty and give the end mark alone. Repeated rows are packed as often as they occur.
 """
@@ -79,90 +79,115 @@ class Pricing:
         self.sizes, self.capacity = sizes, capacity
         self.upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
 
-    def best(self, prices: np.ndarray) -> np.ndarray:
-        """How many of each size the configuration worth most has."""
-        worth, pick = np.zeros(self.capacity + 1), np.full(self.capacity + 1, -1)
+    def configurations(self, prices: np.ndarray, slack: float) -> list[tuple[int, ...]]:
+        """For each item the configuration worth most among those with it, if that is worth 1 - ``slack`` of the best; as indices."""
         sizes = self.sizes
+        worth, pick = np.zeros(self.capacity + 1), np.full(self.capacity + 1, -1)
         for w in range(int(sizes[0]), self.capacity + 1):
             n = self.upto[w]
             gain = prices[:n] + worth[w - sizes[:n]]
-            k = int(gain.argmax())
+            k = n - 1 - int((gain > gain.max() * (1 - 1e-12))[::-1].argmax())  # of equals the largest
             if gain[k] > worth[w - 1]:
                 worth[w], pick[w] = gain[k], k
             else:
                 worth[w] = worth[w - 1]
-        out, w = np.zeros(len(sizes), dtype=np.int64), self.capacity
-        while w > 0:
-            if pick[w] < 0:
-                w -= 1
-            else:
-                out[pick[w]] += 1
-                w -= int(sizes[pick[w]])
+        values = prices + worth[self.capacity - sizes]
+        out = []
+        for i in np.flatnonzero(values >= (1 - slack) * values.max()).tolist():
+            a, w = [i], int(self.capacity - sizes[i])
+            while w > 0:
+                if pick[w] < 0:
+                    w -= 1
+                else:
+                    a.append(int(pick[w]))
+                    w -= int(sizes[pick[w]])
+            out.append(tuple(a))
         return out
 
 
-def solve(histogram: dict[int, int], capacity: int = LENGTH, rounds: int = 250, step: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Configurations {length: how many} with how often each is used; together they hold the histogram exactly."""
-    histogram = {k: v for k, v in histogram.items() if v > 0}
-    if not histogram:
-        return []
-    sizes = np.array(sorted(histogram), dtype=np.int64)
-    need = np.array([histogram[int(s)] for s in sizes], dtype=np.float64)
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int, step: float, slack: float) -> dict[tuple[int, ...], float]:
+    """How often each configuration is used. A round uses those worth nearly the most, and no length by over ``step`` of its number."""
     pricing = Pricing(sizes, capacity)
-    covered, used = np.zeros(len(sizes)), {}
-    prices = sizes / capacity
-    # Fractional solution: each round uses the best configuration for a share of the scarcest length it holds.
+    prices, covered, used = sizes / capacity, np.zeros(len(sizes)), {}
     for _ in range(rounds):
-        a = pricing.best(prices)
-        has = a > 0
-        amount = step * float((need[has] / a[has]).min())
-        key = a.tobytes()
-        used[key] = used.get(key, 0.0) + amount
-        share = amount * a / need
+        chosen = pricing.configurations(prices, slack)
+        cover = np.zeros(len(sizes))
+        for a in chosen:
+            np.add.at(cover, list(a), max(need[a[0]] * (1 - covered[a[0]]), 0))
+        most = (cover / need).max()
+        if most <= 0:
+            break
+        s = step / most
+        for a in chosen:
+            if (amount := s * need[a[0]] * (1 - covered[a[0]])) > 0:
+                key = tuple(sorted(a))
+                used[key] = used.get(key, 0.0) + amount
+        share = s * cover / need
         covered += share
         prices = prices * np.exp(-step * share)
         if covered.min() >= 1:
             break
-    prices = sizes / capacity * np.exp(-0.05 * np.minimum(covered, 1))
-    left, found = need.astype(np.int64), []
+    return used
 
-    def use(a: np.ndarray, most: float) -> int:
-        has = a > 0
-        times = int(min(most, (left[has] // a[has]).min())) if has.any() else 0
-        if times > 0:
-            left[:] -= times * a
-            found.append(({int(s): int(n) for s, n in zip(sizes[has], a[has], strict=True)}, times))
-        return times
-
-    # Rounded down, the fullest configurations first.
-    arrays = [(np.frombuffer(k, dtype=np.int64), x) for k, x in used.items()]
-    for a, x in sorted(arrays, key=lambda p: -int(p[0] @ sizes)):
-        use(a, np.floor(x))
-    # The rest: priced configurations of what is left, short of what isn't there any more, topped up by best fits.
-    while left.any():
-        there = np.flatnonzero(left)
-        if len(there) == 1:
-            n, fit = int(left[there[0]]), int(capacity // sizes[there[0]])
-            for count, times in ((fit, n // fit), (n % fit, 1)):
-                if count and times:
-                    a = np.zeros(len(sizes), dtype=np.int64)
-                    a[there[0]] = count
-                    use(a, times)
+
+def solve(histogram: dict[int, int], capacity: int = LENGTH, rounds: int = 200, step: float = 0.05, slack: float = 0.01, full: float = 1.0) -> list[tuple[dict[int, int], int]]:
+    """Configurations {length: how many} with how often each is used; together they hold the histogram exactly.
+
+    Of the fractional solution those that fill ``full`` of a sequence are rounded down; the rest is left to best fit.
+    """
+    histogram = {k: v for k, v in histogram.items() if v > 0}
+    if not histogram:
+        return []
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
+    used = fractional(sizes, left.astype(np.float64), capacity, rounds, step, slack)
+    found: list[tuple[dict[int, int], int]] = []
+    # Rounded down, the fullest configurations first; of equally full ones those with the longest piece.
+    for key in sorted(used, key=lambda k: (-int(sizes[list(k)].sum()), -max(k))):
+        index, count = np.unique(key, return_counts=True)
+        if int(sizes[list(key)].sum()) < full * capacity:
             break
-        part = Pricing(sizes[there], capacity).best(prices[there])
-        a = np.zeros(len(sizes), dtype=np.int64)
-        a[there] = np.minimum(part, left[there])
-        room = capacity - int(a @ sizes)
-        while True:
-            fits = np.flatnonzero((sizes <= room) & (left > a))
-            if not len(fits):
+        times = int(min(np.floor(used[key]), (left[index] // count).min()))
+        if times > 0:
+            left[index] -= times * count
+            found.append((dict(zip(sizes[index].tolist(), count.tolist(), strict=True)), times))
+    return found + best_fit(sizes, left, capacity)
+
+
+def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """What is ``left`` by best fit, the longest first; sequences of equal content go together."""
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+
+    def put(room: int, content: tuple[int, ...], n: int) -> None:
+        own = rooms.setdefault(room, {})
+        own[content] = own.get(content, 0) + n
+
+    for k in reversed(np.flatnonzero(left).tolist()):
+        size, n = int(sizes[k]), int(left[k])
+        while n:
+            room = min((r for r in rooms if r >= size), default=None)
+            if room is None:
+                fit = capacity // size
+                if n >= fit:
+                    put(capacity - fit * size, (k,) * fit, n // fit)
+                if n % fit:
+                    put(capacity - n % fit * size, (k,) * (n % fit), 1)
                 break
-            k = fits[-1]
-            extra = int(min(left[k] - a[k], room // sizes[k]))
-            a[k] += extra
-            room -= extra * int(sizes[k])
-        use(a, np.inf)
-    return found
+            content, there = rooms[room].popitem()
+            if not rooms[room]:
+                del rooms[room]
+            more = min(room // size, n)
+            times = min(there, n // more)
+            if there > times:
+                put(room, content, there - times)
+            put(room - more * size, (*content, *(k,) * more), times)
+            n -= times * more
+    out = []
+    for own in rooms.values():
+        for content, times in own.items():
+            index, count = np.unique(content, return_counts=True)
+            out.append((dict(zip(sizes[index].tolist(), count.tolist(), strict=True)), times))
+    return out
 
 
 def slots(configurations: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
