@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_at_exit, shared_dir, stored
+
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "drop_at_exit", "join_hot", "maybe_broadcast", "shared_dir", "stored", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A side is broadcast only if a count has shown that it has no more rows than this; beyond it the join shuffles.
@@ -18,26 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(named)
-    return f"{named.rstrip('/')}/fleetstats-{context.applicationId}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is known to have at most ``most`` rows (narrow ones); else as it is."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df

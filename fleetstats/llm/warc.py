@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, shared_dir, stored
+from .common import drop_at_exit, join_hot, shared_dir, stored
 
 CRLF = "\r\n"
 #: Payloads under this many bytes are always stored.
@@ -108,8 +108,7 @@ def captures(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(plan(pages), path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    drop_at_exit(spark, path)
     return assemble(read_archives(spark, path))
 
 
