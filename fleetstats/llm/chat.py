@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-START, END, LINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
+START, STOP, LINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
+END = STOP + "\n"
 _OPENERS, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END), re.DOTALL)
 FORMATTED = "conv_id long, seq long, role string, formatted string, char_start long, loss_start long, loss_end long"
@@ -41,7 +42,7 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     turns, at = [], 0
     while at < len(rendered):
         m = _TURN.match(rendered, at)
-        if m is None:
+        if m is None or any(mark in part for mark in (START, STOP) for part in m.groups()):
             raise ValueError(f"no turn at {at}")
         turns.append(("\n".join(map(unescape, m[1].split(LINE))), unescape(m[2]), m.start(2), m.end(2)))
         at = m.end()
@@ -136,3 +137,17 @@ def op5_chat_format(spark, sf_dir):
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return digest(format_conversations(rows.unionByName(extra)))
+
+
+_TEXT = "coalesce(text, '')"
+ORACLE = rf"""
+WITH c AS (
+  SELECT conv_id, turn, role, {_TEXT} AS t FROM conversations
+  UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(i, r)),
+e AS (SELECT *, length(t) + CASE WHEN regexp_matches(t, '<\|im_(start|end)\|>|<\\+\|') THEN len(regexp_extract_all(t, '<\\*\|')) ELSE 0 END AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len("<|im_start|>") + 1 + len("<|im_end|>") + 1} + length(role) + shown) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
