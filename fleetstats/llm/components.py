@@ -36,28 +36,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
-def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: str = "true") -> tuple[DataFrame, DataFrame | None]:
+def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: str = "true", pairs: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """Components of the nodes that share a list and that ``verify`` links. Exact, without all pairs of a list.
 
     ``lists``: stored rows (s, node, n, pos, m): list, node, the node's size, the place of the list in the node's order, the
-    list's length. ``verify`` takes distinct pairs (a, b, na, nb), a < b, and returns those (a, b) that link. ``bound``: SQL over
-    na, pa, nb, pb that no linking pair fails in the first list that it shares.
+    list's length. ``pairs``: rows (a, b, na, nb), a < b, of lists of two. ``verify`` takes distinct such pairs and returns those (a, b)
+    that link. ``bound``: SQL over na, pa, nb, pb that no linking pair fails in the first list that it shares.
 
     First the members of each list are compared with a hub, the member of the lowest place. Members known to be connected need
     no further test; of each component in a list only one member is compared with a hub again. What then still stands
-    apart within a list is compared pair by pair. Returns (node, component) of linked nodes, and the links found.
+    apart within a list is compared pair by pair. Lists of one component are left out from then on. Returns (node, component) of
+    linked nodes, and the links found.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
     labels: DataFrame | None = None
 
-    def labelled() -> DataFrame:
+    def apart(rows: DataFrame) -> DataFrame:
         """The lists that still hold several components."""
         if labels is None:
-            return lists.withColumn("component", F.col("node"))
-        rows = lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = rows.groupBy("s").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("s")
-        return rows.join(apart, "s", "left_semi")
+            return rows.withColumn("component", F.col("node"))
+        rows = rows.select("s", "node", "n", "pos", "m").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = rows.groupBy("s").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("s")
+        return stored(rows.join(several, "s", "left_semi"))
 
     def pairs_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         a = left.select(*keys, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
@@ -69,32 +70,36 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")
         ).distinct()
 
-    def test(pairs: DataFrame) -> bool:
+    def test(new: DataFrame) -> bool:
         nonlocal labels
         for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.isEmpty():
+            new = new.join(t, ["a", "b"], "left_anti")
+        new = stored(new)
+        if new.isEmpty():
             return False
-        tested.append(pairs.select("a", "b"))
-        found = stored(verify(pairs))
+        tested.append(new.select("a", "b"))
+        found = stored(verify(new))
         if found.isEmpty():
             return False
         links.append(found)
         labels = stored(connected_components(reduce(DataFrame.unionAll, links)))
         return True
 
+    rows = lists
     for turn in range(ROUNDS):
-        rows = labelled()
+        rows = apart(rows)
+        members = rows
         if turn:
-            one = rows.groupBy("s", "component").agg(F.min(F.struct("pos", "node", "n", "m")).alias("r"))
-            rows = one.select("s", "component", "r.*")
-            sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("m"))
-            rows = stored(rows.drop("m").join(sizes, "s"))
-        dealt = rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / HUB_MEMBERS)))
+            one = rows.groupBy("s", "component").agg(F.min(F.struct("pos", "node", "n")).alias("r"))
+            members = one.select("s", "component", "r.*")
+            members = members.join(members.groupBy("s").agg(F.count(F.lit(1)).alias("m")), "s")
+        dealt = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / HUB_MEMBERS)))
         hubs = dealt.groupBy("s", "salt").agg(F.min(F.struct("pos", "node", "n", "component")).alias("h")).select("s", "salt", "h.*")
-        if not test(pairs_of(dealt, stored(hubs), ["s", "salt"])):
+        new = pairs_of(dealt, stored(hubs), ["s", "salt"])
+        if turn == 0 and pairs is not None:
+            new = new.unionByName(pairs.select("a", "b", "na", "nb")).distinct()
+        if not test(new):
             break
-    rest = stored(labelled())
-    test(pairs_of(rest, rest, ["s"]).where("a < b"))
+    rows = apart(rows)
+    test(pairs_of(rows, rows, ["s"]))
     return labels, reduce(DataFrame.unionAll, links) if links else None

@@ -4,6 +4,7 @@ The global order of shingles goes by estimated frequency, then hash. A text's pr
 is posted; texts that share a posted shingle are candidates. The order is cut into fragments; a candidate pair's overlap is
 counted in each fragment separately and summed per pair. Links make components.
 
+Before that, candidates go whose profiles (sizes of many small fragments) rule a link out.
 Frequencies are counted over all documents in a sketch of fixed size, whatever the input; any order gives the same links, a
 good one keeps frequent shingles out of the prefixes. Equal sets are one node. Empty and null texts have no shingles and
 link with nothing. Repeated rows are copies. Texts without an id count as
@@ -12,6 +13,7 @@ nodes only where a copy has one. Only id and text are read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,54 +28,74 @@ from .common import join_hot, maybe_broadcast, stored
 from .components import link_lists
 from .shingles import digest, shingles, words
 
-#: The sketch has 2**SKETCH_BITS counters, in blocks of BLOCK.
-SKETCH_BITS, BLOCK, SALTS = 18, 1024, 64
+#: The sketch has 2**SKETCH_BITS counters (16 MB), in blocks of BLOCK.
+SKETCH_BITS, BLOCK, SALTS = 22, 1 << 14, 64
+#: Shingles to a counter of a text's profile.
+PROFILE = 8
 FRAGMENTS = 8
 #: J >= PERCENT / 100.
 PERCENT = 80
 #: 100 * I >= 80 * (na + nb - I), where I is at most what stands from the first shared place on.
 BOUND = f"{100 + PERCENT} * least(na - pa, nb - pb) >= {PERCENT} * (na + nb)"
 
-SETS = "doc_id long, n long, key long, block int, salt int, counts binary"
+SETS = "doc_id long, n long, key long, profile binary, block int, salt int, counts binary"
+
+
+def profile(s: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of about n / PROFILE ranges of hashes, a byte each; None if a byte won't do."""
+    bits = max(0, (max(1, len(s) // PROFILE) - 1).bit_length())
+    counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(s), np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """No overlap is larger than the sum of the smaller counts in each range."""
+    a, b = (np.frombuffer(p, np.uint8).astype(np.int64) for p in (x, y))
+    k = min(len(a), len(b))
+    return int(np.minimum(a.reshape(k, -1).sum(axis=1), b.reshape(k, -1).sum(axis=1)).sum())
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, then the task's part of the sketch."""
-    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("profile", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
     for b in batches:
-        ids, sizes, keys, found, held = b[0], [], [], [], 0
+        ids, sizes, keys, profiles, found, held = b[0], [], [], [], [], 0
         for text in b[1].to_pylist():
             s = shingles(words(text or ""))
             sizes.append(len(s))
             keys.append(digest(s) if len(s) else None)
-            found.append(s >> np.uint64(64 - SKETCH_BITS))
+            profiles.append(profile(s) if len(s) else None)
+            found.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
             held += len(s)
-            if held > 1_000_000:
-                sketch += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(sketch))
+            if held > 4_000_000:
+                sketch += np.bincount(np.concatenate(found), minlength=len(sketch)).astype(np.int32)
                 found, held = [], 0
         if held:
-            sketch += np.bincount(np.concatenate(found).astype(np.int64), minlength=len(sketch))
+            sketch += np.bincount(np.concatenate(found), minlength=len(sketch)).astype(np.int32)
         none = pa.nulls(len(ids))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(profiles, pa.binary()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
     if sketch.any():
         blocks, salt = sketch.reshape(-1, BLOCK), TaskContext.get().partitionId() % SALTS
         k, none = len(blocks), pa.nulls(len(blocks), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(np.arange(k, dtype=np.int32)), pa.array([salt] * k, pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array([salt] * k, pa.int32()), pa.array([zlib.compress(x.astype(np.int64).tobytes(), 1) for x in blocks], pa.binary())], schema=schema)
 
 
 def _add_up(df: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.int64) for x in df["counts"])
-    return pd.DataFrame({"block": [df["block"].iloc[0]], "counts": [total.tobytes()]})
+    total = np.zeros(BLOCK, np.int64)
+    for x in df["counts"]:
+        total += np.frombuffer(zlib.decompress(x), dtype=np.int64)
+    return pd.DataFrame({"block": [df["block"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def merge_sketch(parts: DataFrame) -> np.ndarray:
-    """The counters, 2 MB whatever the input."""
+    """The counters, 16 MB whatever the input; those that would not fit hold the most that does."""
     once = parts.groupBy("block", "salt").applyInPandas(_add_up, "block int, counts binary")
     rows = once.groupBy("block").applyInPandas(_add_up, "block int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    out = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     for r in rows:
-        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], dtype=np.int64)
+        own = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64)
+        out[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.minimum(own, np.iinfo(np.int32).max)
     return out
 
 
@@ -122,25 +144,93 @@ def postings(docs: DataFrame, sketch, frequent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(post, POSTINGS)
 
 
-LISTS = "s long, node long, n int, pos int, m int"
+LISTS = "s long, node long, n int, pos int, m int, other long, n_other int, frequent boolean"
+_LIST_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.bool_())
+
+
+def _list_rows(s=None, node=None, n=None, pos=None, m=None, other=None, n_other=None, frequent=False) -> pa.RecordBatch:
+    k = len(node)
+    given = (s, node, n, pos, m, other, n_other, np.full(k, frequent))
+    return pa.RecordBatch.from_arrays([pa.nulls(k, t) if c is None else pa.array(c).cast(t) for c, t in zip(given, _LIST_KINDS, strict=True)], names=[x.split()[0] for x in LISTS.split(", ")])
+
 
+def shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition dealt by list, what two nodes or more share; frequent lists, dealt by node, as they are.
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition dealt by shingle, the lists with two nodes or more."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
+    A list of two becomes a pair, unless the bound rules it out. Longer lists of the same nodes become one, named by its nodes,
+    with each node's first place in any of them. Repeated pairs and rows go.
+    """
+    rare: list[pa.RecordBatch] = []
+    for b in batches:
+        often = b.filter(b["frequent"])
+        if often.num_rows:
+            yield _list_rows(often["s"], often["node"], often["n"], often["pos"], frequent=True)
+        if often.num_rows < b.num_rows:
+            rare.append(b.filter(pa.compute.invert(b["frequent"])))
+    if not rare:
         return
-    t = pa.Table.from_batches(held)
-    s, node = t["s"].to_numpy(), t["node"].to_numpy()
-    order = np.lexsort((node, s))
-    s, node = s[order], node[order]
+    t = pa.Table.from_batches(rare)
+    s, node, n, pos = (t[x].to_numpy() for x in ("s", "node", "n", "pos"))
+    order = np.lexsort((pos, node, s))
+    s, node, n, pos = s[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
     new = np.r_[True, (s[1:] != s[:-1]) | (node[1:] != node[:-1])]
-    order, s, node = order[new], s[new], node[new]
+    s, node, n, pos = s[new], node[new], n[new], pos[new]
     starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    m = np.repeat(np.diff(np.r_[starts, len(s)]), np.diff(np.r_[starts, len(s)]))
-    keep = m > 1
+    sizes = np.diff(np.r_[starts, len(s)])
+    two = starts[sizes == 2]
+    fits = (100 + PERCENT) * np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= PERCENT * (n[two] + n[two + 1])
+    two = two[fits]
+    if len(two):
+        by = np.lexsort((node[two + 1], node[two]))
+        two = two[by]
+        two = two[np.r_[True, (node[two[1:]] != node[two[:-1]]) | (node[two[1:] + 1] != node[two[:-1] + 1])]]
+        yield _list_rows(node=node[two], n=n[two], other=node[two + 1], n_other=n[two + 1])
+    long = np.repeat(sizes > 2, sizes)
+    if not long.any():
+        return
+    mixed = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    name = np.repeat(np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts), sizes).view(np.int64)
+    name, node, n, pos, m = name[long], node[long], n[long], pos[long], np.repeat(sizes, sizes)[long]
+    order = np.lexsort((pos, node, name))
+    name, node = name[order], node[order]
+    keep = np.r_[True, (name[1:] != name[:-1]) | (node[1:] != node[:-1])]
     rows = order[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(node[keep]), pa.array(t["n"].to_numpy()[rows]), pa.array(t["pos"].to_numpy()[rows]), pa.array(m[keep].astype(np.int32))], names=[x.split()[0] for x in LISTS.split(", ")])
+    yield _list_rows(name[keep], node[keep], n[rows], pos[rows], m[rows])
+
+
+def collect_lists(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lists, pairs) for ``link_lists`` from rows (s, node, n, pos, frequent)."""
+    deal = F.when(F.col("frequent"), F.xxhash64("s", "node")).otherwise(F.col("s"))
+    dealt = posted.withColumn("_deal", deal).repartition("_deal").drop("_deal")
+    return split_lists(stored(dealt.mapInArrow(shared_lists, LISTS)))
+
+
+def split_lists(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ordered = F.col("node") < F.col("other")
+    pairs = found.where("other IS NOT NULL").select(
+        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), F.when(ordered, F.col("n")).otherwise(F.col("n_other")).alias("na"), F.when(ordered, F.col("n_other")).otherwise(F.col("n")).alias("nb")
+    )
+    long = found.where("other IS NULL")
+    rare = long.where("NOT frequent").groupBy("s", "node", "n", "m").agg(F.min("pos").alias("pos"))
+    often = long.where("frequent").groupBy("s", "node", "n").agg(F.min("pos").alias("pos"))
+    counts = stored(often.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("m")).where("m > 1"))
+    lists = rare.unionByName(often.join(maybe_broadcast(counts), "s").select("s", "node", "n", "m", "pos"))
+    return stored(lists), pairs
+
+
+def may_link(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``pairs`` without those whose profiles rule out a link; loses none that links."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b[c].to_pylist() for c in ("na", "nb", "x", "y")), strict=True)
+            yield b.filter(pa.array([x is None or y is None or (100 + PERCENT) * most_shared(x, y) >= PERCENT * (na + nb) for na, nb, x, y in rows], pa.bool_())).select(["a", "b", "na", "nb"])
+
+    x = profiles.select(F.col("node").alias("a"), F.col("profile").alias("x"))
+    y = profiles.select(F.col("node").alias("b"), F.col("profile").alias("y"))
+    sized = pairs.select("a", "b", F.col("na").cast("long"), F.col("nb").cast("long"))
+    return sized.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(keep, "a long, b long, na long, nb long")
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, members: DataFrame, sketch, pivots: np.ndarray) -> DataFrame:
@@ -190,14 +280,15 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     passed = stored(docs.mapInArrow(_sets, SETS))
-    sets = passed.where("block IS NULL").select("doc_id", "n", "key")
+    sets = passed.where("block IS NULL").select("doc_id", "n", "key", "profile")
     counters = merge_sketch(passed.where("block IS NOT NULL").select("block", "salt", "counts"))
-    total = int(counters.sum())
+    total = int(counters.sum(dtype=np.int64))
     sketch = spark.sparkContext.broadcast(counters)
     # Fragments: cuts of the order into ranges of estimated frequency with about as many occurrences each.
     by = np.sort(counters)
-    pivots = by[np.minimum(np.searchsorted(np.cumsum(by), total * np.arange(1, FRAGMENTS) / FRAGMENTS), len(by) - 1)] if total else np.zeros(FRAGMENTS - 1, np.int64)
-    nodes = stored(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")))
+    pivots = by[np.minimum(np.searchsorted(np.cumsum(by, dtype=np.int64), total * np.arange(1, FRAGMENTS) / FRAGMENTS), len(by) - 1)] if total else np.zeros(FRAGMENTS - 1, np.int64)
+    nodes = stored(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("profile").alias("profile")))
+    sets = sets.drop("profile")
     copies = sets.where("key IS NOT NULL").join(nodes.select(F.col("doc_id").alias("_first"), F.col("key").alias("_key")), (F.col("key") == F.col("_key")) & (F.col("doc_id") == F.col("_first")), "left_anti")
     rest = stored(copies.select("doc_id").distinct())
     firsts = docs.join(maybe_broadcast(rest), "doc_id", "left_anti")
@@ -205,16 +296,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     # A list is longer than this only if its shingle is marked as frequent; there are few such shingles.
     frequent = max(1000, int(counters.mean() * 2 + total / 100_000))
     posted = postings(firsts, sketch, frequent)
-    posted = stored(posted.withColumn("_deal", F.when(F.col("frequent"), F.xxhash64("s", "node")).otherwise(F.col("s"))).repartition("_deal").drop("_deal").mapInArrow(_kept, f"{LISTS}, frequent boolean"))
-    often = posted.where("frequent").drop("m")
-    counts = often.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("m")).where("m > 1")
-    lists = stored(posted.where("NOT frequent").drop("frequent").unionByName(often.drop("frequent").join(maybe_broadcast(stored(counts)), "s").select("s", "node", "n", "pos", "m")))
+    lists, pairs = collect_lists(posted)
     members = nodes.select(F.col("key").alias("node"), "doc_id")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return overlaps(pairs, docs, members, sketch, pivots).where(f"{100 + PERCENT} * overlap >= {PERCENT} * (na + nb)").select("a", "b")
+        likely = stored(may_link(pairs, nodes.select(F.col("key").alias("node"), "profile")))
+        return overlaps(likely, docs, members, sketch, pivots).where(f"{100 + PERCENT} * overlap >= {PERCENT} * (na + nb)").select("a", "b")
 
-    labels, _ = link_lists(lists, verify, BOUND)
+    labels, _ = link_lists(lists, verify, BOUND, pairs)
     out = nodes.select("key", "doc_id", F.col("copies").alias("n"))
     if labels is not None:
         in_group = labels.join(members, "node")
@@ -228,21 +317,6 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frequent postings as they are; of the others, shared lists."""
-    rare: list[pa.RecordBatch] = []
-    for b in batches:
-        mask = b["frequent"]
-        often = b.filter(mask)
-        if often.num_rows:
-            k = often.num_rows
-            yield pa.RecordBatch.from_arrays([often["s"], often["node"], often["n"], often["pos"], pa.array(np.zeros(k, np.int32)), often["frequent"]], names=["s", "node", "n", "pos", "m", "frequent"])
-        if often.num_rows < b.num_rows:
-            rare.append(b.filter(pa.compute.invert(mask)) if often.num_rows else b)
-    for b in _shared(iter(rare)):
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.zeros(b.num_rows, bool))], names=[*b.schema.names, "frequent"])
-
-
 def op9_ngram_jaccard_join(spark, sf_dir):
     from .common import table
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import join_hot, maybe_broadcast, stored
 from .components import link_lists
-from .jaccard_join import _kept
+from .jaccard_join import LISTS, shared_lists, split_lists
 from .shingles import WORDS, digest, fold, words
 
 NEIGHBOURS = 4
@@ -142,7 +142,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _noticed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_kept``, where the lists of which some task gave notice count as frequent."""
+    """``shared_lists``, where the lists of which some task gave notice count as frequent."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
@@ -150,7 +150,7 @@ def _noticed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s, notice = t["s"].to_numpy(), t["notice"].to_numpy()
     frequent = t["frequent"].to_numpy() | np.isin(s, s[notice])
     t = t.set_column(t.schema.get_field_index("frequent"), "frequent", pa.array(frequent)).drop_columns(["notice"]).filter(pa.array(~notice))
-    yield from _kept(iter(t.to_batches()))
+    yield from shared_lists(iter(t.to_batches()))
 
 
 def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,10 +163,8 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = stored(units.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.max("n").alias("size"), F.count(F.lit(1)).alias("n")))
     banded = docs.mapInArrow(_bands, BANDED)
     deal = F.when(F.col("frequent"), F.xxhash64("s", "node")).otherwise(F.col("s"))
-    kept = stored(banded.withColumn("_deal", deal).repartition("_deal").drop("_deal").mapInArrow(_noticed, "s long, node long, n int, pos int, m int, frequent boolean"))
-    often = kept.where("frequent").select("s", "node", "n", "pos").distinct()
-    counts = stored(often.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("m")).where("m > 1"))
-    lists = stored(kept.where("NOT frequent").drop("frequent").unionByName(often.join(maybe_broadcast(counts), "s").select("s", "node", "n", "pos", "m")))
+    dealt = banded.withColumn("_deal", deal).repartition("_deal").drop("_deal")
+    lists, pairs = split_lists(stored(dealt.mapInArrow(_noticed, LISTS)))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -177,7 +175,7 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
         return met.where(f"{100 + PERCENT} * o >= {PERCENT} * (na + nb)").select("a", "b")
 
-    labels, _ = link_lists(lists, verify, BOUND)
+    labels, _ = link_lists(lists, verify, BOUND, pairs)
     if labels is None:
         joined = nodes.withColumn("component", F.col("node"))
     else:
