@@ -19,6 +19,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_decontamination": decontamination.ORACLE,
     "op4_quality": quality.ORACLE,
+    "op5_chat_format": chat.ORACLE,
     "op8_warc": warc.ORACLE,
+    "op9_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
