@@ -36,12 +36,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes
 
 
-def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: str = "true", pairs: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound: str = "true", pairs: DataFrame | None = None, carry: tuple[str, ...] = ()) -> tuple[DataFrame | None, DataFrame | None]:
     """Components of the nodes that share a list and that ``verify`` links. Exact, without all pairs of a list.
 
     ``lists``: stored rows (s, node, n, pos, m): list, node, the node's size, the place of the list in the node's order, the
     list's length. ``pairs``: rows (a, b, na, nb), a < b, of lists of two. ``verify`` takes distinct such pairs and returns those (a, b)
-    that link. ``bound``: SQL over na, pa, nb, pb that no linking pair fails in the first list that it shares.
+    that link. ``bound``: SQL over na, pa, nb, pb that no linking pair fails in the first list that it shares; ``carry``: further columns of
+    ``lists`` that it may use, named in the same way.
 
     First the members of each list are compared with a hub, the member of the lowest place. Members known to be connected need
     no further test; of each component in a list only one member is compared with a hub again. What then still stands
@@ -56,18 +57,19 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
         """The lists that still hold several components."""
         if labels is None:
             return rows.withColumn("component", F.col("node"))
-        rows = rows.select("s", "node", "n", "pos", "m").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = rows.select("s", "node", "n", "pos", "m", *carry).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = rows.groupBy("s").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("s")
         return stored(rows.join(several, "s", "left_semi"))
 
     def pairs_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-        a = left.select(*keys, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("component").alias("cx"))
-        b = right.select(*keys, F.col("node").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("component").alias("cy"))
-        fits = F.expr(bound.replace("na", "nx").replace("pa", "px").replace("nb", "ny").replace("pb", "py"))
-        met = a.join(b, keys).where((F.col("cx") != F.col("cy")) & fits)
+        def side(rows: DataFrame, node: str, name: str) -> DataFrame:
+            own = {"n": "n", "pos": "p", "component": "c"} | {c: c for c in carry}
+            return rows.select(*keys, F.col("node").alias(node), *(F.col(c).alias(short + name) for c, short in own.items()))
+
+        met = side(left, "x", "a").join(side(right, "y", "b"), keys).where((F.col("ca") != F.col("cb")) & F.expr(bound))
         first = F.col("x") < F.col("y")
         return met.select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(first, F.col("ny")).otherwise(F.col("nx")).alias("nb")
+            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")
         ).distinct()
 
     def test(new: DataFrame) -> bool:
@@ -90,11 +92,11 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
         rows = apart(rows)
         members = rows
         if turn:
-            one = rows.groupBy("s", "component").agg(F.min(F.struct("pos", "node", "n")).alias("r"))
+            one = rows.groupBy("s", "component").agg(F.min(F.struct("pos", "node", "n", *carry)).alias("r"))
             members = one.select("s", "component", "r.*")
             members = members.join(members.groupBy("s").agg(F.count(F.lit(1)).alias("m")), "s")
         dealt = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / HUB_MEMBERS)))
-        hubs = dealt.groupBy("s", "salt").agg(F.min(F.struct("pos", "node", "n", "component")).alias("h")).select("s", "salt", "h.*")
+        hubs = dealt.groupBy("s", "salt").agg(F.min(F.struct("pos", "node", "n", "component", *carry)).alias("h")).select("s", "salt", "h.*")
         new = pairs_of(dealt, stored(hubs), ["s", "salt"])
         if turn == 0 and pairs is not None:
             new = new.unionByName(pairs.select("a", "b", "na", "nb")).distinct()

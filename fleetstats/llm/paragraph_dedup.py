@@ -2,7 +2,8 @@
 
 A passage may stand anywhere in a text, so paragraphs are laid by content: sentences (up to a full stop or a line end) with
 the least hash among their neighbours begin one, which goes on for whole sentences until it has PARAGRAPH words. A repeated
-passage of four sentences has such a beginning in common wherever it stands. Paragraphs under LEAST words are left alone.
+passage of four sentences has such a beginning in common wherever it stands. What lies between them is laid out in the same way
+from where the last one ends. Paragraphs under LEAST words are left alone.
 
 Each paragraph's 5-word shingles give a MinHash signature in bands; with 5 bands of 2, pairs of J = 0.8 meet with probability 0.994.
 Colliding paragraphs are verified by exact Jaccard (0.8 or more) and clustered by components; of each cluster the first
@@ -34,7 +35,8 @@ BANDS, ROWS = 5, 2
 PERCENT = 80
 #: A band's list with more nodes than this in one task is dealt by node.
 MANY = 256
-BOUND = f"{100 + PERCENT} * least(na, nb) >= {PERCENT} * (na + nb)"
+#: u and v are maps of 64 bits each of the shingles; every bit in which two differ is a shingle that only one of them has.
+BOUND = f"{100 + PERCENT} * least(na, nb) >= {PERCENT} * (na + nb) AND {100 + PERCENT} * (bit_count(ua ^ ub) + bit_count(va ^ vb)) <= {100 - PERCENT} * (na + nb)"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -44,6 +46,14 @@ _A = np.random.Generator(np.random.Philox(key=11)).integers(1, 1 << 62, BANDS *
 _R, _M = np.uint64(31), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
     """(first byte, end byte, distinct shingles, sorted) of each paragraph of LEAST words."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -66,26 +76,44 @@ def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
         near = np.lib.stride_tricks.sliding_window_view(named, NEIGHBOURS)
         chosen = np.unique(near.argmin(axis=1) + np.arange(len(near)))
     sh = fold([h[i : len(h) - WORDS + 1 + i] for i in range(WORDS)])
-    out, seen = [], set()
-    for first in sentence_begin[chosen].tolist():
-        e = min(int(np.searchsorted(sentence_end, first + PARAGRAPH)), k - 1)
-        end = int(sentence_end[e])
-        if end - first >= LEAST and (first, end) not in seen:
-            seen.add((first, end))
-            out.append((int(begins[first]), int(ends[end - 1]), np.unique(sh[first : end - WORDS + 1])))
+    ends_at = np.minimum(np.searchsorted(sentence_end, sentence_begin + PARAGRAPH), k - 1).tolist()
+    out, done = [], 0
+    for anchor in [*chosen.tolist(), k]:
+        # What lies between paragraphs is laid out from the last one's end on.
+        while done <= anchor and done < k:
+            first = done if done < anchor else anchor
+            last = ends_at[first]
+            x, y = int(sentence_begin[first]), int(sentence_end[last])
+            if y - x >= LEAST:
+                out.append((int(begins[x]), int(ends[y - 1]), _distinct(sh[x : y - WORDS + 1])))
+            done = last + 1
+        if anchor < k and done > anchor:
+            # The anchor's own paragraph, unless it was just laid.
+            last = ends_at[anchor]
+            x, y = int(sentence_begin[anchor]), int(sentence_end[last])
+            if y - x >= LEAST and (not out or out[-1][0] != int(begins[x])):
+                out.append((int(begins[x]), int(ends[y - 1]), _distinct(sh[x : y - WORDS + 1])))
+            done = max(done, last + 1)
     return out
 
 
-UNITS = "doc_id long, begin long, end long, n int, node long"
+def bit_maps(s: np.ndarray) -> tuple[int, int]:
+    """Which of 128 remainders the shingles have."""
+    high = (s & np.uint64(64)) != 0
+    bits = np.uint64(1) << (s & np.uint64(63))
+    return tuple(int(np.bitwise_or.reduce(bits[part], initial=np.uint64(0)).astype(np.uint64).view(np.int64)) for part in (~high, high))
+
+
+UNITS = "doc_id long, begin long, end long, n int, node long, u long, v long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     for b in batches:
         rows = []
         for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
             if doc is not None:
-                rows += [(doc, x, y, len(s), digest(s)) for x, y, s in paragraphs(text)]
+                rows += [(doc, x, y, len(s), digest(s), *bit_maps(s)) for x, y, s in paragraphs(text)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in UNITS.split(", ")])
 
@@ -160,11 +188,14 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     docs = docs.select("doc_id", "text")
     units = stored(docs.mapInArrow(_units, UNITS))
-    nodes = stored(units.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.max("n").alias("size"), F.count(F.lit(1)).alias("n")))
+    nodes = stored(units.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("u").alias("u"), F.max("v").alias("v")))
+    units = units.drop("u", "v")
     banded = docs.mapInArrow(_bands, BANDED)
     deal = F.when(F.col("frequent"), F.xxhash64("s", "node")).otherwise(F.col("s"))
     dealt = banded.withColumn("_deal", deal).repartition("_deal").drop("_deal")
     lists, pairs = split_lists(stored(dealt.mapInArrow(_noticed, LISTS)))
+    maps = nodes.select("node", "u", "v")
+    lists = stored(lists.join(maps, "node"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -175,7 +206,7 @@ def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         met = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
         return met.where(f"{100 + PERCENT} * o >= {PERCENT} * (na + nb)").select("a", "b")
 
-    labels, _ = link_lists(lists, verify, BOUND, pairs)
+    labels, _ = link_lists(lists, verify, BOUND, pairs, ("u", "v"))
     if labels is None:
         joined = nodes.withColumn("component", F.col("node"))
     else:
