@@ -5,6 +5,10 @@ the least hash among their neighbours begin one, which goes on for whole sentenc
 passage of four sentences has such a beginning in common wherever it stands. What lies between them is laid out in the same way
 from where the last one ends. Paragraphs under LEAST words are left alone.
 
+Beside these, spans of SPAN words begin wherever a pair of words has the least hash of some NEAR consecutive pairs, whatever the
+sentences are. Any run of SPAN + NEAR - 1 = 50 words that two texts share has such a beginning in its first NEAR words, so it holds a
+whole span in common, and the spans in it cover all but its first and last few words. Spans are matched exactly.
+
 Each paragraph's 5-word shingles give a MinHash signature in bands; with 5 bands of 2, pairs of J = 0.8 meet with probability 0.994.
 Colliding paragraphs are verified by exact Jaccard (0.8 or more) and clustered by components; of each cluster the first
 paragraph (smallest doc_id, then place) stays and the others go, but for those that overlap the first one itself. Equal paragraphs are one node throughout.
@@ -31,6 +35,7 @@ from .shingles import WORDS, digest, fold, words
 NEIGHBOURS = 4
 PARAGRAPH = 24
 LEAST = 12
+SPAN, NEAR = 38, 13
 BANDS, ROWS = 5, 2
 PERCENT = 80
 #: A band's list with more nodes than this in one task is dealt by node.
@@ -43,6 +48,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
 _A = np.random.Generator(np.random.Philox(key=11)).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_C = np.random.Generator(np.random.Philox(key=12)).integers(0, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R, _M = np.uint64(31), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -97,6 +103,50 @@ def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
     return out
 
 
+def least_pairs(h: np.ndarray) -> np.ndarray:
+    """Where the pair of words is the least of some NEAR consecutive ones; the first of equal pairs."""
+    pair = fold([h[:-1], h[1:]])
+    near = np.lib.stride_tricks.sliding_window_view(pair, NEAR)
+    return np.unique(near.argmin(axis=1) + np.arange(len(near)))
+
+
+SPANS = "doc_id long, begin long, end long, node long"
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text; a node is the hash of a span's words."""
+    for b in batches:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+            if doc is None or len(ws := words(text or "")) < SPAN:
+                continue
+            space = np.r_[True, _SPACE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], True]
+            begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+            h = pd.util.hash_array(np.array(ws, dtype=object), categorize=False)
+            at = least_pairs(h)
+            at = at[at <= len(h) - SPAN]
+            mixed = (h ^ (h >> _R)) * _M
+            node = np.lib.stride_tricks.sliding_window_view(mixed ^ (mixed >> _R), SPAN)[at] @ _C
+            node = (node ^ (node >> _R)) * _M
+            parts.append((np.full(len(at), doc, np.int64), begins[at], ends[at + SPAN - 1], (node ^ (node >> _R)).view(np.int64)))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=[x.split()[0] for x in SPANS.split(", ")])
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, begin, end, first_doc of spans that stand earlier too, apart from themselves."""
+    spans = stored(docs.select("doc_id", "text").mapInArrow(_spans, SPANS))
+    classes = spans.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = stored(classes.select("node", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")))
+    return cuts_of(spans, classes)
+
+
+def cuts_of(units: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, begin, end, first_doc of the units that aren't their class's first one and don't overlap it."""
+    met = join_hot(units, classes, "node", "inner").where("doc_id != first_doc OR begin >= first_end")
+    return met.select("doc_id", "begin", "end", "first_doc")
+
+
 def bit_maps(s: np.ndarray) -> tuple[int, int]:
     """Which of 128 remainders the shingles have."""
     high = (s & np.uint64(64)) != 0
@@ -254,7 +304,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed (bytes), n_spans, kept (bytes), sources (documents where the removed paragraphs stay), a row per row."""
     units, classes = clusters(docs)
-    met = join_hot(units.drop("n"), classes, "node", "inner").where("doc_id != first_doc OR begin >= first_end")
+    met = cuts_of(units.drop("n"), classes).unionByName(repeated_spans(docs))
     cuts = met.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc")).alias("cuts"))
     return docs.select("doc_id", "text").join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_remove, RESULT)
 

@@ -179,6 +179,30 @@ def test_paragraph_classes_are_exact_jaccard(spark):
     assert got == {i: groups[i][1] != i for i in docs}
 
 
+def test_paragraph_dedup_of_passages_at_any_place(spark):
+    """Passages of 50 to 120 words without stops, in sentences of 11 words or in one long sentence, against brute force."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+
+    def around(n, stops):
+        return [word() + ("." if stops and i % 11 == 10 else "") for i in range(n)]
+
+    docs, places = {}, {}
+    for k, n in enumerate([50, 55, 60, 70, 80, 100, 120] * 6):
+        passage = around(n, k % 3 == 2)
+        for i in (2 * k, 2 * k + 1):
+            head, tail = around(rng.randint(0, 90), k % 2), around(rng.randint(0, 90), k % 2)
+            docs[i], places[i] = " ".join([*head, *passage, *tail]), n
+    repeats = without_repeats(docs)
+    got = {r["doc_id"]: r for r in paragraph_dedup.remove_paragraphs(table(spark, docs.items()).repartition(3)).collect()}
+    for i, n in places.items():
+        if i % 2:
+            # Eight bytes a word and a stop for eleven words; up to NEAR - 1 words at either end may stay.
+            assert got[i]["sources"] == [i - 1] and repeats[i][1] * (n - 24) / n - 20 <= got[i]["n_removed"] <= repeats[i][1] + 1
+        else:
+            assert got[i]["n_removed"] == 0
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = {i: sentences(rng, 4) for i in range(20)} | {20: "Alpha beta", 21: "", 22: None, 23: "Éa É é " + sentences(rng, 2)}
