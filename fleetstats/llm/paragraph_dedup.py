@@ -9,6 +9,10 @@ Beside these, spans of SPAN words begin wherever a pair of words has the least h
 sentences are. Any run of SPAN + NEAR - 1 = 50 words that two texts share has such a beginning in its first NEAR words, so it holds a
 whole span in common, and the spans in it cover all but its first and last few words. Spans are matched exactly.
 
+Long paragraphs, of LONG words or more, are banded with the others: in one of under 49 words, a changed word inside takes J
+under 0.8. They go from a pair of words that is the least of all within APART words to the first such pair (or the text's end) that is
+LONG words on; texts of fewer words are one.
+
 Each paragraph's 5-word shingles give a MinHash signature in bands; with 5 bands of 2, pairs of J = 0.8 meet with probability 0.994.
 Colliding paragraphs are verified by exact Jaccard (0.8 or more) and clustered by components; of each cluster the first
 paragraph (smallest doc_id, then place) stays and the others go, but for those that overlap the first one itself. Equal paragraphs are one node throughout.
@@ -36,6 +40,7 @@ NEIGHBOURS = 4
 PARAGRAPH = 24
 LEAST = 12
 SPAN, NEAR = 38, 13
+LONG, APART = 60, 24
 BANDS, ROWS = 5, 2
 PERCENT = 80
 #: A band's list with more nodes than this in one task is dealt by node.
@@ -61,7 +66,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
-    """(first byte, end byte, distinct shingles, sorted) of each paragraph of LEAST words."""
+    """(first byte, end byte, distinct shingles, sorted) of each paragraph of LEAST words, and of the long ones."""
     data = (text or "").encode("utf-8", "surrogatepass")
     ws = words(text or "")
     if len(ws) < LEAST:
@@ -100,9 +105,32 @@ def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
             if y - x >= LEAST and (not out or out[-1][0] != int(begins[x])):
                 out.append((int(begins[x]), int(ends[y - 1]), _distinct(sh[x : y - WORDS + 1])))
             done = max(done, last + 1)
+    laid = {(x, y) for x, y, _ in out}
+    for x, y in long_paragraphs(h):
+        if (place := (int(begins[x]), int(ends[y - 1]))) not in laid:
+            out.append((*place, _distinct(sh[x : y - WORDS + 1])))
     return out
 
 
+def long_paragraphs(h: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, end word) of each long paragraph of the words with these hashes."""
+    n = len(h)
+    if n < 2 * LONG:
+        # Too short for two of them beside each other.
+        cuts = np.array([0, n])
+    else:
+        pair = fold([h[:-1], h[1:]])
+        rim = np.full(APART, np.iinfo(np.uint64).max)
+        least = np.lib.stride_tricks.sliding_window_view(np.r_[rim, pair, rim], 2 * APART + 1).min(axis=1)
+        cuts = np.unique(np.r_[0, np.flatnonzero(pair == least), n])
+    first = np.flatnonzero(cuts <= n - LONG)
+    to = np.searchsorted(cuts, cuts[first] + LONG)
+    found = dict.fromkeys(zip(cuts[first].tolist(), cuts[to].tolist(), strict=True))
+    # The last of them reaches the end, so that no word is in none.
+    found[int(cuts[first[-1]]) if len(first) else 0, n] = None
+    return list(found)
+
+
 def least_pairs(h: np.ndarray) -> np.ndarray:
     """Where the pair of words is the least of some NEAR consecutive ones; the first of equal pairs."""
     pair = fold([h[:-1], h[1:]])

@@ -203,6 +203,23 @@ def test_paragraph_dedup_of_passages_at_any_place(spark):
             assert got[i]["n_removed"] == 0
 
 
+def test_paragraph_dedup_of_near_copies(spark):
+    """Texts of two sentences of 24 to 48 words, and copies in which a word in the middle third is another one."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    docs = {}
+    for k in range(40):
+        first = [word() + ("." if j == n - 1 else "") for n in [rng.randint(24, 48) for _ in range(2)] for j in range(n)]
+        other = list(first)
+        other[rng.randrange(len(first) // 3, 2 * len(first) // 3)] = "changed"
+        docs[2 * k], docs[2 * k + 1] = " ".join(first), " ".join(other)
+    assert jaccard_groups(docs) == {i: (n, i - i % 2) for i, (n, _) in jaccard_groups(docs).items()}
+    got = {r["doc_id"]: r for r in paragraph_dedup.remove_paragraphs(table(spark, docs.items())).collect()}
+    assert all(got[i]["n_removed"] == 0 for i in docs if not i % 2)
+    whole = [got[i]["n_removed"] == got[i]["n_bytes"] for i in docs if i % 2]
+    assert sum(whole) >= 0.9 * len(whole)
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = {i: sentences(rng, 4) for i in range(20)} | {20: "Alpha beta", 21: "", 22: None, 23: "Éa É é " + sentences(rng, 2)}
