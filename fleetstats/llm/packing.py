@@ -3,8 +3,9 @@
 Texts become token ids with an end mark; only longer ones than a sequence are cut, the first piece takes the remainder. The
 histogram of piece lengths (at most a sequence's length of numbers) goes to the driver. There multiplicative weights solve
 the configuration linear program: weights are the prices of lengths, a knapsack dynamic program finds the configuration worth
-most at these prices for each length, and prices of what these cover fall. The solution is rounded down; what is left is
-packed by best fit. Pieces find their place by rank within their length, so no task sees them all.
+most at these prices for each length, and prices of what these cover fall. The solution is rounded down, once all of it and once
+only what fills a sequence; what is left is packed by best fit. Of these packings and that by best fit alone the one with the
+fewest sequences counts. Pieces find their place by rank within their length, so no task sees them all.
 
 Null texts are empty and give the end mark alone. Repeated rows are packed as often as they occur.
 """
@@ -130,22 +131,30 @@ def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int,
     return used
 
 
-def solve(histogram: dict[int, int], capacity: int = LENGTH, rounds: int = 200, step: float = 0.05, slack: float = 0.01, full: float = 1.0) -> list[tuple[dict[int, int], int]]:
+def solve(histogram: dict[int, int], capacity: int = LENGTH, rounds: int = 200, step: float = 0.05, slack: float = 0.01) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: how many} with how often each is used; together they hold the histogram exactly.
 
-    Of the fractional solution those that fill ``full`` of a sequence are rounded down; the rest is left to best fit.
+    The one with the fewest sequences of three: the fractional solution rounded down, only its full sequences rounded down, nothing of it;
+    each with best fit for what is left.
     """
     histogram = {k: v for k, v in histogram.items() if v > 0}
     if not histogram:
         return []
     sizes = np.array(sorted(histogram), dtype=np.int64)
-    left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    used = fractional(sizes, left.astype(np.float64), capacity, rounds, step, slack)
+    need = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
+    used = fractional(sizes, need.astype(np.float64), capacity, rounds, step, slack)
+    packings = [rounded(sizes, need, capacity, used, least) for least in (capacity, 0)] + [best_fit(sizes, need, capacity)]
+    return min(packings, key=lambda found: sum(times for _, times in found))
+
+
+def rounded(sizes: np.ndarray, need: np.ndarray, capacity: int, used: dict[tuple[int, ...], float], least: int) -> list[tuple[dict[int, int], int]]:
+    """``used`` rounded down where a configuration has ``least`` tokens or more; the rest by best fit."""
+    left = need.copy()
     found: list[tuple[dict[int, int], int]] = []
     # Rounded down, the fullest configurations first; of equally full ones those with the longest piece.
     for key in sorted(used, key=lambda k: (-int(sizes[list(k)].sum()), -max(k))):
         index, count = np.unique(key, return_counts=True)
-        if int(sizes[list(key)].sum()) < full * capacity:
+        if int(sizes[list(key)].sum()) < least:
             break
         times = int(min(np.floor(used[key]), (left[index] // count).min()))
         if times > 0:
