@@ -16,8 +16,6 @@ from fleetstats.llm.langid import identify
 from fleetstats.llm.packing import cut, pack
 from fleetstats.llm.suffix_dedup import remove_repeats
 
-#: A document of a lower cosine with every language goes.
-LEAST_SCORE = 0.05
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -28,9 +26,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or like no language, go."""
-    found = identify(docs.select(*COLUMNS))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    """Documents without letters go. A low cosine is no ground: that of a text of one word is low in any language."""
+    return identify(docs.select(*COLUMNS)).where("lang_pred != 'und'").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
