@@ -3,7 +3,9 @@
 A passage may stand anywhere in a text, so paragraphs are laid by content: sentences (up to a full stop or a line end) with
 the least hash among their neighbours begin one, which goes on for whole sentences until it has PARAGRAPH words. A repeated
 passage of four sentences has such a beginning in common wherever it stands. What lies between them is laid out in the same way
-from where the last one ends. Paragraphs under LEAST words are left alone.
+from where the last one ends. A text under LEAST words is one paragraph. What is left
+under LEAST words at the end of a longer text is none of its own: with such paragraphs, 14 of the 160 texts of
+sf0.001 without a repeat of 100 bytes lost words. The last long paragraph holds it.
 
 Beside these, spans of SPAN words begin wherever a pair of words has the least hash of some NEAR consecutive pairs, whatever the
 sentences are. Any run of SPAN + NEAR - 1 = 50 words that two texts share has such a beginning in its first NEAR words, so it holds a
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import join_hot, maybe_broadcast, stored
 from .components import link_lists
 from .jaccard_join import LISTS, shared_lists, split_lists
-from .shingles import WORDS, digest, fold, words
+from .shingles import WORDS, digest, fold, shingles, words
 
 NEIGHBOURS = 4
 PARAGRAPH = 24
@@ -66,14 +68,16 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
-    """(first byte, end byte, distinct shingles, sorted) of each paragraph of LEAST words, and of the long ones."""
+    """(first byte, end byte, distinct shingles, sorted) of each paragraph of LEAST words, and of the long ones; of a shorter text, of all of it."""
     data = (text or "").encode("utf-8", "surrogatepass")
     ws = words(text or "")
-    if len(ws) < LEAST:
+    if not ws:
         return []
     raw = np.frombuffer(data, np.uint8)
     space = np.r_[True, _SPACE[raw], True]
     begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    if len(ws) < LEAST:
+        return [(int(begins[0]), int(ends[-1]), shingles(ws))]
     lines = np.cumsum(np.r_[raw == 10, False])
     last = _STOP[raw[ends - 1]] | np.r_[lines[begins[1:]] > lines[ends[:-1] - 1], True]
     h = pd.util.hash_array(np.array(ws, dtype=object), categorize=False)

@@ -220,6 +220,16 @@ def test_paragraph_dedup_of_near_copies(spark):
     assert sum(whole) >= 0.9 * len(whole)
 
 
+def test_paragraph_dedup_of_short_texts(spark):
+    """Texts of 1 to 11 words go if an earlier one is the same but for case and white space."""
+    rng = random.Random(14)
+    short = {n: sentences(rng, 1, n) for n in range(1, 12)}
+    docs = {n: t for n, t in short.items()} | {100 + n: f" {t.upper()}\n" for n, t in short.items()} | {200 + n: "no " + t for n, t in short.items() if n < 5}
+    got = {r["doc_id"]: r for r in paragraph_dedup.remove_paragraphs(table(spark, docs.items()).repartition(3)).collect()}
+    assert all((got[100 + n]["n_removed"], got[100 + n]["sources"]) == (len(t), [n]) for n, t in short.items())
+    assert all(r["n_removed"] == 0 for i, r in got.items() if not 100 < i < 200)
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = {i: sentences(rng, 4) for i in range(20)} | {20: "Alpha beta", 21: "", 22: None, 23: "Éa É é " + sentences(rng, 2)}
