@@ -60,7 +60,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL can't express the tokenizer or the language profiles; tests hold the pipeline against brute force.
+#: SQL can't express the tokenizer or the language profiles. Tests hold the language stage alone; the chain has none yet.
 ORACLE_SQL = None
 
 
