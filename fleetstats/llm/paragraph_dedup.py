@@ -127,12 +127,15 @@ def long_paragraphs(h: np.ndarray) -> list[tuple[int, int]]:
         rim = np.full(APART, np.iinfo(np.uint64).max)
         least = np.lib.stride_tricks.sliding_window_view(np.r_[rim, pair, rim], 2 * APART + 1).min(axis=1)
         cuts = np.unique(np.r_[0, np.flatnonzero(pair == least), n])
-    first = np.flatnonzero(cuts <= n - LONG)
-    to = np.searchsorted(cuts, cuts[first] + LONG)
-    found = dict.fromkeys(zip(cuts[first].tolist(), cuts[to].tolist(), strict=True))
+    found, x = [], 0
+    # Beside each other, since overlapping ones of a text would link and join what has nothing in common.
+    while n - x >= LONG:
+        found.append((x, int(cuts[np.searchsorted(cuts, x + LONG)])))
+        x = found[-1][1]
     # The last of them reaches the end, so that no word is in none.
-    found[int(cuts[first[-1]]) if len(first) else 0, n] = None
-    return list(found)
+    if x < n:
+        found[-1:] = [(found[-1][0] if found else 0, n)]
+    return found
 
 
 def least_pairs(h: np.ndarray) -> np.ndarray:

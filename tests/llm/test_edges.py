@@ -197,8 +197,8 @@ def test_paragraph_dedup_of_passages_at_any_place(spark):
     got = {r["doc_id"]: r for r in paragraph_dedup.remove_paragraphs(table(spark, docs.items()).repartition(3)).collect()}
     for i, n in places.items():
         if i % 2:
-            # Eight bytes a word and a stop for eleven words; up to NEAR - 1 words at either end may stay.
-            assert got[i]["sources"] == [i - 1] and repeats[i][1] * (n - 24) / n - 20 <= got[i]["n_removed"] <= repeats[i][1] + 1
+            # Up to NEAR - 1 words at either end may stay; a long paragraph of J >= 0.8 may take a fifth of other words along.
+            assert got[i]["sources"] == [i - 1] and repeats[i][1] * (n - 24) / n - 20 <= got[i]["n_removed"] <= 1.25 * repeats[i][1] + 40
         else:
             assert got[i]["n_removed"] == 0
 
