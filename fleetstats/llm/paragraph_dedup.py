@@ -1,257 +1,289 @@
 """Substring dedup by paragraph MinHash banding.
 
-A passage may stand anywhere in a text, so paragraphs are laid by content: sentences (up to a full stop or a line end) with
-the least hash among their neighbours begin one, which goes on for whole sentences until it has PARAGRAPH words. A repeated
-passage of four sentences has such a beginning in common wherever it stands. What lies between them is laid out in the same way
-from where the last one ends. A text under LEAST words is one paragraph. What is left
-under LEAST words at the end of a longer text is none of its own: with such paragraphs, 14 of the 160 texts of
-sf0.001 without a repeat of 100 bytes lost words. The last long paragraph holds it.
-
-Beside these, spans of SPAN words begin wherever a pair of words has the least hash of some NEAR consecutive pairs, whatever the
-sentences are. Any run of SPAN + NEAR - 1 = 50 words that two texts share has such a beginning in its first NEAR words, so it holds a
-whole span in common, and the spans in it cover all but its first and last few words. Spans are matched exactly.
-
-Long paragraphs, of LONG words or more, are banded with the others: in one of under 49 words, a changed word inside takes J
-under 0.8. They go from a pair of words that is the least of all within APART words to the first such pair (or the text's end) that is
-LONG words on; texts of fewer words are one.
-
-Each paragraph's 5-word shingles give a MinHash signature in bands; with 5 bands of 2, pairs of J = 0.8 meet with probability 0.994.
-Colliding paragraphs are verified by exact Jaccard (0.8 or more) and clustered by components; of each cluster the first
-paragraph (smallest doc_id, then place) stays and the others go, but for those that overlap the first one itself. Equal paragraphs are one node throughout.
-
-Null texts are empty; texts without an id keep everything. Repeated rows of an id get equal results. Only id and text are read.
+A passage may stand anywhere in a text, so paragraphs are laid by content, at two sizes. Long ones, of LONG words or more, lie beside
+each other, from a pair of words whose hash is the least of all within APART words to the first such pair (or the text's end)
+that is LONG words on; what is left under LONG words at a text's end is part of its last one, and texts of fewer words are one
+paragraph. Short ones have SPAN words and begin wherever a pair of words has the least hash of some NEAR consecutive pairs. Any run of SPAN + NEAR - 1 =
+50 words that two texts share has such a beginning in its first NEAR words, so it holds a whole short paragraph in common, and those in
+it cover all but its first and last few words.
+
+Equal paragraphs are one node. Long nodes' 5-word shingles give a MinHash signature in bands; with 7 bands of 3, pairs of J = 0.8 meet
+with probability 0.993, of 0.4 with 0.37. Colliding ones are verified by exact Jaccard (0.8 or more) and clustered by components; of each
+cluster the first paragraph (smallest doc_id, then place) stays and the others go. In short ones a single changed word takes J under
+0.8 unless it is among the outer two at either end, so their only band is the whole paragraph.
+
+Null texts are empty; texts without an id keep everything. Rows that repeat an id and text are one document and get equal results; equal
+short paragraphs of a text that overlap count once. Only id and text are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, maybe_broadcast, stored
+from .common import maybe_broadcast, stored
 from .components import link_lists
 from .jaccard_join import LISTS, shared_lists, split_lists
-from .shingles import WORDS, digest, fold, shingles, words
+from .shingles import WORDS, fold, hashed_words, least_of_windows, mix, powers
 
-NEIGHBOURS = 4
-PARAGRAPH = 24
-LEAST = 12
 SPAN, NEAR = 38, 13
 LONG, APART = 60, 24
-BANDS, ROWS = 5, 2
+BANDS, ROWS = 7, 3
 PERCENT = 80
 #: A band's list with more nodes than this in one task is dealt by node.
 MANY = 256
+#: Bytes of texts laid out at once, and rows that a task merges at once.
+CHUNK, FLUSH = 1 << 20, 1_000_000
 #: u and v are maps of 64 bits each of the shingles; every bit in which two differ is a shingle that only one of them has.
 BOUND = f"{100 + PERCENT} * least(na, nb) >= {PERCENT} * (na + nb) AND {100 + PERCENT} * (bit_count(ua ^ ub) + bit_count(va ^ vb)) <= {100 - PERCENT} * (na + nb)"
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_STOP = np.zeros(256, bool)
-_STOP[list(b".!?")] = True
 _A = np.random.Generator(np.random.Philox(key=11)).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_C = np.random.Generator(np.random.Philox(key=12)).integers(0, 1 << 63, SPAN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R, _M = np.uint64(31), np.uint64(0xBF58476D1CE4E5B9)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
+_PLACES = np.uint64((1 << 24) - 1)
+_TOP = np.uint64(np.iinfo(np.uint64).max)
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    new = np.empty(len(x), bool)
-    new[0] = True
-    np.not_equal(x[1:], x[:-1], out=new[1:])
-    return x[new]
+def _run_hashes(h: np.ndarray) -> np.ndarray:
+    """Of every run of SPAN words: that of its first 32 and its last 32 words, by doubling."""
+    size = 1
+    while size < 32:
+        h = (h[:-size] ^ (h[:-size] >> _R)) * _M + h[size:]
+        size *= 2
+    last = SPAN - 32
+    return mix(mix(h[: len(h) - last]) + h[last:])
 
 
-def paragraphs(text: str | None) -> list[tuple[int, int, np.ndarray]]:
-    """(first byte, end byte, distinct shingles, sorted) of each paragraph of LEAST words, and of the long ones; of a shorter text, of all of it."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    ws = words(text or "")
-    if not ws:
+def short_beginnings(h: np.ndarray, crossing: np.ndarray) -> np.ndarray:
+    """Where the pair of words is the least of some NEAR consecutive ones of its text, the first of equals.
+
+    ``crossing``: whether a pair's words stand in different texts.
+    """
+    found = []
+    for at in range(0, max(0, len(h) - NEAR), 1 << 22):
+        own = slice(at, at + (1 << 22) + NEAR)
+        v = (fold([h[own][:-1], h[own][1:]]) & ~_PLACES) | np.arange(len(h[own]) - 1, dtype=np.uint64)
+        v = np.where(crossing[own][: len(v)], _TOP, v)
+        least = least_of_windows(v, NEAR)
+        crossed = np.cumsum(np.r_[0, crossing[own][: len(v)]])
+        whole = crossed[NEAR:] == crossed[:-NEAR]
+        found.append((least[whole] & _PLACES).astype(np.int64) + at)
+    # These never go back from one window to the next.
+    chosen = np.concatenate(found) if found else np.empty(0, np.int64)
+    return chosen[np.r_[True, chosen[1:] != chosen[:-1]][: len(chosen)]]
+
+
+def long_paragraphs(h: np.ndarray, crossing: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end word of each long paragraph of texts whose words stand at ``firsts`` to ``ends``."""
+    pair = np.where(crossing, _TOP, fold([h[:-1], h[1:]])) if len(h) > 1 else np.empty(0, np.uint64)
+    rim = np.full(APART, _TOP)
+    cuts = np.flatnonzero(pair == least_of_windows(np.r_[rim, pair, rim], 2 * APART + 1)) if len(pair) else np.empty(0, np.int64)
+    cuts = cuts[~crossing[cuts]].tolist()
+    begin, end = [], []
+    for x, n in zip(firsts.tolist(), ends.tolist(), strict=True):
+        first = x
+        # Beside each other, since overlapping ones of a text would link and join what has nothing in common.
+        while n - x >= (LONG if n - first >= 2 * LONG else n - first + 1):
+            k = bisect_left(cuts, x + LONG)
+            y = min(cuts[k], n) if k < len(cuts) else n
+            begin.append(x)
+            end.append(y)
+            x = y
+        if x == first:
+            begin.append(x)
+            end.append(n)
+        elif x < n:
+            # The last of them reaches the end, so that no word is in none.
+            end[-1] = n
+    return np.array(begin, np.int64), np.array(end, np.int64)
+
+
+def band_keys(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key for each band and set; sets begin at ``at`` in ``flat``."""
+    keys = np.empty((len(at), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(at), band + 1, np.uint64)
+        for r in range(ROWS):
+            x = flat * _A[band * ROWS + r]
+            x ^= x >> _R
+            x *= _M
+            x ^= x >> _R
+            key = (key ^ (key >> _R)) * _M + np.minimum.reduceat(x, at)
+        keys[:, band] = (key ^ (key >> _R)) * _M
+    return keys
+
+
+def sets_of(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, their sets' numbers, where sets begin), repeats included, of the words from ``begin`` to ``end``; of fewer than WORDS all as one."""
+    if not len(begin):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    count = np.maximum(end - begin - WORDS + 1, 1)
+    at = np.cumsum(count) - count
+    which = np.repeat(np.arange(len(begin)), count)
+    padded = np.r_[h, np.zeros(WORDS, np.uint64)]
+    all_of = fold([padded[i : len(h) + i] for i in range(WORDS)])
+    flat = all_of[begin[which] + np.arange(len(which)) - at[which]]
+    for i in np.flatnonzero(end - begin < WORDS):
+        own = h[begin[i] : end[i]]
+        flat[at[i]] = fold([np.full(1, len(own), np.uint64), *own[:, None]])[0]
+    return flat, which, at
+
+
+def distinct(flat: np.ndarray, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingles, sets' numbers, sizes) without repeats; sorted within a set."""
+    order = np.lexsort((flat, which))
+    flat, which = flat[order], which[order]
+    keep = np.r_[True, (flat[1:] != flat[:-1]) | (which[1:] != which[:-1])][: len(flat)]
+    return flat[keep], which[keep], np.bincount(which[keep], minlength=k)
+
+
+#: Kinds of rows: a short paragraph, a long one, one that stands earlier in the same task.
+SHORT, WHOLE, AGAIN = 0, 1, 2
+UNIT = pa.struct([("n", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("bands", pa.list_(pa.int64()))])
+ROWS_OF = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("size", pa.int64()), ("first_doc", pa.int64()), ("unit", UNIT)])
+ROWS_SQL = "kind byte, node long, check int, doc_id long, begin long, size long, first_doc long, unit struct<n:int,u:long,v:long,bands:array<long>>"
+
+
+def lay_out(texts: list[bytes], ids: np.ndarray) -> list[tuple]:
+    """(kind, node, check, doc_id, begin, size) of the short and of the long paragraphs of some texts; with the long ones (n, u, v, bands)."""
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    base = np.cumsum(sizes) - sizes
+    begins, ends, h = hashed_words(b" ".join(texts))
+    if not len(h):
         return []
-    raw = np.frombuffer(data, np.uint8)
-    space = np.r_[True, _SPACE[raw], True]
-    begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-    if len(ws) < LEAST:
-        return [(int(begins[0]), int(ends[-1]), shingles(ws))]
-    lines = np.cumsum(np.r_[raw == 10, False])
-    last = _STOP[raw[ends - 1]] | np.r_[lines[begins[1:]] > lines[ends[:-1] - 1], True]
-    h = pd.util.hash_array(np.array(ws, dtype=object), categorize=False)
-    sentence_end = np.flatnonzero(last) + 1
-    sentence_begin = np.r_[0, sentence_end[:-1]]
-    named = np.add.reduceat((h ^ (h >> _R)) * _M, sentence_begin)
-    k = len(named)
-    if k <= NEIGHBOURS:
-        chosen = np.unique([0, int(named.argmin())])
+    of = np.searchsorted(base, begins, side="right") - 1
+    crossing = of[1:] != of[:-1]
+    other = mix(h * _OTHER)
+    out = []
+    at = short_beginnings(h, crossing)
+    at = at[at + SPAN <= len(h)]
+    at = at[of[at] == of[at + SPAN - 1]]
+    if len(at):
+        out.append((SHORT, _run_hashes(h)[at].view(np.int64), (_run_hashes(other)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[of[at]], begins[at] - base[of[at]], ends[at + SPAN - 1] - begins[at], None))
+    edges = np.flatnonzero(np.r_[True, crossing])
+    x, y = long_paragraphs(h, crossing, edges, np.r_[edges[1:], len(h)])
+    step = np.arange(int((y - x).sum())) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
+    place, weight, heads = np.repeat(x, y - x) + step, powers(step), np.cumsum(y - x) - (y - x)
+    node = mix(np.add.reduceat(mix(h)[place] * weight, heads) + (y - x).astype(np.uint64))
+    check = mix(np.add.reduceat(other[place] * weight, heads))
+    flat, which, starts = sets_of(h, x, y)
+    # Sizes without repeats, by 44 bits of each shingle: they only bound what is then counted exactly.
+    if len(x) < 1 << 20:
+        key = np.sort((which.astype(np.uint64) << np.uint64(44)) | (flat >> np.uint64(20)))
+        n = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(44)).astype(np.int64), minlength=len(x))
     else:
-        near = np.lib.stride_tricks.sliding_window_view(named, NEIGHBOURS)
-        chosen = np.unique(near.argmin(axis=1) + np.arange(len(near)))
-    sh = fold([h[i : len(h) - WORDS + 1 + i] for i in range(WORDS)])
-    ends_at = np.minimum(np.searchsorted(sentence_end, sentence_begin + PARAGRAPH), k - 1).tolist()
-    out, done = [], 0
-    for anchor in [*chosen.tolist(), k]:
-        # What lies between paragraphs is laid out from the last one's end on.
-        while done <= anchor and done < k:
-            first = done if done < anchor else anchor
-            last = ends_at[first]
-            x, y = int(sentence_begin[first]), int(sentence_end[last])
-            if y - x >= LEAST:
-                out.append((int(begins[x]), int(ends[y - 1]), _distinct(sh[x : y - WORDS + 1])))
-            done = last + 1
-        if anchor < k and done > anchor:
-            # The anchor's own paragraph, unless it was just laid.
-            last = ends_at[anchor]
-            x, y = int(sentence_begin[anchor]), int(sentence_end[last])
-            if y - x >= LEAST and (not out or out[-1][0] != int(begins[x])):
-                out.append((int(begins[x]), int(ends[y - 1]), _distinct(sh[x : y - WORDS + 1])))
-            done = max(done, last + 1)
-    laid = {(x, y) for x, y, _ in out}
-    for x, y in long_paragraphs(h):
-        if (place := (int(begins[x]), int(ends[y - 1]))) not in laid:
-            out.append((*place, _distinct(sh[x : y - WORDS + 1])))
+        n = distinct(flat, which, len(x))[2]
+    bits, high = np.uint64(1) << (flat & np.uint64(63)), (flat & np.uint64(64)) != 0
+    u = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bits), starts).view(np.int64)
+    v = np.bitwise_or.reduceat(np.where(high, bits, np.uint64(0)), starts).view(np.int64)
+    unit = (n.astype(np.int32), u, v, band_keys(flat, starts).view(np.int64))
+    out.append((WHOLE, node.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[of[x]], begins[x] - base[of[x]], ends[y - 1] - begins[x], unit))
     return out
 
 
-def long_paragraphs(h: np.ndarray) -> list[tuple[int, int]]:
-    """(first word, end word) of each long paragraph of the words with these hashes."""
-    n = len(h)
-    if n < 2 * LONG:
-        # Too short for two of them beside each other.
-        cuts = np.array([0, n])
-    else:
-        pair = fold([h[:-1], h[1:]])
-        rim = np.full(APART, np.iinfo(np.uint64).max)
-        least = np.lib.stride_tricks.sliding_window_view(np.r_[rim, pair, rim], 2 * APART + 1).min(axis=1)
-        cuts = np.unique(np.r_[0, np.flatnonzero(pair == least), n])
-    found, x = [], 0
-    # Beside each other, since overlapping ones of a text would link and join what has nothing in common.
-    while n - x >= LONG:
-        found.append((x, int(cuts[np.searchsorted(cuts, x + LONG)])))
-        x = found[-1][1]
-    # The last of them reaches the end, so that no word is in none.
-    if x < n:
-        found[-1:] = [(found[-1][0] if found else 0, n)]
-    return found
-
-
-def least_pairs(h: np.ndarray) -> np.ndarray:
-    """Where the pair of words is the least of some NEAR consecutive ones; the first of equal pairs."""
-    pair = fold([h[:-1], h[1:]])
-    near = np.lib.stride_tricks.sliding_window_view(pair, NEAR)
-    return np.unique(near.argmin(axis=1) + np.arange(len(near)))
-
+def _batch(kind: int, node, check, doc, begin, size, first_doc=None, unit=None) -> pa.RecordBatch:
+    k = len(doc)
+    whole = pa.nulls(k, UNIT)
+    if unit is not None:
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(unit[3].ravel()))
+        whole = pa.StructArray.from_arrays([pa.array(unit[0]), pa.array(unit[1]), pa.array(unit[2]), bands], fields=list(UNIT))
+    first = pa.nulls(k, pa.int64()) if first_doc is None else pa.array(first_doc)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(node), pa.array(check), pa.array(doc), pa.array(begin), pa.array(size), first, whole], schema=ROWS_OF)
+
+
+def _without_overlaps(node: np.ndarray, doc: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which rows, in order of node, document and place, overlap no earlier kept one of their node and document."""
+    keep = np.ones(len(node), bool)
+    same = np.r_[False, (node[1:] == node[:-1]) & (doc[1:] == doc[:-1])]
+    end = 0
+    for i in np.flatnonzero(same).tolist():
+        if not same[i - 1]:
+            end = begin[i - 1] + size[i - 1]
+        # Rows that repeat an id have equal places; those stay and are told apart later.
+        if begin[i] < end and begin[i] != begin[i - 1]:
+            keep[i] = False
+        else:
+            end = begin[i] + size[i]
+    return keep
+
+
+def _merged(kind: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Paragraphs of one kind; those that equal an earlier one here are told apart, so that what meets of a node is bounded by the tasks."""
+    node, check, doc, begin, size = (np.concatenate([f[i] for f in found]) for i in range(5))
+    unit = tuple(np.concatenate([f[5][i] for f in found]) for i in range(4)) if kind == WHOLE else None
+    order = np.lexsort((begin, doc, check, node))
+    node, check, doc, begin, size = (x[order] for x in (node, check, doc, begin, size))
+    if unit is None:
+        keep = _without_overlaps(node, doc, begin, size)
+        node, check, doc, begin, size = (x[keep] for x in (node, check, doc, begin, size))
+    first = np.r_[True, (node[1:] != node[:-1]) | (check[1:] != check[:-1])]
+    leader = np.flatnonzero(first)[np.cumsum(first) - 1]
+    again = ~first & ((doc != doc[leader]) | (begin != begin[leader]))
+    for at in range(0, len(node), 100_000):
+        own = slice(at, at + 100_000)
+        f, a = np.flatnonzero(first[own]) + at, np.flatnonzero(again[own]) + at
+        yield _batch(kind, node[f], check[f], doc[f], begin[f], size[f], None, None if unit is None else tuple(x[order[f]] for x in unit))
+        if len(a):
+            yield _batch(AGAIN, mix((doc[a] * 31 + begin[a]).view(np.uint64)).view(np.int64), check[a], doc[a], begin[a], size[a], doc[leader[a]])
+
+
+def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The paragraphs of all texts of a task."""
+    found: dict[int, list[tuple]] = {SHORT: [], WHOLE: []}
+    ids: list[int] = []
+    texts: list[bytes] = []
+    size = held = 0
+
+    def work() -> None:
+        nonlocal ids, texts, size, held
+        for kind, *columns in lay_out(texts, np.array(ids, np.int64)):
+            found[kind].append(columns)
+            held += len(columns[0])
+        ids, texts, size = [], [], 0
 
-SPANS = "doc_id long, begin long, end long, node long"
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The spans of each text; a node is the hash of a span's words."""
     for b in batches:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-            if doc is None or len(ws := words(text or "")) < SPAN:
+        for doc, text in zip(b[0], b[1], strict=True):
+            if not doc.is_valid or not text.is_valid:
                 continue
-            space = np.r_[True, _SPACE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], True]
-            begins, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
-            h = pd.util.hash_array(np.array(ws, dtype=object), categorize=False)
-            at = least_pairs(h)
-            at = at[at <= len(h) - SPAN]
-            mixed = (h ^ (h >> _R)) * _M
-            node = np.lib.stride_tricks.sliding_window_view(mixed ^ (mixed >> _R), SPAN)[at] @ _C
-            node = (node ^ (node >> _R)) * _M
-            parts.append((np.full(len(at), doc, np.int64), begins[at], ends[at + SPAN - 1], (node ^ (node >> _R)).view(np.int64)))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=[x.split()[0] for x in SPANS.split(", ")])
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, begin, end, first_doc of spans that stand earlier too, apart from themselves."""
-    spans = stored(docs.select("doc_id", "text").mapInArrow(_spans, SPANS))
-    classes = spans.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    classes = stored(classes.select("node", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.begin").alias("first_begin"), F.col("first.end").alias("first_end")))
-    return cuts_of(spans, classes)
-
-
-def cuts_of(units: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc_id, begin, end, first_doc of the units that aren't their class's first one and don't overlap it."""
-    met = join_hot(units, classes, "node", "inner").where("doc_id != first_doc OR begin >= first_end")
-    return met.select("doc_id", "begin", "end", "first_doc")
-
-
-def bit_maps(s: np.ndarray) -> tuple[int, int]:
-    """Which of 128 remainders the shingles have."""
-    high = (s & np.uint64(64)) != 0
-    bits = np.uint64(1) << (s & np.uint64(63))
-    return tuple(int(np.bitwise_or.reduce(bits[part], initial=np.uint64(0)).astype(np.uint64).view(np.int64)) for part in (~high, high))
-
-
-UNITS = "doc_id long, begin long, end long, n int, node long, u long, v long"
-
-
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    for b in batches:
-        rows = []
-        for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-            if doc is not None:
-                rows += [(doc, x, y, len(s), digest(s), *bit_maps(s)) for x, y, s in paragraphs(text)]
+            data = text.as_buffer().to_pybytes()
+            if ids and size + len(data) > CHUNK:
+                work()
+            ids.append(doc.as_py())
+            texts.append(data)
+            size += len(data)
+            if held > FLUSH:
+                for kind, rows in found.items():
+                    if rows:
+                        yield from _merged(kind, rows)
+                found, held = {SHORT: [], WHOLE: []}, 0
+    if ids:
+        work()
+    for kind, rows in found.items():
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in UNITS.split(", ")])
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A key for each set and band."""
-    flat = np.concatenate(sets)
-    at = np.cumsum([0, *map(len, sets)])[:-1]
-    keys = []
-    for band in range(BANDS):
-        key = np.full(len(sets), band + 1, np.uint64)
-        for r in range(ROWS):
-            x = flat * _A[band * ROWS + r]
-            x = (x ^ (x >> _R)) * _M
-            key = (key ^ (key >> _R)) * _M + np.minimum.reduceat(x ^ (x >> _R), at)
-        keys.append((key ^ (key >> _R)) * _M)
-    return np.stack(keys, axis=1)
+            yield from _merged(kind, rows)
 
 
 BANDED = "s long, node long, n int, pos int, frequent boolean, notice boolean"
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of each paragraph that is new to the task; lists with many rows here are marked, with a notice."""
-    seen: set[int] = set()
-    sets: list[np.ndarray] = []
-    nodes: list[int] = []
-
-    def flush() -> pa.RecordBatch:
-        s = band_keys(sets).view(np.int64).ravel()
-        node, n = np.repeat(np.array(nodes, np.int64), BANDS), np.repeat(np.array([len(x) for x in sets], np.int32), BANDS)
+    """A row for each band of each node; lists with many rows here are marked, with a notice."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        s = pa.compute.list_flatten(b["bands"]).to_numpy()
+        node, n = np.repeat(b["node"].to_numpy(), BANDS), np.repeat(b["n"].to_numpy(), BANDS)
         value, count = np.unique(s, return_counts=True)
         many = value[count > MANY]
         k = len(many)
         cols = (np.r_[s, many], np.r_[node, np.zeros(k, np.int64)], np.r_[n, np.zeros(k, np.int32)], np.zeros(len(s) + k, np.int32), np.r_[np.isin(s, many), np.zeros(k, bool)], np.r_[np.zeros(len(s), bool), np.ones(k, bool)])
-        return pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=[x.split()[0] for x in BANDED.split(", ")])
-
-    for b in batches:
-        for doc, text in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
-            if doc is None:
-                continue
-            for _, _, s in paragraphs(text):
-                if (node := digest(s)) not in seen:
-                    seen.add(node)
-                    sets.append(s)
-                    nodes.append(node)
-        if len(nodes) > 50_000:
-            yield flush()
-            sets, nodes = [], []
-        if len(seen) > 3_000_000:
-            seen = set()
-    if nodes:
-        yield flush()
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=[x.split()[0] for x in BANDED.split(", ")])
 
 
 def _noticed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,49 +298,84 @@ def _noticed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from shared_lists(iter(t.to_batches()))
 
 
-def clusters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(units, classes): every paragraph, and of each node that isn't alone its class's first paragraph.
+SLICES = "node long, said binary"
 
-    units: doc_id, begin, end, n, node. classes: node, n (paragraphs of that node), first_doc, first_begin, first_end.
-    """
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the wanted paragraphs of each text."""
+    for b in batches:
+        rows = []
+        for text, wanted in zip(b["text"], b["wanted"].to_pylist(), strict=True):
+            data = text.as_buffer()
+            rows += [(w["node"], data.slice(w["begin"], w["size"]).to_pybytes()) for w in wanted if w["begin"] + w["size"] <= data.size]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["node", "said"])
+
+
+def overlap_of(x: list[bytes], y: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets of each pair of texts, and of what they share."""
+    k = len(x)
+    sizes = np.array([len(t) for t in (*x, *y)], np.int64) + 1
+    base = np.cumsum(sizes) - sizes
+    begins, _, h = hashed_words(b" ".join((*x, *y)))
+    first = np.searchsorted(begins, base)
+    flat, which, _ = sets_of(h, first, np.r_[first[1:], len(h)])
+    flat, which, n = distinct(flat, which, 2 * k)
+    pair = which % k
+    order = np.lexsort((flat, pair))
+    flat, pair = flat[order], pair[order]
+    both = (flat[1:] == flat[:-1]) & (pair[1:] == pair[:-1])
+    return n[:k], n[k:], np.bincount(pair[1:][both], minlength=k)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs with J of PERCENT or more."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            b = batch.slice(at, 2000)
+            na, nb, o = overlap_of(b["x"].to_pylist(), b["y"].to_pylist())
+            yield b.select(["a", "b"]).filter(pa.array((100 + PERCENT) * o >= PERCENT * (na + nb)))
+
+
+def clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, begin, size, first_doc of every paragraph that isn't the first of its cluster."""
     docs = docs.select("doc_id", "text")
-    units = stored(docs.mapInArrow(_units, UNITS))
-    nodes = stored(units.groupBy("node").agg(F.min(F.struct("doc_id", "begin", "end")).alias("first"), F.count(F.lit(1)).alias("n"), F.max("u").alias("u"), F.max("v").alias("v")))
-    units = units.drop("u", "v")
-    banded = docs.mapInArrow(_bands, BANDED)
+    place = Window.partitionBy("node").orderBy("doc_id", "begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = docs.mapInArrow(_lay, ROWS_SQL)
+    rows = rows.select("*", F.row_number().over(Window.partitionBy("node").orderBy("doc_id", "begin")).alias("_nth"), *(F.first(c).over(place).alias(f"_{c}") for c in ("check", "doc_id", "begin")))
+    # Equal names that are of other words by chance stay, as they fail the check.
+    later = "_nth > 1 AND check = _check AND (doc_id != _doc_id OR begin != _begin)"
+    rows = rows.withColumn("cut", F.expr(f"kind = {AGAIN} OR ({later})"))
+    rows = rows.where(f"cut OR (kind = {WHOLE} AND _nth = 1)").withColumn("first_doc", F.when(F.col("cut"), F.coalesce("first_doc", "_doc_id")))
+    found = stored(rows.select("cut", "node", "doc_id", "begin", "size", "first_doc", F.expr("CASE WHEN NOT cut THEN unit END").alias("unit")))
+    cuts = found.where("cut").select("doc_id", "begin", "size", "first_doc")
+    nodes = found.where("NOT cut").select("node", "doc_id", "begin", "size", "unit.*")
+
+    banded = nodes.select("node", "n", "bands").mapInArrow(_bands, BANDED)
     deal = F.when(F.col("frequent"), F.xxhash64("s", "node")).otherwise(F.col("s"))
     dealt = banded.withColumn("_deal", deal).repartition("_deal").drop("_deal")
     lists, pairs = split_lists(stored(dealt.mapInArrow(_noticed, LISTS)))
     maps = nodes.select("node", "u", "v")
     lists = stored(lists.join(maps, "node"))
+    a, b = (maps.select(F.col("node").alias(x), F.col("u").alias(f"u{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    pairs = stored(pairs.distinct().join(a, "a").join(b, "b").where(BOUND).select("a", "b", "na", "nb"))
+
+    met = lists.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.join(met, "node").groupBy("doc_id").agg(F.collect_list(F.struct("node", "begin", "size")).alias("wanted")))
+    texts = docs.where("text IS NOT NULL").join(maybe_broadcast(wanted, met.count()), "doc_id")
+    slices = stored(texts.select("text", "wanted").mapInArrow(_slices, SLICES).dropDuplicates(["node"]))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        places = stored(ends.join(nodes, "node").select("node", F.col("first.doc_id").alias("doc_id"), F.col("first.begin").alias("begin")))
-        wanted = stored(places.groupBy("doc_id").agg(F.collect_list("node").alias("nodes")))
-        sets = stored(docs.join(maybe_broadcast(wanted, places.count()), "doc_id").select("text", "nodes").mapInArrow(_sets_of, "node long, tokens array<long>").dropDuplicates(["node"]))
-        a, b = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-        met = pairs.join(a, "a").join(b, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
-        return met.where(f"{100 + PERCENT} * o >= {PERCENT} * (na + nb)").select("a", "b")
+        x, y = (slices.select(F.col("node").alias(k), F.col("said").alias(name)) for k, name in (("a", "x"), ("b", "y")))
+        return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long")
 
     labels, _ = link_lists(lists, verify, BOUND, pairs, ("u", "v"))
     if labels is None:
-        joined = nodes.withColumn("component", F.col("node"))
-    else:
-        joined = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    firsts = joined.groupBy("component").agg(F.min("first").alias("leader"), F.sum("n").alias("all")).where("all > 1")
-    classes = joined.join(firsts, "component").select("node", "n", F.col("leader.doc_id").alias("first_doc"), F.col("leader.begin").alias("first_begin"), F.col("leader.end").alias("first_end"))
-    return units, stored(classes)
-
-
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for text, nodes in zip(b["text"].to_pylist(), b["nodes"].to_pylist(), strict=True):
-            wanted = set(nodes)
-            rows += [(k, s.view(np.int64)) for _, _, s in paragraphs(text) if (k := digest(s)) in wanted]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["node", "tokens"])
+        return cuts
+    joined = nodes.select("node", "doc_id", "begin", "size").join(labels, "node")
+    firsts = joined.groupBy("component").agg(F.min(F.struct("doc_id", "begin")).alias("leader"))
+    near = joined.join(firsts, "component").where("doc_id != leader.doc_id OR begin != leader.begin")
+    return cuts.unionByName(near.select("doc_id", "begin", "size", F.col("leader.doc_id").alias("first_doc")))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, sources array<long>"
@@ -316,32 +383,33 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary,
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    for b in batches:
-        rows = []
-        for doc, text, cuts in zip(*(b[x].to_pylist() for x in ("doc_id", "text", "cuts")), strict=True):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            spans: list[list[int]] = []
-            for c in sorted(cuts or (), key=lambda c: (c["begin"], c["end"])):
-                if spans and c["begin"] <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], c["end"])
-                else:
-                    spans.append([c["begin"], c["end"]])
-            at, kept = 0, []
-            for x, y in spans:
-                kept.append(data[at:x])
-                at = y
-            left = b"".join([*kept, data[at:]])
-            rows.append((doc, len(data), len(data) - len(left), len(spans), left, sorted({c["first_doc"] for c in cuts or ()})))
-        if rows:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1000):
+            b = batch.slice(start, 1000)
+            rows = []
+            for doc, text, cuts in zip(*(b[x].to_pylist() for x in ("doc_id", "text", "cuts")), strict=True):
+                data = (text or "").encode("utf-8", "surrogatepass")
+                spans: list[list[int]] = []
+                for c in sorted(cuts or (), key=lambda c: (c["begin"], c["size"])):
+                    end = min(c["begin"] + c["size"], len(data))
+                    if spans and c["begin"] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], end)
+                    elif c["begin"] < end:
+                        spans.append([c["begin"], end])
+                at, kept = 0, []
+                for x, y in spans:
+                    kept.append(data[at:x])
+                    at = y
+                left = b"".join([*kept, data[at:]])
+                rows.append((doc, len(data), len(data) - len(left), len(spans), left, sorted({c["first_doc"] for c in cuts or ()})))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
 def remove_paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed (bytes), n_spans, kept (bytes), sources (documents where the removed paragraphs stay), a row per row."""
-    units, classes = clusters(docs)
-    met = cuts_of(units.drop("n"), classes).unionByName(repeated_spans(docs))
-    cuts = met.groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end", "first_doc")).alias("cuts"))
-    return docs.select("doc_id", "text").join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_remove, RESULT)
+    """doc_id, n_bytes, n_removed (bytes), n_spans, kept (bytes), sources (documents where equal or similar paragraphs stand earlier), a row per row."""
+    cuts = stored(clusters(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "size", "first_doc")).alias("cuts")))
+    total = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
+    return docs.select("doc_id", "text").join(maybe_broadcast(cuts, total), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_remove, RESULT)
 
 
 def op3_substring_dedup(spark, sf_dir):
