@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_at_exit, shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "drop_at_exit", "join_hot", "maybe_broadcast", "shared_dir", "stored", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "drop_at_exit", "join_hot", "maybe_broadcast", "shared_dir", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -15,6 +15,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 500_000
 
 
+#: Texts go to Python in batches of about so many bytes.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes for the session, unless it sets a bound itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, maybe_broadcast, stored
+from .common import bound_batches, join_hot, maybe_broadcast, stored
 from .components import link_lists
 from .shingles import digest, shingles, words
 
@@ -60,19 +60,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("profile", pa.binary()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
     for b in batches:
-        ids, sizes, keys, profiles, found, held = b[0], [], [], [], [], 0
-        for text in b[1].to_pylist():
-            s = shingles(words(text or ""))
+        ids, sizes, keys, profiles = b[0], [], [], []
+        for text in b[1]:
+            s = shingles(words(text.as_py() or ""))
             sizes.append(len(s))
             keys.append(digest(s) if len(s) else None)
             profiles.append(profile(s) if len(s) else None)
-            found.append((s >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-            held += len(s)
-            if held > 4_000_000:
-                sketch += np.bincount(np.concatenate(found), minlength=len(sketch)).astype(np.int32)
-                found, held = [], 0
-        if held:
-            sketch += np.bincount(np.concatenate(found), minlength=len(sketch)).astype(np.int32)
+            np.add.at(sketch, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.int32(1))
         none = pa.nulls(len(ids))
         yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(profiles, pa.binary()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
     if sketch.any():
@@ -123,8 +117,8 @@ def postings(docs: DataFrame, sketch, frequent: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays([_signed(cols[0]), *map(pa.array, cols[1:])], names=[x.split()[0] for x in POSTINGS.split(", ")])
 
             held = 0
-            for text in b[1].to_pylist():
-                s = shingles(words(text or ""))
+            for text in b[1]:
+                s = shingles(words(text.as_py() or ""))
                 n = len(s)
                 if not n or (key := digest(s)) in seen:
                     continue
@@ -278,6 +272,7 @@ def overlaps(pairs: DataFrame, docs: DataFrame, members: DataFrame, sketch, pivo
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of J >= 0.8, itself included."""
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select("doc_id", "text")
     passed = stored(docs.mapInArrow(_sets, SETS))
     sets = passed.where("block IS NULL").select("doc_id", "n", "key", "profile")

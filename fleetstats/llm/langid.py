@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 DIMENSIONS = 1024
 #: Languages are at most this many, so prototypes have a bounded size.
 MOST_LANGUAGES = 2000
 #: Trigram vectors kept in a task; beyond it they are drawn anew.
 MOST_TRIGRAMS = 60_000
-PIECE = 4_000_000
+#: Letters of a text, and trigrams, worked on at once.
+PIECE, SLICE = 1_000_000, 2048
 
 
 @cache
@@ -68,23 +71,31 @@ class Encoder:
         if len(self.codes) + len(new) > MOST_TRIGRAMS:
             self.reset()
             new = codes
-        self.matrix = np.concatenate([self.matrix, self.bind(new)])
+        had = len(self.codes)
+        if had + len(new) > len(self.matrix):
+            grown = np.empty((min(MOST_TRIGRAMS, max(1024, 2 * len(self.matrix), had + len(new))), self.d), np.int8)
+            grown[:had] = self.matrix[:had]
+            self.matrix = grown
+        for at in range(0, len(new), SLICE):
+            own = new[at : at + SLICE]
+            self.matrix[had + at : had + at + len(own)] = self.bind(own)
         where = np.concatenate([self.codes, new])
         order = np.argsort(where, kind="stable")
-        rows = np.concatenate([self.rows, np.arange(len(self.matrix) - len(new), len(self.matrix))])
+        rows = np.concatenate([self.rows, np.arange(had, had + len(new))])
         self.codes, self.rows = where[order], rows[order]
 
     def trigrams(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and counts; long texts go by pieces."""
+        """Codes and counts. Long texts go by pieces, which changes nothing: each goes on from the last one's last two letters."""
         codes, counts = [], []
         text = f" {text.lower()} "
+        tail, before = np.empty(0, np.int64), True
         for at in range(0, len(text), PIECE):
-            points = np.frombuffer(text[max(0, at - 2) : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+            points = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
             letter = _letters()[points]
-            keep = letter.copy()
-            keep[1:] |= letter[:-1]
-            keep[0] |= True
-            points = np.where(letter, points, 32)[keep]
+            keep = letter | np.r_[before, letter[:-1]]
+            before = bool(letter[-1])
+            points = np.r_[tail, np.where(letter, points, 32)[keep]]
+            tail = points[-2:]
             if len(points) >= 3:
                 c, n = np.unique((points[:-2] << 42) | (points[1:-1] << 21) | points[2:], return_counts=True)
                 codes.append(c)
@@ -104,8 +115,8 @@ class Encoder:
         if not len(codes):
             return None
         out = np.zeros(self.d, dtype=np.float64)
-        for at in range(0, len(codes), MOST_TRIGRAMS // 2):
-            c = codes[at : at + MOST_TRIGRAMS // 2]
+        for at in range(0, len(codes), SLICE):
+            c = codes[at : at + SLICE]
             self.know(c)
             vectors = self.matrix[self.rows[np.searchsorted(self.codes, c)]]
             out += counts[at : at + len(c)].astype(np.float32) @ vectors.astype(np.float32)
@@ -167,6 +178,7 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Train on the labelled rows outside the held-out fold (of ``docs`` itself, as a rule), then predict all of ``docs``."""
+    bound_batches(docs.sparkSession)
     source = docs if labelled is None else labelled
     return predict(docs, train(source.where(~held_out(F.col("doc_id")))))
 

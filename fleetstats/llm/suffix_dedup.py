@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import bound_batches, maybe_broadcast, stored
 
 LENGTH = 100
 ANCHOR = 32
@@ -381,6 +381,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered_spans(docs: DataFrame) -> DataFrame:
     """doc_id, span: starts of covered strings; the first in the upper bits, how many follow in the lower 8."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     found = docs.mapInArrow(_runs, RUNS)
     deal = F.when(F.col("kind").isin(RUN, NOTICE), F.col("h")).when(F.col("kind") == MANY_RUN, F.xxhash64("h", "c")).otherwise(F.xxhash64("doc_id", "span"))
