@@ -3,9 +3,9 @@
 Texts become token ids with an end mark; only longer ones than a sequence are cut, the first piece takes the remainder. The
 histogram of piece lengths (at most a sequence's length of numbers) goes to the driver. There multiplicative weights solve
 the configuration linear program: weights are the prices of lengths, a knapsack dynamic program finds the configuration worth
-most at these prices for each length, and prices of what these cover fall. The solution is rounded down, once all of it and once
-only what fills a sequence; what is left is packed by best fit. Of these packings and that by best fit alone the one with the
-fewest sequences counts. Pieces find their place by rank within their length, so no task sees them all.
+most at these prices for each length, and prices of what these cover fall, until all lengths are covered. The solution is rounded down; what is
+left is priced and rounded on, and the last few hundredths of it are packed by best fit. Pieces find their place by rank within their
+length, so no task sees them all.
 
 Null texts are empty and give the end mark alone. Repeated rows are packed as often as they occur.
 """
@@ -80,87 +80,123 @@ class Pricing:
         self.sizes, self.capacity = sizes, capacity
         self.upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
 
-    def configurations(self, prices: np.ndarray, slack: float) -> list[tuple[int, ...]]:
-        """For each item the configuration worth most among those with it, if that is worth 1 - ``slack`` of the best; as indices."""
-        sizes = self.sizes
-        worth, pick = np.zeros(self.capacity + 1), np.full(self.capacity + 1, -1)
-        for w in range(int(sizes[0]), self.capacity + 1):
+    def configurations(self, prices: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``items`` the configuration worth most among those with it, as a row of indices (-1: none), and its worth."""
+        sizes, capacity = self.sizes, self.capacity
+        worth, pick, room = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int16), np.zeros(capacity + 1, np.int64)
+        for w in range(int(sizes[0]), capacity + 1):
             n = self.upto[w]
             gain = prices[:n] + worth[w - sizes[:n]]
-            k = n - 1 - int((gain > gain.max() * (1 - 1e-12))[::-1].argmax())  # of equals the largest
+            k = int(gain.argmax())
             if gain[k] > worth[w - 1]:
-                worth[w], pick[w] = gain[k], k
+                worth[w], pick[w], room[w] = gain[k], k, w - sizes[k]
             else:
-                worth[w] = worth[w - 1]
-        values = prices + worth[self.capacity - sizes]
-        out = []
-        for i in np.flatnonzero(values >= (1 - slack) * values.max()).tolist():
-            a, w = [i], int(self.capacity - sizes[i])
-            while w > 0:
-                if pick[w] < 0:
-                    w -= 1
-                else:
-                    a.append(int(pick[w]))
-                    w -= int(sizes[pick[w]])
-            out.append(tuple(a))
-        return out
-
-
-def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int, step: float, slack: float) -> dict[tuple[int, ...], float]:
-    """How often each configuration is used. A round uses those worth nearly the most, and no length by over ``step`` of its number."""
-    pricing = Pricing(sizes, capacity)
-    prices, covered, used = sizes / capacity, np.zeros(len(sizes)), {}
-    for _ in range(rounds):
-        chosen = pricing.configurations(prices, slack)
-        cover = np.zeros(len(sizes))
-        for a in chosen:
-            np.add.at(cover, list(a), max(need[a[0]] * (1 - covered[a[0]]), 0))
-        most = (cover / need).max()
-        if most <= 0:
-            break
-        s = step / most
-        for a in chosen:
-            if (amount := s * need[a[0]] * (1 - covered[a[0]])) > 0:
-                key = tuple(sorted(a))
-                used[key] = used.get(key, 0.0) + amount
-        share = s * cover / need
-        covered += share
-        prices = prices * np.exp(-step * share)
-        if covered.min() >= 1:
-            break
+                worth[w], pick[w], room[w] = worth[w - 1], pick[w - 1], room[w - 1]
+        columns, w = [items.astype(np.int16)], capacity - sizes[items]
+        while (pick[w] >= 0).any():
+            columns.append(pick[w])
+            w = np.where(pick[w] >= 0, room[w], 0)
+        return np.sort(np.stack(columns, axis=1), axis=1), prices[items] + worth[capacity - sizes[items]]
+
+
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, step: float = 0.15, slack: float = 0.02, eta: float = 5.0) -> dict[bytes, float]:
+    """How often each configuration (its indices, as bytes) is used; together they cover every length.
+
+    Weights fall exponentially with how far a length is covered. A round uses, for each length that isn't covered yet, the configuration
+    worth most with it, if worth nearly the most of these, and covers no length by over ``step`` of its number.
+    """
+    pricing, covered, used = Pricing(sizes, capacity), np.zeros(len(sizes)), {}
+    while covered.min() < 1:
+        short = np.maximum(1 - covered, 0) * need
+        rows, values = pricing.configurations(sizes / capacity * np.exp(-eta * (covered - covered.min())), np.flatnonzero(short > 0))
+        keep = values >= (1 - slack) * values.max()
+        rows, amount = rows[keep], short[short > 0][keep]
+        cover = np.bincount((rows + 1).ravel(), np.repeat(amount, rows.shape[1]), len(sizes) + 1)[1:]
+        # The last rounds cover what is left at once, or they would only halve it.
+        scale = min(1.0, step / (cover / need).max())
+        covered = covered + scale * cover / need
+        covered[np.abs(covered - 1) < 1e-9] = 1
+        for row, x in zip(rows, (scale * amount).tolist(), strict=True):
+            key = row[row >= 0].tobytes()
+            used[key] = used.get(key, 0.0) + x
     return used
 
 
-def solve(histogram: dict[int, int], capacity: int = LENGTH, rounds: int = 200, step: float = 0.05, slack: float = 0.01) -> list[tuple[dict[int, int], int]]:
+#: Parts of the whole that may be left to best fit; the one that makes the fewest sequences counts, of equal ones the first.
+REST = (0.03, 0.08, 0.15, 0.3, 0.5)
+
+
+def solve(histogram: dict[int, int], capacity: int = LENGTH) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: how many} with how often each is used; together they hold the histogram exactly.
 
-    The one with the fewest sequences of three: the fractional solution rounded down, only its full sequences rounded down, nothing of it;
-    each with best fit for what is left.
+    The fractional solution is rounded down. What is left is priced and rounded on, by whole configurations that fill a sequence, and the last of it
+    packed by best fit. Best fit for all of it counts only if it takes fewer sequences.
     """
     histogram = {k: v for k, v in histogram.items() if v > 0}
     if not histogram:
         return []
     sizes = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    used = fractional(sizes, need.astype(np.float64), capacity, rounds, step, slack)
-    packings = [rounded(sizes, need, capacity, used, least) for least in (capacity, 0)] + [best_fit(sizes, need, capacity)]
-    return min(packings, key=lambda found: sum(times for _, times in found))
-
-
-def rounded(sizes: np.ndarray, need: np.ndarray, capacity: int, used: dict[tuple[int, ...], float], least: int) -> list[tuple[dict[int, int], int]]:
-    """``used`` rounded down where a configuration has ``least`` tokens or more; the rest by best fit."""
-    left = need.copy()
-    found: list[tuple[dict[int, int], int]] = []
-    # Rounded down, the fullest configurations first; of equally full ones those with the longest piece.
-    for key in sorted(used, key=lambda k: (-int(sizes[list(k)].sum()), -max(k))):
-        index, count = np.unique(key, return_counts=True)
-        if int(sizes[list(key)].sum()) < least:
+    made, marks = rounded(sizes, need, capacity, fractional(sizes, need.astype(np.float64), capacity))
+    packings = [made[:n] + rest(sizes, left, capacity) for rest in (best_fill, best_fit) for n, left in reversed(marks)]
+    return min([*packings, best_fit(sizes, need, capacity)], key=lambda found: sum(times for _, times in found))
+
+
+def rounded(sizes: np.ndarray, need: np.ndarray, capacity: int, used: dict[bytes, float], eta: float = 2.0, share: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], list[tuple[int, np.ndarray]]]:
+    """Configurations with how often each is used; and for each part of REST how many of them come before it, and what is left then.
+
+    First what of ``used`` fills sequences, rounded down; then rounds of pricing for sequences that are full,
+    in which lengths of which more is left are worth more, and none is used up by over ``share`` (or one) at once.
+    """
+    left, found, total = need.copy(), [], float(need @ sizes)
+    marks: list[tuple[int, np.ndarray]] = []
+    waiting = sorted(REST)
+
+    def take(index: np.ndarray, count: np.ndarray, times: int) -> None:
+        left[index] -= times * count
+        found.append((dict(zip(sizes[index].tolist(), count.tolist(), strict=True)), times))
+
+    def mark() -> None:
+        while waiting and left @ sizes <= waiting[-1] * total:
+            waiting.pop()
+            marks.append((len(found), left.copy()))
+
+    def round_down(full: bool) -> None:
+        for key, x in sorted(used.items(), key=lambda item: (-item[1], item[0])):
+            if x < 1:
+                break
+            index, count = np.unique(np.frombuffer(key, np.int16), return_counts=True)
+            times = int(min(int(x), (left[index] // count).min()))
+            if times > 0 and (int(sizes[index] @ count) == capacity) == full:
+                take(index, count, times)
+                mark()
+
+    round_down(True)
+    begun = left.copy()
+    while waiting:
+        have = np.flatnonzero(left > 0)
+        if not len(have):
             break
-        times = int(min(np.floor(used[key]), (left[index] // count).min()))
-        if times > 0:
-            left[index] -= times * count
-            found.append((dict(zip(sizes[index].tolist(), count.tolist(), strict=True)), times))
-    return found + best_fit(sizes, left, capacity)
+        own = left[have] / begun[have]
+        rows, values = Pricing(sizes[have], capacity).configurations(sizes[have] / capacity * np.exp(eta * (own - own.mean())), np.arange(len(have)))
+        full = np.where(rows >= 0, sizes[have][rows], 0).sum(axis=1) == capacity
+        room = np.maximum(1, (share * left[have]).astype(np.int64))
+        before = len(found)
+        for i in np.argsort(-values, kind="stable")[full[np.argsort(-values, kind="stable")]].tolist():
+            index, count = np.unique(rows[i][rows[i] >= 0], return_counts=True)
+            times = int((np.minimum(room[index], left[have[index]]) // count).min())
+            if times <= 0 and room[index].min() > 0 and (left[have[index]] >= count).all():
+                times = 1
+            if times > 0:
+                room[index] = np.maximum(room[index] - times * count, 0)
+                take(have[index], count, times)
+                mark()
+        if len(found) == before:
+            break
+    # Where no more sequences can be filled, those of the solution that are not full.
+    if waiting:
+        round_down(False)
+    return found, [*marks, (len(found), left.copy())]
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -199,6 +235,34 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
     return out
 
 
+def best_fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """What is ``left``, each sequence with the longest piece left and those others that fill it best, the longest first; again as often as they last."""
+    left, found = left.copy(), []
+    for k in range(len(sizes) - 1, -1, -1):
+        while left[k]:
+            room = capacity - int(sizes[k])
+            # Which sums up to the room can be had, item by item, as bits; an item that is there n times as 1, 2, 4... and what remains of n.
+            reach, steps = 1, []
+            for i in np.flatnonzero((left[: k + 1] > 0) & (sizes[: k + 1] <= room)).tolist():
+                n, size, part = min(int(left[i]) - (i == k), room // int(sizes[i])), int(sizes[i]), 1
+                while n > 0:
+                    part = min(part, n)
+                    steps.append((i, part, part * size, reach))
+                    reach = (reach | (reach << (part * size))) & ((2 << room) - 1)
+                    n, part = n - part, part * 2
+            target = reach.bit_length() - 1
+            count = {k: 1}
+            for i, part, size, before in reversed(steps):
+                if target >= size and before >> (target - size) & 1:
+                    count[i] = count.get(i, 0) + part
+                    target -= size
+            times = min(int(left[i]) // n for i, n in count.items())
+            for i, n in count.items():
+                left[i] -= times * n
+            found.append(({int(sizes[i]): n for i, n in count.items()}, times))
+    return found
+
+
 def slots(configurations: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, last rank, first sequence, how many in a sequence, offset): where ranks of a length go."""
     out, at, sequence = [], {}, 0
@@ -223,19 +287,30 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     # Ranks within a length, by groups of about the root of all rows.
     group = max(64, int(sum(histogram.values()) ** 0.5))
     classes = spark.createDataFrame([(k, -(-n // group)) for k, n in histogram.items()], "length long, _groups long")
-    places = spark.createDataFrame(slots(solve(histogram, length)), "length long, _first long, _last long, _sequence long, _n long, _offset long")
-    # Both have a row for each length, or for each length of each configuration: bounded by the sequence's length.
+    table = np.array(slots(solve(histogram, length)), dtype=np.int64).reshape(-1, 6)
+    table = table[np.lexsort((table[:, 1], table[:, 0]))]
+    # A row for each length of each configuration; there are no more of these than rounds of the solver give, whatever the input.
+    places = spark.sparkContext.broadcast(table)
     ranked = short.join(F.broadcast(classes), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "_groups"))
     ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")))
     sizes = short.join(F.broadcast(classes), "length").groupBy("length", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), "_groups").alias("_salt")).count()
     before = F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = stored(sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before")))
     ranked = ranked.join(maybe_broadcast(starts), ["length", "_salt"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_before"))
-    placed = ranked.join(F.broadcast(places.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_first"), F.col("_last")))
-    within = F.col("_rank") - F.col("_first")
-    placed = placed.withColumn("sequence_id", (F.col("_sequence") + F.floor(within / F.col("_n"))).cast("long")).withColumn("offset", (F.col("_offset") + within % F.col("_n") * F.col("length")).cast("long"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, first, _, sequence, n, offset = places.value.T
+        keys = (size << 48) | first
+        for b in batches:
+            own, rank = b["length"].to_numpy(), b["_rank"].to_numpy()
+            at = np.searchsorted(keys, (own << 48) | rank, side="right") - 1
+            within = rank - first[at]
+            found = (pa.array(sequence[at] + within // n[at]), pa.array(offset[at] + within % n[at] * own))
+            yield pa.RecordBatch.from_arrays([*b.select(columns[:5]).columns, *found], names=columns)
+
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
-    return full.select(columns).unionByName(placed.select(columns))
+    placed = ranked.select(*columns[:5], F.col("_rank").cast("long")).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return full.select(columns).unionByName(placed)
 
 
 def op7_best_fit_packing(spark, sf_dir):
