@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import maybe_broadcast, stored
 
 #: Lists longer than this are dealt to several hubs, so that no node is compared with more members of a list at once.
 HUB_MEMBERS = 512
@@ -44,7 +44,8 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
     that link. ``bound``: SQL over na, pa, nb, pb that no linking pair fails in the first list that it shares; ``carry``: further columns of
     ``lists`` that it may use, named in the same way.
 
-    First the members of each list are compared with a hub, the member of the lowest place. Members known to be connected need
+    First the members of each list are compared with a hub, the member of the lowest place; those of long lists with one of the whole
+    list and with one of their share of it. Members known to be connected need
     no further test; of each component in a list only one member is compared with a hub again. What then still stands
     apart within a list is compared pair by pair. Lists of one component are left out from then on. Returns (node, component) of
     linked nodes, and the links found.
@@ -98,6 +99,9 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
         dealt = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / HUB_MEMBERS)))
         hubs = dealt.groupBy("s", "salt").agg(F.min(F.struct("pos", "node", "n", "component", *carry)).alias("h")).select("s", "salt", "h.*")
         new = pairs_of(dealt, stored(hubs), ["s", "salt"])
+        long = members.where(F.col("m") > HUB_MEMBERS)
+        widest = stored(long.groupBy("s").agg(F.min(F.struct("pos", "node", "n", "component", *carry)).alias("h")).select("s", "h.*"))
+        new = new.unionByName(pairs_of(long, maybe_broadcast(widest), ["s"])).distinct()
         if turn == 0 and pairs is not None:
             new = new.unionByName(pairs.select("a", "b", "na", "nb")).distinct()
         if not test(new):

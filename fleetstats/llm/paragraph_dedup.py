@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import bound_batches, maybe_broadcast, stored
 from .components import link_lists
 from .jaccard_join import LISTS, shared_lists, split_lists
 from .shingles import WORDS, fold, hashed_words, least_of_windows, mix, powers
@@ -40,8 +40,9 @@ PERCENT = 80
 MANY = 256
 #: Bytes of texts laid out at once, and rows that a task merges at once.
 CHUNK, FLUSH = 1 << 20, 1_000_000
-#: u and v are maps of 64 bits each of the shingles; every bit in which two differ is a shingle that only one of them has.
-BOUND = f"{100 + PERCENT} * least(na, nb) >= {PERCENT} * (na + nb) AND {100 + PERCENT} * (bit_count(ua ^ ub) + bit_count(va ^ vb)) <= {100 - PERCENT} * (na + nb)"
+#: Maps of 64 bits each of the shingles; every bit in which two differ is a shingle that only one of them has.
+MAPS = tuple(f"u{i}" for i in range(8))
+BOUND = f"{100 + PERCENT} * least(na, nb) >= {PERCENT} * (na + nb) AND {100 + PERCENT} * ({' + '.join(f'bit_count({x}a ^ {x}b)' for x in MAPS)}) <= {100 - PERCENT} * (na + nb)"
 
 _A = np.random.Generator(np.random.Philox(key=11)).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R, _M = np.uint64(31), np.uint64(0xBF58476D1CE4E5B9)
@@ -145,13 +146,13 @@ def distinct(flat: np.ndarray, which: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 #: Kinds of rows: a short paragraph, a long one, one that stands earlier in the same task.
 SHORT, WHOLE, AGAIN = 0, 1, 2
-UNIT = pa.struct([("n", pa.int32()), ("u", pa.int64()), ("v", pa.int64()), ("bands", pa.list_(pa.int64()))])
+UNIT = pa.struct([("n", pa.int32()), *((x, pa.int64()) for x in MAPS), ("bands", pa.list_(pa.int64()))])
 ROWS_OF = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("check", pa.int32()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("size", pa.int64()), ("first_doc", pa.int64()), ("unit", UNIT)])
-ROWS_SQL = "kind byte, node long, check int, doc_id long, begin long, size long, first_doc long, unit struct<n:int,u:long,v:long,bands:array<long>>"
+ROWS_SQL = f"kind byte, node long, check int, doc_id long, begin long, size long, first_doc long, unit struct<n:int,{','.join(f'{x}:long' for x in MAPS)},bands:array<long>>"
 
 
 def lay_out(texts: list[bytes], ids: np.ndarray) -> list[tuple]:
-    """(kind, node, check, doc_id, begin, size) of the short and of the long paragraphs of some texts; with the long ones (n, u, v, bands)."""
+    """(kind, node, check, doc_id, begin, size) of the short and of the long paragraphs of some texts; with the long ones (n, maps, bands)."""
     sizes = np.array([len(t) for t in texts], np.int64) + 1
     base = np.cumsum(sizes) - sizes
     begins, ends, h = hashed_words(b" ".join(texts))
@@ -179,10 +180,9 @@ def lay_out(texts: list[bytes], ids: np.ndarray) -> list[tuple]:
         n = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(44)).astype(np.int64), minlength=len(x))
     else:
         n = distinct(flat, which, len(x))[2]
-    bits, high = np.uint64(1) << (flat & np.uint64(63)), (flat & np.uint64(64)) != 0
-    u = np.bitwise_or.reduceat(np.where(high, np.uint64(0), bits), starts).view(np.int64)
-    v = np.bitwise_or.reduceat(np.where(high, bits, np.uint64(0)), starts).view(np.int64)
-    unit = (n.astype(np.int32), u, v, band_keys(flat, starts).view(np.int64))
+    bits, part = np.uint64(1) << (flat & np.uint64(63)), (flat >> np.uint64(6)) & np.uint64(len(MAPS) - 1)
+    maps = [np.bitwise_or.reduceat(np.where(part == np.uint64(i), bits, np.uint64(0)), starts).view(np.int64) for i in range(len(MAPS))]
+    unit = (n.astype(np.int32), *maps, band_keys(flat, starts).view(np.int64))
     out.append((WHOLE, node.view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[of[x]], begins[x] - base[of[x]], ends[y - 1] - begins[x], unit))
     return out
 
@@ -191,8 +191,8 @@ def _batch(kind: int, node, check, doc, begin, size, first_doc=None, unit=None)
     k = len(doc)
     whole = pa.nulls(k, UNIT)
     if unit is not None:
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(unit[3].ravel()))
-        whole = pa.StructArray.from_arrays([pa.array(unit[0]), pa.array(unit[1]), pa.array(unit[2]), bands], fields=list(UNIT))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (k + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(unit[-1].ravel()))
+        whole = pa.StructArray.from_arrays([*map(pa.array, unit[:-1]), bands], fields=list(UNIT))
     first = pa.nulls(k, pa.int64()) if first_doc is None else pa.array(first_doc)
     return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int8)), pa.array(node), pa.array(check), pa.array(doc), pa.array(begin), pa.array(size), first, whole], schema=ROWS_OF)
 
@@ -216,7 +216,7 @@ def _without_overlaps(node: np.ndarray, doc: np.ndarray, begin: np.ndarray, size
 def _merged(kind: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Paragraphs of one kind; those that equal an earlier one here are told apart, so that what meets of a node is bounded by the tasks."""
     node, check, doc, begin, size = (np.concatenate([f[i] for f in found]) for i in range(5))
-    unit = tuple(np.concatenate([f[5][i] for f in found]) for i in range(4)) if kind == WHOLE else None
+    unit = tuple(np.concatenate([f[5][i] for f in found]) for i in range(len(UNIT))) if kind == WHOLE else None
     order = np.lexsort((begin, doc, check, node))
     node, check, doc, begin, size = (x[order] for x in (node, check, doc, begin, size))
     if unit is None:
@@ -339,6 +339,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, begin, size, first_doc of every paragraph that isn't the first of its cluster."""
+    bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     place = Window.partitionBy("node").orderBy("doc_id", "begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = docs.mapInArrow(_lay, ROWS_SQL)
@@ -355,9 +356,11 @@ def clusters(docs: DataFrame) -> DataFrame:
     deal = F.when(F.col("frequent"), F.xxhash64("s", "node")).otherwise(F.col("s"))
     dealt = banded.withColumn("_deal", deal).repartition("_deal").drop("_deal")
     lists, pairs = split_lists(stored(dealt.mapInArrow(_noticed, LISTS)))
-    maps = nodes.select("node", "u", "v")
-    lists = stored(lists.join(maps, "node"))
-    a, b = (maps.select(F.col("node").alias(x), F.col("u").alias(f"u{x}"), F.col("v").alias(f"v{x}")) for x in "ab")
+    maps = nodes.select("node", *MAPS)
+    # The likeliest hub of a list is the node that meets most others in all its lists, such as the text that many differ a little from.
+    central = lists.groupBy("node").agg((-F.sum("m")).alias("pos"))
+    lists = stored(lists.drop("pos").join(central, "node").join(maps, "node"))
+    a, b = (maps.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}{x}") for c in MAPS)) for x in "ab")
     pairs = stored(pairs.distinct().join(a, "a").join(b, "b").where(BOUND).select("a", "b", "na", "nb"))
 
     met = lists.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
@@ -369,7 +372,7 @@ def clusters(docs: DataFrame) -> DataFrame:
         x, y = (slices.select(F.col("node").alias(k), F.col("said").alias(name)) for k, name in (("a", "x"), ("b", "y")))
         return pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(_verified, "a long, b long")
 
-    labels, _ = link_lists(lists, verify, BOUND, pairs, ("u", "v"))
+    labels, _ = link_lists(lists, verify, BOUND, pairs, MAPS)
     if labels is None:
         return cuts
     joined = nodes.select("node", "doc_id", "begin", "size").join(labels, "node")
