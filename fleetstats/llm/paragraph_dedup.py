@@ -4,7 +4,7 @@ A passage may stand anywhere in a text, so paragraphs are laid by content, at tw
 each other, from a pair of words whose hash is the least of all within APART words to the first such pair (or the text's end)
 that is LONG words on; what is left under LONG words at a text's end is part of its last one, and texts of fewer words are one
 paragraph. Short ones have SPAN words and begin wherever a pair of words has the least hash of some NEAR consecutive pairs. Any run of SPAN + NEAR - 1 =
-50 words that two texts share has such a beginning in its first NEAR words, so it holds a whole short paragraph in common, and those in
+38 words that two texts share has such a beginning in its first NEAR words, so it holds a whole short paragraph in common, and those in
 it cover all but its first and last few words.
 
 Equal paragraphs are one node. Long nodes' 5-word shingles give a MinHash signature in bands; with 7 bands of 3, pairs of J = 0.8 meet
@@ -32,7 +32,7 @@ from .components import link_lists
 from .jaccard_join import LISTS, shared_lists, split_lists
 from .shingles import WORDS, fold, hashed_words, least_of_windows, mix, powers
 
-SPAN, NEAR = 38, 13
+SPAN, NEAR = 26, 13
 LONG, APART = 60, 24
 BANDS, ROWS = 7, 3
 PERCENT = 80
@@ -52,12 +52,12 @@ _TOP = np.uint64(np.iinfo(np.uint64).max)
 
 
 def _run_hashes(h: np.ndarray) -> np.ndarray:
-    """Of every run of SPAN words: that of its first 32 and its last 32 words, by doubling."""
+    """Of every run of SPAN words: from those of its first and of its last words, a power of two, by doubling."""
     size = 1
-    while size < 32:
+    while 2 * size <= SPAN:
         h = (h[:-size] ^ (h[:-size] >> _R)) * _M + h[size:]
         size *= 2
-    last = SPAN - 32
+    last = SPAN - size
     return mix(mix(h[: len(h) - last]) + h[last:])
 
 

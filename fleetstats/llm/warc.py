@@ -2,10 +2,10 @@
 
 Every capture is three records: a request, a response (or, where an earlier capture has the same payload, a revisit) and
 metadata. The request and the metadata name their response or revisit as ``WARC-Concurrent-To``. Reading parses the archives by
-Content-Length and joins the three through that identifier to one nested row per capture.
+Content-Length and brings the three together by that identifier, as one nested row per capture.
 
-Archives are gzip files that Spark writes and reads, each of a bounded number of records. Null payloads are empty. Page ids
-are taken to be unique; repeated ids give each their own capture with equal identifiers of content. Other columns are not carried.
+Archives are gzip files that Spark writes and reads, each of a bounded number of records. Null payloads and urls are empty. A row
+that repeats a page id is a capture of its own, with a number in its identifiers; what refers to the id refers to the first. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_at_exit, join_hot, shared_dir, stored
+from .common import drop_at_exit, join_hot, maybe_broadcast, shared_dir, stored
 
 CRLF = "\r\n"
 #: Payloads under this many bytes are always stored.
@@ -32,14 +32,27 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     """page_id, url, payload, digest, size, refers_to: of equal payloads of LEAST_REVISIT bytes, the first page is stored."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("size", F.octet_length("payload").cast("long"))
+    rows = _numbered(rows)
     large = rows.where(F.col("size") >= LEAST_REVISIT)
     firsts = stored(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = join_hot(rows, firsts, "digest")
     return rows.withColumn("refers_to", F.when((F.col("first") < F.col("page_id")) & (F.col("size") >= LEAST_REVISIT), F.col("first"))).drop("first")
 
 
-def _urn(kind: str, page):
-    return F.concat(F.lit(f"<urn:page:{kind}:"), page.cast("string"), F.lit(">"))
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: 0, or the running number of a row whose page id others have too."""
+    repeated = stored(rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page_id").alias("_id")))
+    if repeated.isEmpty():
+        return rows.withColumn("copy", F.lit(0))
+    same = F.col("page_id").eqNullSafe(F.col("_id"))
+    known = maybe_broadcast(repeated)
+    again = rows.join(known, same, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")) - 1)
+    return rows.join(known, same, "left_anti").withColumn("copy", F.lit(0)).unionByName(again)
+
+
+def _urn(kind: str, page, copy=None):
+    number = F.lit("") if copy is None else F.when(copy > 0, F.concat(F.lit("-"), copy.cast("string"))).otherwise("")
+    return F.concat(F.lit(f"<urn:page:{kind}"), number, F.lit(":"), page.cast("string"), F.lit(">"))
 
 
 def _record(kind: str, record_id, block, length, headers: list[tuple[str, object]]):
@@ -52,12 +65,13 @@ def _record(kind: str, record_id, block, length, headers: list[tuple[str, object
 def write_archives(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Three records for each row of ``plan``, as gzip WARC files."""
     page, uri = F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.regexp_replace("url", r"[\r\n]", "")
-    main, digest = _urn("capture", page), F.concat(F.lit("sha256:"), F.col("digest"))
+    copy = F.col("copy")
+    main, digest = _urn("capture", page, copy), F.concat(F.lit("sha256:"), F.col("digest"))
     asked = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{CRLF * 2}"))
     head = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF * 2}"
     notes = F.concat(F.lit("page-id: "), page, F.lit(f"{CRLF}payload-length: "), F.col("size").cast("string"), F.lit(CRLF))
-    request = _record("request", _urn("request", page), asked, F.octet_length(asked), [("WARC-Concurrent-To", main), ("WARC-Target-URI", uri)])
-    metadata = _record("metadata", _urn("metadata", page), notes, F.octet_length(notes), [("WARC-Concurrent-To", main), ("WARC-Target-URI", uri)])
+    request = _record("request", _urn("request", page, copy), asked, F.octet_length(asked), [("WARC-Concurrent-To", main), ("WARC-Target-URI", uri)])
+    metadata = _record("metadata", _urn("metadata", page, copy), notes, F.octet_length(notes), [("WARC-Concurrent-To", main), ("WARC-Target-URI", uri)])
     response = _record("response", main, F.concat(F.lit(head), F.col("payload")), F.col("size") + len(head), [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest)])
     revisit = _record("revisit", main, F.lit(head), F.lit(len(head)), [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("WARC-Refers-To", _urn("capture", F.col("refers_to")))])
     records = planned.select(F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)).alias("value"))
@@ -92,15 +106,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, and request, response (or revisit) and metadata as structs.
 
-    The three meet by the capture's identifier, which requests and metadata have as concurrent-to. A capture that lacks a
-    request or metadata has null there; without a response it isn't one.
+    The three meet by the capture's identifier, which requests and metadata have as concurrent-to; a single grouping, so that
+    archives are read and parsed once. A capture that lacks a request or metadata has null there; without a response it isn't one. Of several
+    records of one kind and capture one is taken.
     """
     key = F.coalesce("concurrent_to", "record_id").alias("capture_id")
     own = F.struct("warc_type", "record_id", "target_uri", "refers_to", "payload_digest", "block")
-    request = records.where("warc_type = 'request'").select(key, own.alias("request"))
-    metadata = records.where("warc_type = 'metadata'").select(key, own.alias("metadata"))
-    main = records.where("warc_type IN ('response', 'revisit')").select(key, own.alias("response"))
-    return main.join(request, "capture_id", "left").join(metadata, "capture_id", "left")
+    kinds = {"request": ("request",), "response": ("response", "revisit"), "metadata": ("metadata",)}
+    met = records.groupBy(key).agg(*(F.first(F.when(F.col("warc_type").isin(*types), own), ignorenulls=True).alias(name) for name, types in kinds.items()))
+    return met.select("capture_id", "response", "request", "metadata").where("response IS NOT NULL")
 
 
 def captures(pages: DataFrame) -> DataFrame:

@@ -284,8 +284,9 @@ def test_language_profiles(spark):
 def test_language_pieces(monkeypatch):
     text = "".join(random.Random(1).choice("abc d1é") for _ in range(5000))
     whole = langid.Encoder(32).profile(text)
-    monkeypatch.setattr(langid, "MOST_TRIGRAMS", 10)
-    assert (langid.Encoder(32).profile(text) == whole).all()
+    for name, value in (("SLICE", 8), ("MOST_TRIGRAMS", 10), ("PIECE", 7)):
+        monkeypatch.setattr(langid, name, value)
+        assert (langid.Encoder(32).profile(text) == whole).all()
 
 
 def test_tokens_equal_the_tokenizer(spark):
@@ -347,6 +348,14 @@ def test_archives(spark):
 URLS = ["http://x.example.net/en/1", "http://example.net/de", "http://Example.NET", "https://a.example.com/de/?q", "http://example.com/fr/", "http://b.org/fr/x#y", "http://casino-win.example.com/", "HTTP://net", "no scheme", None, "", "x://org/fr", "http://notexample.com/de/1", "http://my.pills:80?x", "http://a/://casino/"]
 
 
+def test_archives_of_repeated_pages(spark):
+    pages = [(1, "u", "x" * 200), (1, "u", "x" * 200), (2, "v", "y"), (None, None, None), (None, "w", "z"), (3, "a", "x" * 200)]
+    got = warc.captures(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(pages) == len({r["capture_id"] for r in got})
+    assert all(r["request"] is not None and r["metadata"] is not None for r in got)
+    assert sorted(r["response"]["warc_type"] for r in got) == ["response"] * 5 + ["revisit"]
+
+
 def test_url_rules_both_ways(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS * 2)], "page_id long, url string, host string")
     small = sorted(map(tuple, url_filter.filter_urls(pages, url_filter.RULES).collect()), key=repr)

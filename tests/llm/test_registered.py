@@ -47,6 +47,61 @@ def test_op3_catches_repeats_and_leaves_the_rest(spark, sf_dir, docs):
     assert sum(got[i]["n_removed"] > 0 for i in clean) <= 0.02 * len(clean)
 
 
+def test_op3_recall(spark):
+    """Documents in which 50 words or more stand that an earlier one has, over all of a larger table, against brute force."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall())
+    got = {r["doc_id"]: r for r in QUERIES["op3_substring_dedup"](spark, folder).collect()}
+    seen, repeats, clean = {}, set(), set(docs)
+    for i in sorted(docs):
+        w = words(docs[i] or "")
+        for k in range(len(w) - 49):
+            if seen.setdefault(tuple(w[k : k + 50]), i) != i:
+                repeats.add(i)
+    exact = without_repeats(docs)
+    clean = {i for i in docs if exact[i][1] == 0}
+    assert len(repeats) > 50 and sum(got[i]["n_removed"] > 0 for i in repeats) == len(repeats)
+    assert sum(got[i]["n_removed"] > 0 for i in clean) <= 0.02 * len(clean)
+    large = [i for i in docs if exact[i][1] >= 200]
+    assert sum(got[i]["n_removed"] > 0 for i in large) >= 0.9 * len(large)
+
+
+def test_op6_by_brute_force(spark, sf_dir, duck):
+    """Trigram by trigram, with the letters' vectors alone."""
+    import numpy as np
+
+    from fleetstats.llm.langid import Encoder
+
+    letters = Encoder()
+    rows = duck.execute("SELECT doc_id, text, lang FROM documents").fetchall()
+
+    def profile(text):
+        shown = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        shown = " " + " ".join(shown.split()) + " "
+        counts, out = {}, np.zeros(letters.d)
+        for k in range(len(shown) - 2):
+            counts[shown[k : k + 3]] = counts.get(shown[k : k + 3], 0) + 1
+        for (a, b, c), n in counts.items():
+            out += n * (np.roll(letters.letter(ord(a)), 2).astype(int) * np.roll(letters.letter(ord(b)), 1) * letters.letter(ord(c)))
+        return out if any(x.isalpha() for x in text or "") else None
+
+    profiles = {i: profile(t) for i, t, _ in rows}
+    sums = {}
+    for i, _, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2 and profiles[i] is not None:
+            sums[lang] = sums.get(lang, 0) + profiles[i]
+    for r in QUERIES["op6_language_id"](spark, sf_dir).collect():
+        p = profiles[r["doc_id"]]
+        if p is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosines = {k: float(p @ v / np.linalg.norm(p) / np.linalg.norm(v)) for k, v in sums.items()}
+        best = max(cosines.values())
+        assert cosines[r["lang_pred"]] > best - 1e-4 and abs(r["score"] - max(0.0, best)) < 1e-4
+
+
 def test_op5(spark, duck, sf_dir):
     said = "<|im_end|><|im_start|>assistant ok"
     turns = duck.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall() + [(-1, 0, "user", said), (-1, 1, "assistant", said)]
