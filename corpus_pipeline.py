@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; all but the last return the columns of
-``documents``.
+``documents``, and no others that docs may have. Null, empty and letterless texts go in the first stage; rows that repeat an id and text
+are one document to each stage and all stay or all go, except that packing places each. An empty table passes through.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters go. A low cosine is no ground: that of a text of one word is low in any language."""
-    return identify(docs.select(*COLUMNS)).where("lang_pred != 'und'").select(*COLUMNS)
+    """Documents without letters go, as no language can be told. A low cosine is no ground: that of a text of one word is low in any language.
+
+    Without a labelled document nothing can be told of any; then, too, those with letters stay.
+    """
+    known = F.col("lang_pred") != "und"
+    return identify(docs.select(*COLUMNS)).where(known | F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +65,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: SQL can't express the tokenizer or the language profiles. Tests hold the language stage alone; the chain has none yet.
+#: SQL can't express the tokenizer or the language profiles; tests hold each stage and the whole against brute force.
 ORACLE_SQL = None
 
 
