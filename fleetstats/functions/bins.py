@@ -72,12 +72,19 @@ def bins_table(spark: SparkSession, bins: Bins) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, label string, least double, most double")
 
 
-def bin_range_join(df: DataFrame, value: str, table: DataFrame, default: str, key: str, open_end: bool = False, out: str = "label") -> DataFrame:
-    """``df`` with the label of ``value`` from a table of ranges: a broadcast range join, then the last match by ``key``.
+#: A table of ranges has at most this many rows.
+MOST_BINS = 1000
 
-    The table is a list of bins, which the caller writes; ``key`` must be unique in ``df``.
+
+def bin_range_join(df: DataFrame, value: str, table: DataFrame, default: str, open_end: bool = False, out: str = "label") -> DataFrame:
+    """``df`` with the label of ``value`` from a table of ranges, the last that matches; without a shuffle.
+
+    The table is a list of bins, which the caller writes; over MOST_BINS rows are an error.
     """
-    v, t = F.col(value), F.broadcast(table)
-    top = F.col("most").isNull() | (v < F.col("most") if open_end else v <= F.col("most"))
-    hits = df.select(key, value).join(t, (v >= F.col("least")) & top).groupBy(key).agg(F.max_by("label", "pos").alias(out))
-    return df.join(hits, key, "left").withColumn(out, F.coalesce(out, F.lit(default)))
+    rows = table.orderBy("pos").limit(MOST_BINS + 1).collect()
+    if len(rows) > MOST_BINS:
+        raise ValueError(f"more than {MOST_BINS} bins")
+    ranges = F.array(*(F.struct(F.lit(r["label"]).alias("label"), F.lit(r["least"]).alias("least"), F.lit(r["most"]).cast("double").alias("most")) for r in rows))
+    v = F.col(value)
+    hits = F.filter(ranges, lambda b: (v >= b["least"]) & (b["most"].isNull() | (v < b["most"] if open_end else v <= b["most"])))
+    return df.withColumn(out, F.coalesce(F.try_element_at(hits, F.lit(-1))["label"], F.lit(default)))

@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Decimal numbers, with white space around; not NaN, Infinity or a suffix such as d, which a cast takes too.
+NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def js_num(c: Column) -> Column:
-    """The number that a loosely typed comparison sees: true is 1, false and '' are 0, other text its value or null."""
-    return F.when(c == "true", 1.0).when(c.isin("false", ""), 0.0).otherwise(c.try_cast("double"))
+    """The number that a loosely typed comparison sees: true is 1, false and blank text are 0, other text its decimal value or null."""
+    return F.when(c == "true", 1.0).when((c == "false") | (F.trim(c) == ""), 0.0).when(c.rlike(NUMBER), c.try_cast("double"))
 
 
 def loose_eq(c: Column, n: int) -> Column:

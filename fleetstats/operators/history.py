@@ -36,11 +36,12 @@ register(HistoryStat("uniqueByMonth", "Devices that report in each month", uniqu
 
 
 def interarrival(history: DataFrame, device: str = "uuid", time: str = "ts") -> DataFrame:
-    """Seconds since the device's previous report, and their label: minutes over 120 s, hours over 120 min, days over 48 of either.
+    """Seconds since the device's last earlier report (one of the same time isn't), and their label: minutes over 120 s, hours over 120 min, days over 48 of either.
 
     The last rule also takes minutes between 48 and 120, by 24.
     """
-    gap = (F.col(time) - F.lag(time).over(Window.partitionBy(device).orderBy(time))) / 1000
+    earlier = Window.partitionBy(device).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+    gap = (F.col(time) - F.max(time).over(earlier)) / 1000
     seconds = history.withColumn("gap_seconds", gap)
     minutes, hours = F.col("gap_seconds") / 60, F.col("gap_seconds") / 3600
     value = F.when(F.col("gap_seconds") <= 120, F.col("gap_seconds")).when(minutes <= 48, minutes).when(minutes <= 120, minutes / 24).when(hours <= 48, hours).otherwise(hours / 24)

@@ -71,9 +71,9 @@ def _ui_level() -> Column:
     raw = F.try_element_at("settings", F.lit("uiLevel"))
     n = F.coalesce(js_num(raw), F.when(raw.isNull(), 0.0))
     named = F.get(F.array(*map(F.lit, LEVELS)), n.cast("int"))
-    # In range but not one of the numbers: an index that the list of names doesn't have.
-    whole = (n == F.floor(n)) & (F.coalesce(raw, F.lit("0")) != "")
-    return F.when((n >= 0) & (n < len(LEVELS)), F.when(whole, named).otherwise("undefined")).otherwise("Undefined")
+    # In range but not written as one of the numbers ('1.0', 'true', ''): an index that the list of names doesn't have.
+    index = F.coalesce(raw, F.lit("0")).isin(*map(str, range(len(LEVELS))))
+    return F.when((n >= 0) & (n < len(LEVELS)), F.when(index, named).otherwise("undefined")).otherwise("Undefined")
 
 
 _flat("fppMode", "Player modes", _mode, weight=3)

@@ -135,7 +135,7 @@ counted AS (SELECT population, first, count(*) AS n FROM seen, populations WHERE
 SELECT p.population, pos, strftime(m.first, '%b-%Y') AS month, coalesce(n, 0) AS devices
 FROM months m CROSS JOIN populations p LEFT JOIN counted c ON c.population = p.population AND c.first = m.first"""
     out["interarrival"] = f"""
-WITH g AS (SELECT event_id, user_id, ({EVENT_MS} - lag({EVENT_MS}) OVER (PARTITION BY user_id ORDER BY {EVENT_MS})) / 1000.0::DOUBLE AS s FROM events)
+WITH g AS (SELECT event_id, user_id, ({EVENT_MS} - (SELECT max(epoch_us(p.ts) // 1000) FROM events p WHERE p.user_id = events.user_id AND epoch_us(p.ts) // 1000 < {EVENT_MS.replace("(ts)", "(events.ts)")})) / 1000.0::DOUBLE AS s FROM events)
 SELECT event_id, user_id, s AS gap_seconds, CASE WHEN s IS NULL THEN 'First Record'
   WHEN s <= 120 THEN CAST(CAST(floor(s + 0.5) AS BIGINT) AS VARCHAR) || ' Seconds Ago'
   WHEN s / 60 <= 48 THEN CAST(CAST(floor(s / 60 + 0.5) AS BIGINT) AS VARCHAR) || ' Minutes Ago'

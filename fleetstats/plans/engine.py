@@ -16,7 +16,7 @@ from ..operators.registry import STATS, Stat, row
 from ..sources.landing import latest_report
 
 #: Fixed expressions to a family, where a bin counts twice.
-FAMILY_SIZE = 10
+FAMILY_SIZE = 8
 
 
 def is_docker() -> Column:

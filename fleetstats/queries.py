@@ -91,7 +91,7 @@ def bin_case_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bin_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir).select("o_orderkey", "o_totalprice")
-    labelled = bin_range_join(orders, "o_totalprice", bins_table(spark, bins.CHANNELS), bins.CHANNELS.default, "o_orderkey")
+    labelled = bin_range_join(orders, "o_totalprice", bins_table(spark, bins.CHANNELS), bins.CHANNELS.default)
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 

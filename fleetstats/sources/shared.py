@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a local folder only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset, a local folder in local mode, else an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(named)
     return f"{named.rstrip('/')}/fleetstats-{context.applicationId}"

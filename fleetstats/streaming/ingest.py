@@ -23,7 +23,9 @@ def upload_status(uploads: DataFrame, value: str = "value", stamp: Column | int
     kind = F.schema_of_variant(parsed)
     uuid = F.get_json_object(value, "$.uuid")
     stamped = F.lit(stamp) if isinstance(stamp, int) else stamp
-    size = utf16_units(F.trim(F.col(value))) + F.length(F.concat(F.lit(',"ts":'), stamped.cast("string")))
+    # Of the report as it is written again: without white space, with its stamp in place of one that it has.
+    old = F.to_json(F.try_variant_get(parsed, "$.ts", "variant"))
+    size = utf16_units(F.to_json(parsed)) - F.when(F.get_json_object(value, "$.ts").isNotNull(), F.length(old) + len(',"ts":')).otherwise(0) + F.length(F.concat(F.lit(',"ts":'), stamped.cast("string")))
     status = (
         F.when(parsed.isNull(), "Not JSON")
         .when(~kind.startswith("OBJECT"), F.when(kind.startswith("ARRAY"), "Invalid Record").otherwise("Not JSON Object"))

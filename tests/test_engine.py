@@ -186,6 +186,24 @@ def test_gap_labels(spark):
     assert [r["label_ref"] for r in got] == ["First Record", "120 Seconds Ago", "2 Minutes Ago", "48 Minutes Ago", "3 Days Ago", "2 Hours Ago", "2 Days Ago"]
 
 
+def test_gaps_of_equal_times(spark):
+    got = history.interarrival(spark.createDataFrame([("d", 1000), ("d", 1000), ("d", 6000), ("d", 6000)], "uuid string, ts long")).orderBy("ts").collect()
+    assert [r["label_ref"] for r in got] == ["First Record"] * 2 + ["5 Seconds Ago"] * 2
+
+
+def test_ui_levels_by_hand(spark):
+    want = {"0": "Basic", "3": "Developer", "4": "Undefined", "-1": "Undefined", "x": "Undefined", "": "undefined", "true": "undefined", "false": "undefined", "1.0": "undefined", None: "Basic"}
+    rows = spark.createDataFrame([({"uiLevel": k} if k is not None else {}, v) for k, v in want.items()], "settings map<string,string>, want string")
+    assert all(r["got"] == r["want"] for r in rows.select("want", STATS["uiLevel"].fixed()[0][1].alias("got")).collect())
+
+
+def test_size_of_the_report_as_written_again(spark):
+    blank, old = '{"uuid": "a",' + " " * 100_000 + '"x": 1}', '{"uuid":"a","ts":123456789,"x":"' + "y" * (100_000 - 40) + '"}'
+    large = '{"uuid":"a","x":"' + "y" * 100_000 + '"}'
+    rows = spark.createDataFrame([(1, blank), (2, old), (3, large)], "i int, value string")
+    assert [r["status"] for r in ingest.upload_status(rows, "value", 1).orderBy("i").collect()] == ["OK", "OK", "Payload too large"]
+
+
 def test_history_statistic_is_registered():
     assert "uniqueByMonth" in HISTORY_STATS
 

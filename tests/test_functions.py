@@ -26,9 +26,9 @@ def test_version_texts(spark):
 
 
 def test_loose_numbers(spark):
-    values = ["1", "1.0", "true", "0", "", "false", "x", None, " "]
-    assert apply(spark, values, js_num) == [1, 1, 1, 0, 0, 0, None, None, None]
-    assert apply(spark, values, lambda v: loose_eq(v, 1)) == [True, True, True, False, False, False, False, False, False]
+    values = ["1", "1.0", "true", "0", "", "false", "x", None, " ", "NaN", "Infinity", "-inf", "1d", "1f", " 2 ", ".5", "1e3"]
+    assert apply(spark, values, js_num) == [1, 1, 1, 0, 0, 0, None, None, 0, None, None, None, None, None, 2, 0.5, 1000]
+    assert apply(spark, values, lambda v: loose_eq(v, 1)) == [True, True, True] + [False] * 14
 
 
 def test_keys(spark):
@@ -51,7 +51,7 @@ def test_bin_forms_agree_at_edges(spark, name):
         return hit[-1] if hit else table.default
 
     rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(edges)], "i int, v double")
-    got = bin_range_join(rows, "v", bins_table(spark, table), table.default, "i", table.open_end).withColumn("c", bin_case(F.col("v"), table)).orderBy("i").collect()
+    got = bin_range_join(rows, "v", bins_table(spark, table), table.default, table.open_end).withColumn("c", bin_case(F.col("v"), table)).orderBy("i").collect()
     assert [r["c"] for r in got] == [r["label"] for r in got] == [plain(x) for x in edges]
 
 
