@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +52,13 @@ _PLACES = np.uint64((1 << 24) - 1)
 _TOP = np.uint64(np.iinfo(np.uint64).max)
 
 
-def _run_hashes(h: np.ndarray) -> np.ndarray:
-    """Of every run of SPAN words: from those of its first and of its last words, a power of two, by doubling."""
+def _run_hashes(h: np.ndarray, span: int) -> np.ndarray:
+    """Of every run of ``span`` words: from those of its first and of its last words, a power of two, by doubling."""
     size = 1
-    while 2 * size <= SPAN:
+    while 2 * size <= span:
         h = (h[:-size] ^ (h[:-size] >> _R)) * _M + h[size:]
         size *= 2
-    last = SPAN - size
+    last = span - size
     return mix(mix(h[: len(h) - last]) + h[last:])
 
 
@@ -151,7 +152,7 @@ ROWS_OF = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("check", pa.int
 ROWS_SQL = f"kind byte, node long, check int, doc_id long, begin long, size long, first_doc long, unit struct<n:int,{','.join(f'{x}:long' for x in MAPS)},bands:array<long>>"
 
 
-def lay_out(texts: list[bytes], ids: np.ndarray) -> list[tuple]:
+def lay_out(texts: list[bytes], ids: np.ndarray, span: int | None) -> list[tuple]:
     """(kind, node, check, doc_id, begin, size) of the short and of the long paragraphs of some texts; with the long ones (n, maps, bands)."""
     sizes = np.array([len(t) for t in texts], np.int64) + 1
     base = np.cumsum(sizes) - sizes
@@ -162,11 +163,12 @@ def lay_out(texts: list[bytes], ids: np.ndarray) -> list[tuple]:
     crossing = of[1:] != of[:-1]
     other = mix(h * _OTHER)
     out = []
-    at = short_beginnings(h, crossing)
-    at = at[at + SPAN <= len(h)]
-    at = at[of[at] == of[at + SPAN - 1]]
+    at = short_beginnings(h, crossing) if span else np.empty(0, np.int64)
     if len(at):
-        out.append((SHORT, _run_hashes(h)[at].view(np.int64), (_run_hashes(other)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[of[at]], begins[at] - base[of[at]], ends[at + SPAN - 1] - begins[at], None))
+        at = at[at + span <= len(h)]
+        at = at[of[at] == of[at + span - 1]]
+    if len(at):
+        out.append((SHORT, _run_hashes(h, span)[at].view(np.int64), (_run_hashes(other, span)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32), ids[of[at]], begins[at] - base[of[at]], ends[at + span - 1] - begins[at], None))
     edges = np.flatnonzero(np.r_[True, crossing])
     x, y = long_paragraphs(h, crossing, edges, np.r_[edges[1:], len(h)])
     step = np.arange(int((y - x).sum())) - np.repeat(np.cumsum(y - x) - (y - x), y - x)
@@ -233,7 +235,7 @@ def _merged(kind: int, found: list[tuple]) -> Iterator[pa.RecordBatch]:
             yield _batch(AGAIN, mix((doc[a] * 31 + begin[a]).view(np.uint64)).view(np.int64), check[a], doc[a], begin[a], size[a], doc[leader[a]])
 
 
-def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lay(batches: Iterator[pa.RecordBatch], span: int | None = SPAN) -> Iterator[pa.RecordBatch]:
     """The paragraphs of all texts of a task."""
     found: dict[int, list[tuple]] = {SHORT: [], WHOLE: []}
     ids: list[int] = []
@@ -242,7 +244,7 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def work() -> None:
         nonlocal ids, texts, size, held
-        for kind, *columns in lay_out(texts, np.array(ids, np.int64)):
+        for kind, *columns in lay_out(texts, np.array(ids, np.int64), span):
             found[kind].append(columns)
             held += len(columns[0])
         ids, texts, size = [], [], 0
@@ -337,12 +339,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.select(["a", "b"]).filter(pa.array((100 + PERCENT) * o >= PERCENT * (na + nb)))
 
 
-def clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, begin, size, first_doc of every paragraph that isn't the first of its cluster."""
+def clusters(docs: DataFrame, span: int | None = SPAN) -> DataFrame:
+    """doc_id, begin, size, first_doc of every paragraph that isn't the first of its cluster. ``span``: words of short ones, None for none."""
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     place = Window.partitionBy("node").orderBy("doc_id", "begin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = docs.mapInArrow(_lay, ROWS_SQL)
+    rows = docs.mapInArrow(partial(_lay, span=span), ROWS_SQL)
     rows = rows.select("*", F.row_number().over(Window.partitionBy("node").orderBy("doc_id", "begin")).alias("_nth"), *(F.first(c).over(place).alias(f"_{c}") for c in ("check", "doc_id", "begin")))
     # Equal names that are of other words by chance stay, as they fail the check.
     later = "_nth > 1 AND check = _check AND (doc_id != _doc_id OR begin != _begin)"
@@ -408,9 +410,9 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def remove_paragraphs(docs: DataFrame) -> DataFrame:
+def remove_paragraphs(docs: DataFrame, span: int | None = SPAN) -> DataFrame:
     """doc_id, n_bytes, n_removed (bytes), n_spans, kept (bytes), sources (documents where equal or similar paragraphs stand earlier), a row per row."""
-    cuts = stored(clusters(docs).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "size", "first_doc")).alias("cuts")))
+    cuts = stored(clusters(docs, span).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "size", "first_doc")).alias("cuts")))
     total = cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0
     return docs.select("doc_id", "text").join(maybe_broadcast(cuts, total), "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(_remove, RESULT)
 

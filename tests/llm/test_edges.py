@@ -175,7 +175,8 @@ def test_paragraph_classes_are_exact_jaccard(spark):
             w[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
         docs[i] = " ".join(w) + "."
     groups = jaccard_groups(docs)
-    got = {r["doc_id"]: r["n_removed"] > 0 for r in paragraph_dedup.remove_paragraphs(table(spark, docs.items())).collect()}
+    # Long paragraphs alone: texts of J under 0.8 may still share a short one.
+    got = {r["doc_id"]: r["n_removed"] > 0 for r in paragraph_dedup.remove_paragraphs(table(spark, docs.items()), span=None).collect()}
     assert got == {i: groups[i][1] != i for i in docs}
 
 
