@@ -62,12 +62,12 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
         several = rows.groupBy("s").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("s")
         return stored(rows.join(several, "s", "left_semi"))
 
-    def pairs_of(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    def pairs_of(left: DataFrame, right: DataFrame, keys: list[str], more: tuple[str, ...] = (), only: str = "true") -> DataFrame:
         def side(rows: DataFrame, node: str, name: str) -> DataFrame:
-            own = {"n": "n", "pos": "p", "component": "c"} | {c: c for c in carry}
+            own = {"n": "n", "pos": "p", "component": "c"} | {c: c for c in (*carry, *more)}
             return rows.select(*keys, F.col("node").alias(node), *(F.col(c).alias(short + name) for c, short in own.items()))
 
-        met = side(left, "x", "a").join(side(right, "y", "b"), keys).where((F.col("ca") != F.col("cb")) & F.expr(bound))
+        met = side(left, "x", "a").join(side(right, "y", "b"), keys).where((F.col("ca") != F.col("cb")) & F.expr(bound) & F.expr(only))
         first = F.col("x") < F.col("y")
         return met.select(
             F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(first, F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(first, F.col("nb")).otherwise(F.col("na")).alias("nb")
@@ -106,6 +106,9 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
             new = new.unionByName(pairs.select("a", "b", "na", "nb")).distinct()
         if not test(new):
             break
+    # Of several lists that two nodes share the first gives the pair, once.
     rows = apart(rows)
-    test(pairs_of(rows, rows, ["s"]))
+    every = rows.groupBy("node").agg(F.collect_set("s").alias("every"))
+    rows = stored(rows.join(every, "node"))
+    test(pairs_of(rows, rows, ["s"], ("every",), "x < y AND s = array_min(array_intersect(everya, everyb))"))
     return labels, reduce(DataFrame.unionAll, links) if links else None
