@@ -75,8 +75,8 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
 
     def test(new: DataFrame) -> bool:
         nonlocal labels
-        for t in tested:
-            new = new.join(t, ["a", "b"], "left_anti")
+        if tested:
+            new = new.join(reduce(DataFrame.unionAll, tested), ["a", "b"], "left_anti")
         new = stored(new)
         if new.isEmpty():
             return False
