@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from .functions import bins
 from .functions.ages import DAY_MS, WINDOWS
 from .functions.bins import INF, Bins
@@ -112,7 +114,64 @@ def _values(labels: list[str]) -> str:
     return "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(labels)) + ") AS o(pos, label)"
 
 
-def build(stat_keys: dict[str, str]) -> dict[str, str]:
+#: Fixed values of the published documents, once more: fields by series, and the lists of labels in order.
+_BINNED = {
+    "lastReported": {"": ("data", "order")}, "deviceMemory": {"": ("memory", "memoryOrder")}, "multisyncPeers": {"": ("peers", "peerOrder")}, "outputLocalPixels": {"": ("pixels", "pixelOrder")},
+    "deviceStorage": {"storage": ("storage", "storageOrder"), "usedStorage": ("usedStorage", "usedStorageOrder")},
+    "outputUniverses": {"universe": ("universe", "universeOrder"), "channel": ("channel", "channelOrder")},
+    "inputUniverses": {"universe": ("universe", "universeOrder"), "channel": ("channel", "channelOrder")},
+    "outputPanels": {"panels": ("panels", "panelOrder"), "channel": ("channel", "channelOrder"), "panelType": ("panelType", None), "panelSubType": ("panelSubType", None), "panelSize": ("panelSize", None)},
+}
+_LABELS = {
+    "order": ["< 24 hrs", "1-5 days", "5-14 days", "14-30 days", "30-90 days", "90-180 days", "180-365 days", "> 1 year"],
+    "memoryOrder": ["Unknown", "512M", "1GB", "1.1-2GB", "2.1-4GB", "4.1-8GB", ">8GB"],
+    "storageOrder": ["Unknown", "4GB", "4.1-8GB", "8.1-16GB", "16.1-32GB", "32.1-64GB", "64.1-128GB", "128.1-256GB", ">256GB"],
+    "peerOrder": ["None", "1", "2-3", "4-5", "6-10", "11-20", "21-50", "51-100", "101+"],
+    "pixelOrder": ["Zero", "1-499", "500-1k", "1k-5k", "5k-10k", "10k-20k", "20k+"],
+    "universeOrder": ["Zero", "1-49", "50-99", "100-249", "249-500", "500+"],
+    "channelOrder": ["Zero", "1-999", "1k-10k", "10k-100k", "100k-500k", "500k-1M", "1M+"],
+    "panelOrder": ["Zero", "1-4", "5-8", "9-16", "17-32", "33-64", "65+"],
+}
+_LABELS["usedStorageOrder"] = _LABELS["storageOrder"]
+
+
+def documents_sql(months: str, descriptions: dict[str, str], keys: int) -> str:
+    def values(rows: list[tuple], names: str) -> str:
+        return "(VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("'", "''") + "'" for x in r) + ")" for r in rows) + f") AS {names}"
+
+    fields = [(stat, series, field) for stat, named in _BINNED.items() for series, (field, _) in named.items()]
+    spine = [*((stat, field) for stat, _, field in fields), *(("topPlugins", w) for w in WINDOWS), *((stat, None) for stat in ROWS if stat not in _BINNED and stat != "topPlugins")]
+    orders = [(stat, ",".join(f'"{o}":{json.dumps(_LABELS[o], separators=(",", ":"))}' for _, o in _BINNED.get(stat, {}).values() if o)) for stat in ROWS]
+    counts = " || ',' || ".join(f"'\"{w}\":' || \"{w}\"" for w in WINDOWS)
+    plugins = " UNION ALL ".join(f"SELECT population, stat, series, key, '{w}' AS field, CAST(\"{w}\" AS VARCHAR) AS value FROM summary WHERE stat = 'topPlugins' AND \"{w}\" > 0" for w in WINDOWS)
+    return summary_sql(list(ROWS)) + f""",
+fields AS (SELECT * FROM {values(fields, "f(stat, series, field)")}),
+spine AS (SELECT population, stat, field FROM {values(spine, "x(stat, field)")} CROSS JOIN (VALUES ('all'), ('noDocker')) AS p(population)),
+lists AS (SELECT * FROM {values(orders, "o(stat, orders)")}),
+descriptions AS (SELECT * FROM {values(list(descriptions.items()), "d(stat, description)")}),
+valued AS (
+  SELECT population, s.stat, s.series, key, coalesce(f.field, nullif(s.series, '')) AS field, '{{' || {counts} || '}}' AS value
+  FROM summary s LEFT JOIN fields f ON f.stat = s.stat AND f.series = s.series WHERE s.stat <> 'topPlugins' UNION ALL {plugins}),
+sized AS (SELECT population, stat, (count(*) + {keys - 1}) // {keys} AS parts FROM summary GROUP BY population, stat),
+entries AS (
+  SELECT population, stat, CAST(CAST('0x' || substr(md5(series || '/' || key), 1, 7) AS BIGINT) % parts AS INTEGER) AS part, field,
+    CASE WHEN stat = 'Instances' THEN value ELSE CAST(to_json(key) AS VARCHAR) || ':' || value END AS entry FROM valued JOIN sized USING (population, stat)
+  UNION ALL SELECT population, stat, CAST(unnest(range(coalesce(parts, 1))) AS INTEGER), field, NULL FROM spine LEFT JOIN sized USING (population, stat)),
+inners AS (SELECT population, stat, part, field, coalesce(string_agg(entry, ',' ORDER BY entry), '') AS inn FROM entries GROUP BY population, stat, part, field),
+bodies AS (
+  SELECT population, stat, part, nullif(CASE WHEN field IS NULL THEN inn WHEN stat = 'platformVariantBreakout'
+    THEN CAST(to_json(field) AS VARCHAR) || ':{{"data":{{' || inn || '}},"description":' || CAST(to_json('Platform Variant for ' || field) AS VARCHAR) || '}}'
+    ELSE CAST(to_json(field) AS VARCHAR) || ':{{' || inn || '}}' END, '') AS body FROM inners),
+wholes AS (SELECT population, stat, part, coalesce(string_agg(body, ',' ORDER BY body), '') AS body FROM bodies GROUP BY population, stat, part),
+datas AS (
+  SELECT population, stat, part, CASE WHEN stat = 'Instances' AND body <> '' THEN body ELSE '{{' || concat_ws(',', nullif(body, ''), nullif(orders, '')) || '}}' END AS data
+  FROM wholes JOIN lists USING (stat)
+  UNION ALL SELECT population, 'uniqueByMonth', 0, '{{"data":{{' || string_agg('"' || month || '":' || devices, ',' ORDER BY pos) || '}},"order":[' || string_agg('"' || month || '"', ',' ORDER BY pos) || ']}}'
+  FROM ({months}) GROUP BY population)
+SELECT population, stat, part, '{{"ts":{AS_OF},"description":' || CAST(to_json(description) AS VARCHAR) || ',"data":' || data || '}}' AS document FROM datas JOIN descriptions USING (stat)"""
+
+
+def build(stat_keys: dict[str, str], descriptions: dict[str, str], keys: int) -> dict[str, str]:
     out = {key: summary_sql([name]) + "SELECT * FROM summary" for key, name in stat_keys.items()}
     out["summary_all"] = summary_sql(list(ROWS)) + "SELECT * FROM summary"
     out["summary_population"] = summary_sql(["platform", "version", "timeZone"]) + "SELECT * FROM summary WHERE population = 'noDocker'"
@@ -134,6 +193,7 @@ seen AS (SELECT DISTINCT r.uuid, c.docker, date_trunc('month', make_timestamp(r.
 counted AS (SELECT population, first, count(*) AS n FROM seen, populations WHERE population = 'all' OR NOT docker GROUP BY population, first)
 SELECT p.population, pos, strftime(m.first, '%b-%Y') AS month, coalesce(n, 0) AS devices
 FROM months m CROSS JOIN populations p LEFT JOIN counted c ON c.population = p.population AND c.first = m.first"""
+    out["summary_json"] = documents_sql(out["unique_by_month"], descriptions, keys)
     out["interarrival"] = f"""
 WITH g AS (SELECT event_id, user_id, ({EVENT_MS} - (SELECT max(epoch_us(p.ts) // 1000) FROM events p WHERE p.user_id = events.user_id AND epoch_us(p.ts) // 1000 < {EVENT_MS.replace("(ts)", "(events.ts)")})) / 1000.0::DOUBLE AS s FROM events)
 SELECT event_id, user_id, s AS gap_seconds, CASE WHEN s IS NULL THEN 'First Record'

@@ -12,7 +12,7 @@ from .functions import bins
 from .functions.ages import WINDOWS
 from .functions.bins import bin_case, bin_range_join, bins_table
 from .operators import catalog, history
-from .operators.registry import STATS
+from .operators.registry import HISTORY_STATS, STATS
 from .plans import engine, publish, views
 from .sources import demo
 from .sources.landing import latest_report
@@ -60,7 +60,7 @@ def summary_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.summary_json(summary_all(spark, sf_dir), demo.AS_OF)
+    return publish.summary_json(stored(summary_all(spark, sf_dir)), unique_by_month(spark, sf_dir), demo.AS_OF)
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,4 +211,4 @@ QUERIES: dict[str, Query] = {
     "missing_commits": missing_commits,
     "release_summary": release_summary,
 }
-ORACLE_SQL: dict[str, str] = oracles.build(STAT_KEYS)
+ORACLE_SQL: dict[str, str] = oracles.build(STAT_KEYS, {s.name: s.description for s in (*STATS.values(), *HISTORY_STATS.values())}, publish.KEYS)

@@ -162,11 +162,34 @@ def test_stream_of_months(spark, tmp_path):
     assert rows(spark.table("months")) == [("2024-01", 2), ("2024-02", 1)]
 
 
-def test_published_documents(spark, summary):
-    docs = {(r["population"], r["stat"]): json.loads(r["document"]) for r in publish.summary_json(summary, AS_OF).collect()}
-    assert len(docs) == 2 * len(STATS) and docs["all", "platform"]["ts"] == AS_OF
-    data = json.loads(docs["all", "Instances"]["data"])["data"]
-    assert data[""]["totalCount"] == summary.where("stat = 'Instances' AND population = 'all'").first()["totalCount"]
+def test_published_documents(spark, summary, current, sf_dir):
+    months = history.unique_by_month(demo.reports(spark, sf_dir), current, AS_OF)
+
+    def published(found, keys=publish.KEYS):
+        return {(r["population"], r["stat"], r["part"]): json.loads(r["document"]) for r in publish.summary_json(found, months, AS_OF, keys).collect()}
+
+    docs = published(summary)
+    assert len(docs) == 2 * (len(STATS) + 1) and docs["all", "platform", 0]["ts"] == AS_OF
+    counts = {(r["stat"], r["series"], r["key"]): {w: r[w] for w in COUNTS} for r in summary.where("population = 'all'").collect()}
+    data = {stat: doc["data"] for (population, stat, _), doc in docs.items() if population == "all"}
+    assert data["Instances"] == counts["Instances", "", ""]
+    assert data["platform"] == {k: v for (stat, _, k), v in counts.items() if stat == "platform"}
+    assert data["deviceMemory"]["memory"] == {k: v for (stat, _, k), v in counts.items() if stat == "deviceMemory"} and data["deviceMemory"]["memoryOrder"][-1] == ">8GB"
+    assert set(data["outputPanels"]) == {"panels", "panelType", "panelSubType", "panelSize", "channel", "panelOrder", "channelOrder"}
+    assert data["platformVariantBreakout"]["Generic"]["description"] == "Platform Variant for Generic"
+    assert data["settingsValues"]["volume"] == {k: v for (stat, series, k), v in counts.items() if (stat, series) == ("settingsValues", "volume")}
+    assert list(data["topPlugins"]["totalCount"].values()) and set(data["topPlugins"]) == set(COUNTS)
+    assert len(data["uniqueByMonth"]["order"]) == 15 and list(data["uniqueByMonth"]["data"]) == data["uniqueByMonth"]["order"]
+    some = summary.where("stat IN ('settingsValues', 'deviceMemory')")
+    merged = {}
+    for (population, stat, _), doc in published(some, 20).items():
+        if (population, stat) == ("all", "settingsValues"):
+            for series, values in doc["data"].items():
+                assert not set(values) & set(merged.setdefault(series, {}))
+                merged[series].update(values)
+    assert merged == data["settingsValues"]
+    none = published(summary.where("false"))
+    assert none["all", "deviceMemory", 0]["data"]["memory"] == {} and none["all", "platform", 0]["data"] == {}
 
 
 def test_views(spark, summary):
