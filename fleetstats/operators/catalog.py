@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of a release that its summary leaves out.
@@ -24,3 +24,15 @@ def missing_commits(branches: DataFrame, commits: DataFrame) -> DataFrame:
 def release_summary(releases: DataFrame) -> DataFrame:
     """Releases with the number of their assets instead of links and authors."""
     return releases.withColumn("asset_cnt", F.size("assets")).drop(*RELEASE_DROPPED)
+
+
+def write_catalogue(details: DataFrame, releases: DataFrame, folder: str, last_updated: str) -> None:
+    """Branches (from ``branch_details``) and releases (from ``release_summary``) with the time of the update, over what is there."""
+    for name, rows in (("branches", details), ("releases", releases)):
+        rows.withColumn("last_updated", F.lit(last_updated)).write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def read_catalogue(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Branches, newest head first, and releases of the last update."""
+    branches = spark.read.parquet(f"{folder}/branches")
+    return branches.orderBy(F.desc_nulls_last("date_epoch"), "name"), spark.read.parquet(f"{folder}/releases")

@@ -171,6 +171,41 @@ datas AS (
 SELECT population, stat, part, '{{"ts":{AS_OF},"description":' || CAST(to_json(description) AS VARCHAR) || ',"data":' || data || '}}' AS document FROM datas JOIN descriptions USING (stat)"""
 
 
+#: Views once more: (view, statistic, series) by kind, with the list of labels or the most rows.
+_BARS = [
+    ("lastReportDays", "lastReported", "", "order"), ("memory", "deviceMemory", "", "memoryOrder"), ("storage", "deviceStorage", "storage", "storageOrder"),
+    ("usedStorage", "deviceStorage", "usedStorage", "storageOrder"), ("peers", "multisyncPeers", "", "peerOrder"), ("outUniverse", "outputUniverses", "universe", "universeOrder"),
+    ("outChannel", "outputUniverses", "channel", "channelOrder"), ("inUniverse", "inputUniverses", "universe", "universeOrder"), ("inChannel", "inputUniverses", "channel", "channelOrder"),
+    ("localPixels", "outputLocalPixels", "", "pixelOrder"), ("panelChannel", "outputPanels", "channel", "channelOrder"), ("panelCounts", "outputPanels", "panels", "panelOrder"),
+]
+_NO_ZERO = ("localPixels", "panelChannel", "panelCounts")
+_RANKED = [
+    ("timezones", "zones", "timeZone", "", None), ("platforms", "table", "platform", "", 49), ("genericVariants", "table", "platformVariantBreakout", "Generic", 49),
+    ("piVariants", "table", "platformVariantBreakout", "Raspberry Pi", 49), ("beagleVariants", "table", "platformVariantBreakout", "BeagleBone", 49), ("otherOutputs", "table", "outputOther", "", 49),
+    ("versionDetail", "table", "versionDetailed", "", 49), ("allPlugins", "table", "topPlugins", "", 1999), ("allCapes", "table", "capeType", "", 1999), ("modes", "pie", "fppMode", "", None),
+    ("versions", "pie", "version", "", None), ("mqtt", "pie", "mqttEnabled", "", None), ("uiLevels", "pie", "uiLevel", "", None), ("capes", "pie", "capeInstalled", "", None),
+    ("panelSubType", "pie", "outputPanels", "panelSubType", None), ("panelSize", "pie", "outputPanels", "panelSize", None), ("releases", "topk", "versionWithOS", "", 15),
+    ("topCapes", "topk", "capeType", "", 15), ("plugins", "topk", "topPlugins", "", 10), ("processors", "topk", "outputProcessors", "", 10), ("popularSettings", "topk", "settingsPopular", "", 12),
+]
+
+
+def dashboard_sql(months: str) -> str:
+    asked = ", ".join(f"('{v}', '{kind}', '{stat}', '{series}', {most or 'NULL'})" for v, kind, stat, series, most in _RANKED)
+    kept = [(v, stat, series, [x for x in _LABELS[o] if not (x == "Zero" and v in _NO_ZERO)]) for v, stat, series, o in _BARS]
+    bars = ", ".join(f"('{v}', '{stat}', '{series}', {i}, '{x}')" for v, stat, series, labels in kept for i, x in enumerate(labels))
+    return summary_sql(list(ROWS)) + f""",
+own AS (SELECT stat, series, key, last365Days AS n FROM summary WHERE population = 'all' AND (stat <> 'topPlugins' OR last365Days > 0)),
+asked AS (SELECT * FROM (VALUES {asked}) AS a(view, kind, stat, series, most)),
+rows AS (
+  SELECT view, kind, most, CASE WHEN kind = 'table' AND key = '' THEN 'Unknown' ELSE key END AS label, n, CAST(sum(n) OVER (PARTITION BY view) AS BIGINT) AS t,
+    CASE WHEN kind <> 'zones' THEN -n WHEN key = 'Not Reported' THEN 99999999 WHEN starts_with(key, '+') THEN CAST(substr(key, 2, 4) AS INTEGER) ELSE -CAST(substr(key, 2, 4) AS INTEGER) END AS place
+  FROM own JOIN asked USING (stat, series)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY view ORDER BY place, label) - 1 AS INTEGER) AS pos FROM rows)
+SELECT view, kind, pos, label, n, CASE WHEN kind = 'table' AND t > 0 THEN ((2000 * n + t) // (2 * t)) / 10.0::DOUBLE END AS pct FROM ranked WHERE most IS NULL OR pos < most
+UNION ALL SELECT view, 'dense', pos, label, coalesce(n, 0), NULL FROM (VALUES {bars}) AS b(view, stat, series, pos, label) LEFT JOIN own ON own.stat = b.stat AND own.series = b.series AND own.key = b.label
+UNION ALL SELECT 'months', 'monthly', pos, month, devices, NULL FROM ({months}) WHERE population = 'all'"""
+
+
 def build(stat_keys: dict[str, str], descriptions: dict[str, str], keys: int) -> dict[str, str]:
     out = {key: summary_sql([name]) + "SELECT * FROM summary" for key, name in stat_keys.items()}
     out["summary_all"] = summary_sql(list(ROWS)) + "SELECT * FROM summary"
@@ -194,6 +229,7 @@ counted AS (SELECT population, first, count(*) AS n FROM seen, populations WHERE
 SELECT p.population, pos, strftime(m.first, '%b-%Y') AS month, coalesce(n, 0) AS devices
 FROM months m CROSS JOIN populations p LEFT JOIN counted c ON c.population = p.population AND c.first = m.first"""
     out["summary_json"] = documents_sql(out["unique_by_month"], descriptions, keys)
+    out["dashboard"] = dashboard_sql(out["unique_by_month"])
     out["interarrival"] = f"""
 WITH g AS (SELECT event_id, user_id, ({EVENT_MS} - (SELECT max(epoch_us(p.ts) // 1000) FROM events p WHERE p.user_id = events.user_id AND epoch_us(p.ts) // 1000 < {EVENT_MS.replace("(ts)", "(events.ts)")})) / 1000.0::DOUBLE AS s FROM events)
 SELECT event_id, user_id, s AS gap_seconds, CASE WHEN s IS NULL THEN 'First Record'

@@ -137,6 +137,10 @@ def period_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.period_options(engine.summary(_current(spark, sf_dir), [STATS["Instances"]]))
 
 
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.dashboard(stored(summary_all(spark, sf_dir)), unique_by_month(spark, sf_dir))
+
+
 def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", views.format_date(F.col("ts_ms")).alias("shown"))
 
@@ -206,6 +210,7 @@ QUERIES: dict[str, Query] = {
     "table_pct": table_pct,
     "timezone_order": timezone_order,
     "period_options": period_options,
+    "dashboard": dashboard,
     "format_date": format_date,
     "branch_details": branch_details,
     "missing_commits": missing_commits,

@@ -192,6 +192,16 @@ def test_published_documents(spark, summary, current, sf_dir):
     assert none["all", "deviceMemory", 0]["data"]["memory"] == {} and none["all", "platform", 0]["data"] == {}
 
 
+def test_catalogue_is_written_and_read(spark, tmp_path):
+    branches = spark.createDataFrame([("old", False, ("a", "")), ("new", True, ("b", "")), ("odd", False, ("c", ""))], "name string, protected boolean, commit struct<sha:string,url:string>")
+    commits = spark.createDataFrame([("a", "u/a", ("x", ("2024-01-01T00:00:00Z",))), ("b", "u/b", ("y", ("2024-02-01T00:00:00Z",)))], "sha string, url string, commit struct<message:string,author:struct<date:string>>")
+    releases = spark.createDataFrame([(1, [1, 2], "z")], "id long, assets array<int>, author string")
+    catalog.write_catalogue(catalog.branch_details(branches, commits), catalog.release_summary(releases), str(tmp_path), "2024-03-01T00:00:00Z")
+    found, shown = catalog.read_catalogue(spark, str(tmp_path))
+    assert [(r["name"], r["last_updated"]) for r in found.collect()] == [(n, "2024-03-01T00:00:00Z") for n in ("new", "old", "odd")]
+    assert shown.first().asDict() == {"id": 1, "asset_cnt": 2, "last_updated": "2024-03-01T00:00:00Z"}
+
+
 def test_views(spark, summary):
     view = views.of(summary, "platformVariant", "nonsense")
     assert rows(view) == rows(views.of(summary, "platformVariant", "last365Days"))
