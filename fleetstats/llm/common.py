@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_at_exit, shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "drop_at_exit", "join_hot", "maybe_broadcast", "shared_dir", "stored", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "drop_at_exit", "join_hot", "join_unique", "maybe_broadcast", "shared_dir", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -58,3 +58,11 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", wei
         "_salt", F.explode(F.when(F.col(weight) > max(50, total // 500), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop(weight)
     return salted.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on ``key``, unique in the stored table ``right``: by broadcast up to BROADCAST_ROWS (narrow) rows, else with hot keys salted."""
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), key, how)
+    weights = left.groupBy(key).agg(F.count(F.lit(1)).alias("_weight"))
+    return join_hot(left, stored(right.join(weights, key)), key, how, "_weight")

@@ -8,11 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, stored
+from .common import join_unique, maybe_broadcast, stored
 
 #: Lists longer than this are dealt to several hubs, so that no node is compared with more members of a list at once.
 HUB_MEMBERS = 512
 ROUNDS = 3
+#: A node in no more lists than this carries their names in the last pass.
+MOST_NAMED = 64
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,9 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             up = parent.select(F.col("u").alias("p"), F.col("p").alias("pp"))
             parent = stored(parent.join(up, "p").select("u", F.col("pp").alias("p")))
-        nodes = stored(nodes.join(parent, F.col("component") == F.col("u"), "left").select("node", F.coalesce("p", "component").alias("component")))
+        roots = parent.withColumnRenamed("u", "component")
+        nodes = stored(join_unique(nodes, roots, "component", "left").select("node", F.coalesce("p", "component").alias("component")))
         pa, pb = parent.select(F.col("u").alias("a"), F.col("p").alias("pa")), parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        graph = graph.join(pa, "a").join(pb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+        graph = join_unique(join_unique(graph, pa, "a"), pb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         graph = stored(graph.where("a != b").distinct())
     return nodes
 
@@ -47,8 +50,8 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
     First the members of each list are compared with a hub, the member of the lowest place; those of long lists with one of the whole
     list and with one of their share of it. Members known to be connected need
     no further test; of each component in a list only one member is compared with a hub again. What then still stands
-    apart within a list is compared pair by pair. Lists of one component are left out from then on. Returns (node, component) of
-    linked nodes, and the links found.
+    apart within a list is compared pair by pair, in blocks of about HUB_MEMBERS times HUB_MEMBERS. Lists of one component are left
+    out from then on. Returns (node, component) of linked nodes, and the links found.
     """
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -60,7 +63,7 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
             return rows.withColumn("component", F.col("node"))
         rows = rows.select("s", "node", "n", "pos", "m", *carry).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = rows.groupBy("s").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x != _y").select("s")
-        return stored(rows.join(several, "s", "left_semi"))
+        return stored(join_unique(rows, stored(several), "s", "left_semi"))
 
     def pairs_of(left: DataFrame, right: DataFrame, keys: list[str], more: tuple[str, ...] = (), only: str = "true") -> DataFrame:
         def side(rows: DataFrame, node: str, name: str) -> DataFrame:
@@ -95,7 +98,8 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
         if turn:
             one = rows.groupBy("s", "component").agg(F.min(F.struct("pos", "node", "n", *carry)).alias("r"))
             members = one.select("s", "component", "r.*")
-            members = members.join(members.groupBy("s").agg(F.count(F.lit(1)).alias("m")), "s")
+            members = stored(members)
+            members = join_unique(members, stored(members.groupBy("s").agg(F.count(F.lit(1)).alias("m"))), "s")
         dealt = members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("m") / HUB_MEMBERS)))
         hubs = dealt.groupBy("s", "salt").agg(F.min(F.struct("pos", "node", "n", "component", *carry)).alias("h")).select("s", "salt", "h.*")
         new = pairs_of(dealt, stored(hubs), ["s", "salt"])
@@ -106,9 +110,16 @@ def link_lists(lists: DataFrame, verify: Callable[[DataFrame], DataFrame], bound
             new = new.unionByName(pairs.select("a", "b", "na", "nb")).distinct()
         if not test(new):
             break
-    # Of several lists that two nodes share the first gives the pair, once.
+    # Of several lists that two nodes share the first gives the pair, once: by place, as the bound holds there. Nodes in very many lists
+    # meet in each of them, and their pairs are only made distinct.
     rows = apart(rows)
-    every = rows.groupBy("node").agg(F.collect_set("s").alias("every"))
-    rows = stored(rows.join(every, "node"))
-    test(pairs_of(rows, rows, ["s"], ("every",), "x < y AND s = array_min(array_intersect(everya, everyb))"))
+    named = F.transform(F.sort_array(F.collect_set(F.struct("pos", "s"))), lambda x: x["s"])
+    every = rows.groupBy("node").agg(F.when(F.count(F.lit(1)) <= MOST_NAMED, named).alias("every"))
+    parts = stored(rows.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / HUB_MEMBERS).cast("int").alias("parts")))
+    rows = stored(join_unique(rows.join(every, "node"), parts, "s").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")))
+    # Each two parts of a list meet in a block of their own, so that no task holds a whole long list.
+    left = rows.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)))
+    right = rows.withColumnRenamed("part", "other").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("other"))))
+    once = "(part < other OR x < y) AND coalesce(s = get(array_intersect(everya, everyb), 0), true)"
+    test(pairs_of(left, right, ["s", "part", "other"], ("every",), once))
     return labels, reduce(DataFrame.unionAll, links) if links else None

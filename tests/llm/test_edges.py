@@ -157,6 +157,35 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in got} == {i: groups.find(i) for i in groups.up}
 
 
+@pytest.mark.parametrize(("rounds", "named"), [(0, 64), (0, 2), (3, 64)])
+def test_links_of_long_lists(spark, monkeypatch, rounds, named):
+    """The last pass, by blocks, finds each link that no hub has found, in whichever lists of its prefixes a pair meets."""
+    monkeypatch.setattr(components, "ROUNDS", rounds)
+    monkeypatch.setattr(components, "MOST_NAMED", named)
+    monkeypatch.setattr(components, "HUB_MEMBERS", 7)
+    rng = random.Random(41)
+    sets = [set(rng.sample(range(60), 44)) for _ in range(60)]
+    for i in range(20):
+        near = set(sets[i])
+        for x in rng.sample(sorted(near), 4):
+            near.remove(x)
+        sets.append(near | set(rng.sample(range(60), 3)))
+    # Names of lists don't go by their order.
+    name = rng.sample(range(1000), 60)
+    rows = [(name[x], i, len(s), at) for i, s in enumerate(sets) for at, x in enumerate(sorted(s)) if at <= len(s) - (4 * len(s) + 4) // 5]
+    many = {}
+    for r in rows:
+        many[r[0]] = many.get(r[0], 0) + 1
+    lists = spark.createDataFrame([(*r, many[r[0]]) for r in rows], "s long, node long, n int, pos int, m int")
+    links = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j]) if 100 * len(x & y) >= 80 * len(x | y)}
+    linked = spark.createDataFrame(sorted(links), "a long, b long")
+    labels, found = components.link_lists(lists, lambda pairs: pairs.join(linked, ["a", "b"]).select("a", "b"), jaccard_join.BOUND)
+    want = {r["node"]: r["component"] for r in components.connected_components(linked).collect()}
+    assert {r["node"]: r["component"] for r in labels.collect()} == want
+    if not rounds:
+        assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted(links)
+
+
 def test_paragraph_dedup(spark, mixed):
     got = {r["doc_id"]: r for r in paragraph_dedup.remove_paragraphs(table(spark, mixed.items()).repartition(3)).collect()}
     assert set(got) == set(mixed)
