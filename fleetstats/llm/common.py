@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_at_exit, shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "drop_at_exit", "join_hot", "join_unique", "maybe_broadcast", "shared_dir", "stored", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "crc32_sql", "drop_at_exit", "join_hot", "join_unique", "maybe_broadcast", "shared_dir", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -40,6 +40,13 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8, for code points under 2048."""
+    table = "list_transform(range(256), lambda k: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k))"
+    data = f"flatten(list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))"
+    return f"xor(list_reduce({data}, lambda c, b: xor(c >> 8, ({table})[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, how: str = "left", weight: str = "n", salts: int = 64) -> DataFrame:
     """Join on ``key``, unique in ``right``, where one key may hold a large share of ``left``.
 

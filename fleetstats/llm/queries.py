@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard_join, langid, packing, paragraph_dedup, quality, suffix_dedup, url_filter, warc
+from . import chat, decontamination, jaccard_join, langid, packing, paragraph_dedup, quality, spelling, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLE_SQL = {
     "op2_decontamination": decontamination.ORACLE,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op8_warc": warc.ORACLE,
     "op9_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
