@@ -3,12 +3,12 @@
 A vector's components become floor(256 * x). Rows are dealt to shards of bounded size by their id; each shard is a ball tree over its
 distinct vectors, stored as one row. A node's bound for a query is the inner product with its centre plus its radius times the
 query's norm; nodes are taken in the order of their bounds until none reaches the kth score. That score is shared: first
-every shard gives each query the scores of its most promising leaf, the best of all shards set a common floor, and only then the trees are searched
-with this floor. Queries meet shards in blocks.
+every shard gives each query the scores of its most promising leaf; the best of all shards are a floor with which the trees
+are then searched. Queries meet shards in blocks.
 
 Vectors that are null, hold a null or a number that isn't finite (also after scaling) take no part; vectors of different length are
-not compared. Rows that repeat an id and a vector are one; an id with several vectors stands for each, and a query's results
-are the best over all of them, each candidate with each. A query's own id is no candidate of it. A null id is a candidate, last among
+not compared. Rows that repeat an id and a vector are one. An id with several vectors is a candidate with each, and as a query its
+results are the best over all of them. A query's own id is no candidate of it. A null id is a candidate, last among
 ties, and no query. Empty vectors score 0. Scores beyond a long are cut to its range. Columns other than the two named aren't read.
 """
 
@@ -19,243 +19,205 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored, table
+from .common import bound_batches, maybe_broadcast, stored, table
 
-SCALE = 256
-K = 5
-#: Vectors of a shard, of a leaf, and queries of a block.
-SHARD_ROWS, LEAF, QUERY_ROWS = 8192, 96, 1024
-#: Bytes of the vectors of a shard or block at most, about.
-PACK_BYTES = 8 << 20
-_EXACT = 2.0**53
-_NULL_ID = np.iinfo(np.int64).max
-PACK = "dim int, part int, ids binary, named binary, vectors binary"
-TREE = f"{PACK}, starts binary, ends binary, firsts binary, centres binary, radii binary"
-FOUND = "query_id long, vec_id long, named boolean, score long"
+SCALE, K = 256, 5
+#: Distinct vectors of a leaf; rows of a shard, and queries of a block, about; bytes of their vectors at most, about.
+LEAF, SHARD_ROWS, QUERY_ROWS, PACK_BYTES = 96, 8192, 1024, 8 << 20
+#: Doubles hold all integers up to here.
+EXACT = 2.0**53
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
+TREE = "dim int, part int, ids array<long>, bounds array<long>, vectors array<double>, starts array<long>, ends array<long>, firsts array<long>, centres array<double>, radii array<double>"
+FOUND = "query_id long, vec_id long, score long"
 
 
-def _doubles(data: bytes, kind: type = np.float64) -> np.ndarray:
-    return np.frombuffer(data, kind)
+def _batch(columns: dict[str, object]) -> pa.RecordBatch:
+    """One row: numbers as they are, arrays as lists."""
+    arrays = [pa.array([int(c)], pa.int32()) if isinstance(c, int) else pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns.values()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (dim, part, vec_id, embedding), sorted by dim and part, as one row a part; quantized."""
-    now, ids, vectors = None, [], []
+def _list(batch: pa.RecordBatch, name: str, r: int) -> pa.Array:
+    return batch[name][r].values
 
-    def row() -> pa.RecordBatch:
-        own = np.concatenate(ids)
-        known = ~np.isnan(own[:, 0])
-        data = (pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (own[:, 1].view(np.int64), known, np.concatenate(vectors))))
-        return pa.RecordBatch.from_arrays(list(data), names=[c.split()[0] for c in PACK.split(", ")])
 
-    for b in batches:
-        dims, parts = (b[c].to_numpy(zero_copy_only=False) for c in ("dim", "part"))
-        edges = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (parts[1:] != parts[:-1]), True]) if b.num_rows else [0]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            key = (int(dims[lo]), int(parts[lo]))
-            if now is not None and key != now:
-                yield row()
-                ids, vectors = [], []
-            now = key
-            raw = b["vec_id"].slice(lo, hi - lo)
-            known = np.array(raw.is_valid())
-            own = np.empty((hi - lo, 2))
-            own[:, 0] = np.where(known, 0.0, np.nan)
-            own[:, 1] = raw.fill_null(_NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64).view(np.float64)
-            ids.append(own)
-            vectors.append(np.floor(SCALE * b["embedding"].slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64)))
-    if now is not None:
-        yield row()
-
-
-def packed(rows: DataFrame, most: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """dim, part, ids, named, vectors: rows dealt by id into parts of about ``most`` vectors, each quantized and laid into one row."""
-    v = F.col(vector_col).cast("array<double>")
-    whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == float("inf")))
-    valid = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("embedding"), F.size(v).alias("dim")).where(F.col("embedding").isNotNull() & whole)
-    room = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(PACK_BYTES) / (8 * F.col("dim") + 8))))
-    sizes = stored(valid.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / room).cast("int").alias("parts")))  # a row for each dimension
-    dealt = valid.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, "dim").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
-    return dealt.select("dim", "part", "vec_id", "embedding").repartition("dim", "part").sortWithinPartitions("dim", "part", "vec_id").mapInArrow(_pack, PACK)
+def _numbers(batch: pa.RecordBatch, name: str, r: int) -> np.ndarray:
+    return _list(batch, name, r).to_numpy(zero_copy_only=False)
+
 
+def _integers(vectors: pa.Array, rows: int) -> np.ndarray:
+    """Vectors as they are compared: whole numbers, kept as doubles."""
+    return np.floor(SCALE * vectors.flatten().to_numpy(zero_copy_only=False)).reshape(rows, -1) + 0.0
 
-def _read(batch: pa.RecordBatch, r: int, ids: str, named: str, vectors: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    own = _doubles(batch[ids][r].as_py(), np.int64)
-    return own, _doubles(batch[named][r].as_py(), bool), _doubles(batch[vectors][r].as_py()).reshape(len(own), -1)
 
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """dim, part, own: rows (vec_id, embedding and others) dealt by id into parts of about ``most`` vectors that take part."""
+    v = F.col("embedding").cast("array<double>")
+    whole = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x * SCALE) == float("inf")))
+    valid = rows.withColumn("embedding", v).withColumn("dim", F.size(v)).where(F.col("embedding").isNotNull() & whole)
+    room = F.least(F.lit(most), F.greatest(F.lit(1), F.floor(F.lit(PACK_BYTES) / (8 * F.col("dim") + 8))))
+    sizes = stored(valid.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / room).cast("int").alias("parts")))
+    dealt = valid.join(maybe_broadcast(sizes), "dim").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int"))
+    return dealt.groupBy("dim", "part").agg(F.collect_list(F.struct(*rows.columns)).alias("own"))
 
-def build(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(order, starts, ends, firsts, centres, radii) of a ball tree: node i holds the rows order[starts[i]:ends[i]]; its children are firsts[i] and the next, 0 for leaves.
+
+def ball_tree(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(order, starts, ends, firsts, centres, radii): node i holds the rows order[starts[i]:ends[i]]; its children are firsts[i] and the next, none if 0.
 
     A node is cut in the middle of its rows as they lie between two far ones, so the depth is bounded for any data.
     """
-    order, nodes, centres, radii, todo = np.arange(len(x)), [[0, len(x), 0]], [None], [0.0], [0]
+    order, starts, ends, firsts, centres, radii, todo = np.arange(len(x)), [0], [len(x)], [0], [None], [0.0], [0]
     while todo:
         at = todo.pop()
-        lo, hi, _ = nodes[at]
+        lo, hi = starts[at], ends[at]
         own = x[order[lo:hi]]
         centres[at] = own.mean(0)
         far = np.linalg.norm(own - centres[at], axis=1)
-        radii[at] = far.max(initial=0.0)
-        if hi - lo <= LEAF or radii[at] == 0:
+        radii[at] = float(far.max())
+        if hi - lo <= LEAF:
             continue
         a = own[far.argmax()]
         b = own[np.linalg.norm(own - a, axis=1).argmax()]
         order[lo:hi] = order[lo:hi][np.argsort(own @ (b - a), kind="stable")]
-        nodes[at][2] = len(nodes)
-        middle = (lo + hi) // 2
-        for ends in ([lo, middle, 0], [middle, hi, 0]):
-            todo.append(len(nodes))
-            nodes.append(ends)
-            centres.append(None)
-            radii.append(0.0)
-    return (order, *np.array(nodes).T, np.array(centres), np.array(radii))
+        middle, firsts[at] = (lo + hi) // 2, len(starts)
+        todo += [len(starts), len(starts) + 1]
+        starts += [lo, middle]
+        ends += [middle, hi]
+        firsts += [0, 0]
+        centres += [None, None]
+        radii += [0.0, 0.0]
+    return order, np.array(starts), np.array(ends), np.array(firsts), np.array(centres), np.array(radii)
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A tree over the distinct vectors of each part. ``ids`` and ``named`` stay by row: equal vectors stand together, smallest ids first."""
+    """A tree over the distinct vectors of each part, and the ids of each of these, smallest first, null last."""
     for b in batches:
         for r in range(b.num_rows):
-            ids, named, x = _read(b, r, "ids", "named", "vectors")
-            distinct, group = (np.zeros((1, 0)), np.zeros(len(x), np.int64)) if not x.shape[1] else np.unique(x, axis=0, return_inverse=True)
-            group = group.ravel()
-            order, starts, ends, firsts, centres, radii = build(distinct)
+            own = _list(b, "own", r)
+            ids = own.field("vec_id")
+            x = _integers(own.field("embedding"), len(own))
+            distinct, group = np.unique(x, axis=0, return_inverse=True) if x.shape[1] else (x[:1], np.zeros(len(x), np.int64))
+            order, starts, ends, firsts, centres, radii = ball_tree(distinct)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
-            by = np.lexsort((ids, place[group]))
-            once = np.r_[True, (np.diff(place[group][by]) != 0) | (np.diff(ids[by]) != 0)]
-            by = by[once]
-            bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(place[group][by]) != 0]), len(by)]
-            data = {
-                "dim": pa.array([b["dim"][r].as_py()], pa.int32()), "part": pa.array([b["part"][r].as_py()], pa.int32()),
-                "ids": ids[by], "named": named[by], "vectors": distinct[order], "starts": starts, "ends": ends, "firsts": np.r_[firsts, bounds], "centres": centres, "radii": radii,
-            }
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array([c.tobytes()], pa.binary()) for c in data.values()], names=list(data))
+            at, known, n = place[group.ravel()], np.array(ids.is_valid()), ids.fill_null(_MOST).to_numpy(zero_copy_only=False)
+            by = np.lexsort((n, ~known, at))
+            same = (np.diff(at[by]) == 0) & (np.diff(n[by]) == 0) & (known[by][1:] == known[by][:-1])
+            by = by[np.r_[True, ~same]]
+            bounds = np.r_[np.flatnonzero(np.r_[True, np.diff(at[by]) != 0]), len(by)]
+            yield _batch({"dim": b["dim"][r].as_py(), "part": b["part"][r].as_py(), "ids": pa.array(n[by], mask=~known[by]), "bounds": bounds, "vectors": distinct[order].ravel(), "starts": starts, "ends": ends, "firsts": firsts, "centres": centres.ravel(), "radii": radii})
 
 
 class Shard:
     """A part's tree, searched query by query."""
 
     def __init__(self, batch: pa.RecordBatch, r: int):
-        self.ids, self.named = _doubles(batch["ids"][r].as_py(), np.int64), _doubles(batch["named"][r].as_py(), bool)
-        self.starts, self.ends = (_doubles(batch[c][r].as_py(), np.int64) for c in ("starts", "ends"))
-        nodes = len(self.starts)
-        both = _doubles(batch["firsts"][r].as_py(), np.int64)
-        self.firsts, self.bounds = both[:nodes], both[nodes:]
-        self.x = _doubles(batch["vectors"][r].as_py()).reshape(len(self.bounds) - 1, -1)
-        self.centres, self.radii = _doubles(batch["centres"][r].as_py()).reshape(nodes, -1), _doubles(batch["radii"][r].as_py())
-
-    def bind(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bounds of all nodes for each query, rounded up; ``self.exact`` tells whether doubles hold all scores."""
+        ids = _list(batch, "ids", r)
+        self.known, self.ids = np.array(ids.is_valid()), ids.fill_null(_MOST).to_numpy(zero_copy_only=False)
+        self.bounds, self.starts, self.ends, self.firsts, self.radii = (_numbers(batch, c, r) for c in ("bounds", "starts", "ends", "firsts", "radii"))
+        self.x = _numbers(batch, "vectors", r).reshape(len(self.bounds) - 1, -1)
+        self.centres = _numbers(batch, "centres", r).reshape(len(self.starts), -1)
+        self.largest = float(np.abs(self.x).max(initial=0)) * max(1, self.x.shape[1])
+        self.reach = np.linalg.norm(self.centres, axis=1) + self.radii
+
+    def bound(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds of every node for each query, with room for rounding."""
         norms = np.linalg.norm(queries, axis=1)[:, None]
-        self.exact = float(np.abs(queries).max(initial=0)) * float(np.abs(self.x).max(initial=0)) * max(1, self.x.shape[1]) < _EXACT
-        room = np.linalg.norm(self.centres, axis=1) + self.radii
-        return queries @ self.centres.T + norms * self.radii + 1e-9 * norms * room + 0.5
+        return queries @ self.centres.T + norms * self.radii + 1e-9 * norms * self.reach + 0.5
 
-    def scores(self, lo: int, hi: int, q: np.ndarray) -> list[int] | np.ndarray:
-        if self.exact:
-            return self.x[lo:hi] @ q
+    def scores(self, node: int, q: np.ndarray) -> np.ndarray:
+        x = self.x[self.starts[node] : self.ends[node]]
+        if self.largest * float(np.abs(q).max(initial=0)) < EXACT:
+            return x @ q
         whole = [int(c) for c in q]
-        return np.array([float(max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * b for a, b in zip(v, whole, strict=True))))) for v in self.x[lo:hi]]) if False else np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * b for a, b in zip(v, whole, strict=True)))) for v in self.x[lo:hi]], dtype=object)
+        return np.array([max(_LEAST, min(_MOST, sum(int(a) * b for a, b in zip(v, whole, strict=True)))) for v in x], dtype=object)
 
-    def take(self, best: list, k: int, query: int, row: int, score: int) -> None:
-        """Offer the ids of distinct vector ``row``: only the k smallest besides the query's own can be among the best."""
+    def offer(self, best: list[tuple], k: int, query: int, row: int, score: int) -> None:
+        """The ids of distinct vector ``row``: those after the k smallest, the query's own aside, can't be among the best."""
         taken = 0
         for i in range(self.bounds[row], self.bounds[row + 1]):
-            if self.named[i] and self.ids[i] == query:
+            if self.known[i] and self.ids[i] == query:
                 continue
-            entry = (score, -int(self.ids[i]), bool(self.named[i]))
-            if len(best) < k:
-                heapq.heappush(best, entry)
-            elif entry > best[0]:
-                heapq.heapreplace(best, entry)
-            else:
-                break
+            entry = (score, bool(self.known[i]), -int(self.ids[i]))
+            if len(best) == k and entry <= best[0] or taken == k:
+                return
+            (heapq.heappush if len(best) < k else heapq.heapreplace)(best, entry)
             taken += 1
-            if taken == k:
-                break
-
-    def leaf(self, best: list, k: int, query: int, node: int, q: np.ndarray, floor: float) -> None:
-        lo, hi = self.starts[node], self.ends[node]
-        scores = self.scores(lo, hi, q)
-        least = best[0][0] if len(best) == k else floor
-        for i in np.flatnonzero(scores >= least):
-            self.take(best, k, query, int(lo + i), int(scores[i]))
 
-    def search(self, query: int, q: np.ndarray, bounds: np.ndarray, k: int, floor: float = -np.inf, leaves: int | None = None) -> list[tuple[int, int, bool]]:
-        """The k best (score, -id, named) of at least ``floor``; with ``leaves``, of so many leaves only."""
-        best: list[tuple[int, int, bool]] = []
+    def search(self, query: int, q: np.ndarray, bounds: np.ndarray, k: int, floor: float, leaves: int | None) -> list[tuple]:
+        """The k best (score, id known, -id) of at least ``floor``, from so many leaves only if ``leaves`` is given."""
+        best: list[tuple] = []
         todo = [(-bounds[0], 0)]
         while todo:
             bound, node = heapq.heappop(todo)
-            if -bound < (max(floor, best[0][0]) if len(best) == k else floor):
+            least = max(floor, best[0][0]) if len(best) == k else floor
+            if -bound < least:
                 break
             if first := self.firsts[node]:
-                for child in (first, first + 1):
-                    heapq.heappush(todo, (-min(-bound, bounds[child]), child))
+                heapq.heappush(todo, (max(bound, -bounds[first]), first))
+                heapq.heappush(todo, (max(bound, -bounds[first + 1]), first + 1))
                 continue
-            self.leaf(best, k, query, node, q, floor)
+            scores = self.scores(node, q)
+            for i in np.flatnonzero(scores >= least):
+                self.offer(best, k, query, int(self.starts[node] + i), int(scores[i]))
             if leaves is not None and (leaves := leaves - 1) == 0:
                 break
         return best
 
 
-def _search(k: int, leaves: int | None):
+def _search(k: int, leaves: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                shard = Shard(b, r)
-                ids, _, queries = _read(b, r, "q_ids", "q_named", "q_vectors")
-                floors = _doubles(b["floors"][r].as_py()) if leaves is None else np.full(len(ids), -np.inf)
-                bounds = shard.bind(queries)
-                out = [(query, -i if named else None, named, score) for query, q, own, floor in zip(ids.tolist(), queries, bounds, floors, strict=True) for score, i, named in shard.search(query, q, own, k, floor, leaves)]
-                columns = zip(*out, strict=True) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.int64()), strict=True)], names=[c.split()[0] for c in FOUND.split(", ")])
+                shard, asked, out, seen = Shard(b, r), _list(b, "own", r), [], set()
+                queries = _integers(asked.field("embedding"), len(asked))
+                rows = zip(asked.field("vec_id").to_pylist(), asked.field("floor").to_pylist(), queries, shard.bound(queries), strict=True)
+                for query, floor, q, bounds in rows:
+                    if (key := (query, q.tobytes())) not in seen:
+                        seen.add(key)
+                        out += [(query, -i if known else None, score) for score, known, i in shard.search(query, q, bounds, k, floor, leaves)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _with_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lay the floors, (query_id, floor) lists, beside the queries of each block; no floor is minus infinity."""
-    for b in batches:
-        floors = []
-        for r in range(b.num_rows):
-            ids = _doubles(b["q_ids"][r].as_py(), np.int64)
-            known = {x["query_id"]: x["floor"] for x in b["known"][r].as_py() or []}
-            floors.append(np.array([known.get(i, -np.inf) for i in ids.tolist()]).tobytes())
-        kept = [c for c in b.schema.names if c != "known"]
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(floors, pa.binary())], names=[*kept, "floors"])
-
-
-def top_k(rows: DataFrame, asked: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: for each row where ``asked`` the k rows of the highest integer inner products, ties to the smaller id."""
+def top_k(rows: DataFrame, asked: str, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: for each row where ``asked`` (SQL) the k rows of the highest integer inner products, ties to the smaller id."""
     bound_batches(rows.sparkSession)
-    own = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding"), asked.alias("asked"))
-    trees = stored(packed(own, SHARD_ROWS).mapInArrow(_plant, TREE))
-    blocks = packed(own.where(F.col("asked") & F.col("vec_id").isNotNull()), QUERY_ROWS)
-    blocks = stored(blocks.select("dim", F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("named").alias("q_named"), F.col("vectors").alias("q_vectors")))
-
-    def met(queries: DataFrame) -> DataFrame:
-        """Each block beside each shard of its dimension, dealt one by one to the tasks."""
-        counts = trees.groupBy("dim").agg(F.count(F.lit(1)).alias("shards"))
-        lined = queries.join(counts, "dim").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1))).drop("shards")
-        numbered = trees.withColumn("part", F.row_number().over(Window.partitionBy("dim").orderBy("part")) - 1)
-        return lined.repartition("dim", "part", "q_part").join(numbered, ["dim", "part"])
-
-    # The floors: what the most promising leaf of each shard has for a query.
-    pilot = met(blocks).mapInArrow(_search(k, 1), FOUND).groupBy("query_id", "vec_id", "named").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("named"), "vec_id")
-    kth = pilot.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("floor"))
-    # A double may round a score up beyond 2^53; one step below is safe.
-    kth = stored(kth.withColumn("floor", F.when(F.abs("floor") < _EXACT / 2, F.col("floor")).otherwise(F.col("floor") - F.abs("floor") * 1e-12)))
-    named = blocks.select("dim", "q_part", "q_ids")
-    parts = named.groupBy("dim").agg((F.max("q_part") + 1).alias("parts"))
-    return blocks, kth, parts, met
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"), F.expr(asked).alias("asked"))
+    trees = stored(packed(own.drop("asked"), SHARD_ROWS).mapInArrow(_plant, TREE))
+    queries = own.where(F.col("asked") & F.col("vec_id").isNotNull()).drop("asked")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+
+    def searched(blocks: DataFrame, leaves: int | None = None) -> DataFrame:
+        """The stated queries against all rows: each block of queries beside each shard of its dimension."""
+        pairs = blocks.select("dim", F.col("part").alias("block")).join(trees.select("dim", "part"), "dim")
+        met = pairs.join(blocks.withColumnRenamed("part", "block"), ["dim", "block"]).join(trees, ["dim", "part"])
+        ranked = met.mapInArrow(_search(k, leaves), FOUND).withColumn("rank", F.row_number().over(order))
+        return ranked.where(F.col("rank") <= k)
+
+    first = stored(packed(queries.withColumn("floor", F.lit(float("-inf"))), QUERY_ROWS))
+    kth = searched(first, 1).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+    # As a double a large score may be rounded up.
+    kth = stored(kth.withColumn("floor", F.when(F.abs("floor") < EXACT / 2, F.col("floor")).otherwise(F.col("floor") - F.abs("floor") * 1e-12)))
+    informed = queries.join(maybe_broadcast(kth), "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    return searched(stored(packed(informed, QUERY_ROWS))).select("query_id", "rank", "vec_id", "score")
 
 
 def op12_exact_topk(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return top_k(rows, F.col("vec_id") % 50 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+ORACLE = f"""
+WITH v AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor({SCALE} * x)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id))
+WHERE rank <= {K}
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard_join, langid, packing, paragraph_dedup, quality, spelling, suffix_dedup, url_filter, warc
+from . import ball_tree, chat, decontamination, jaccard_join, langid, packing, paragraph_dedup, prefix_trie, quality, spelling, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_ngram_jaccard_join": jaccard_join.op9_ngram_jaccard_join,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_exact_topk": ball_tree.op12_exact_topk,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLE_SQL = {
@@ -24,5 +26,7 @@ ORACLE_SQL = {
     "op8_warc": warc.ORACLE,
     "op9_ngram_jaccard_join": jaccard_join.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_exact_topk": ball_tree.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
