@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .registry import HistoryStat, register
@@ -15,16 +15,27 @@ def with_populations(df: DataFrame, docker: str = "is_docker") -> DataFrame:
     return df.withColumn("population", F.explode(F.when(F.col(docker), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("noDocker")))))
 
 
+def first_month(as_of: int, months: int = MONTHS) -> Column:
+    """The start of the oldest month that counts."""
+    return F.add_months(F.date_trunc("month", F.timestamp_millis(F.lit(as_of))), -months)
+
+
 def unique_by_month(history: DataFrame, current: DataFrame, as_of: int, months: int = MONTHS) -> DataFrame:
     """population, pos, month, devices: devices with a report in each of the last months, newest first, zero filled.
 
-    Whether a device counts is decided by its latest report, in ``current`` (uuid, is_docker).
+    Whether a device counts is decided by its latest report, in ``current`` (uuid, is_docker). A ``history`` laid out by ``month`` is read only for the
+    months that count.
     """
-    spark = history.sparkSession
+    start = F.unix_millis(first_month(as_of, months).cast("timestamp"))
+    seen = history.where(F.col("month") >= first_month(as_of, months - 1)) if dict(history.dtypes).get("month") == "date" else history
+    seen = seen.select("uuid", F.col("ts")).where(F.col("ts") > start)
+    return months_of(seen.select("uuid", F.date_trunc("month", F.timestamp_millis("ts")).cast("date").alias("first")).distinct(), current, as_of, months)
+
+
+def months_of(seen: DataFrame, current: DataFrame, as_of: int, months: int = MONTHS) -> DataFrame:
+    """``unique_by_month`` of distinct (uuid, first): the months of each device, by their first days."""
+    spark = seen.sparkSession
     first = F.date_trunc("month", F.timestamp_millis(F.lit(as_of)))
-    start = F.unix_millis(F.add_months(first, -months).cast("timestamp"))
-    seen = history.select("uuid", F.col("ts")).where(F.col("ts") > start)
-    seen = seen.select("uuid", F.date_trunc("month", F.timestamp_millis("ts")).cast("date").alias("first")).distinct()
     counted = with_populations(seen.join(current.select("uuid", "is_docker"), "uuid")).groupBy("population", "first").agg(F.count(F.lit(1)).alias("devices"))
     spine = spark.range(months).select(F.col("id").cast("int").alias("pos"), F.add_months(first.cast("date"), -F.col("id").cast("int")).alias("first"))
     spine = spine.crossJoin(spark.createDataFrame([("all",), ("noDocker",)], "population string"))  # 2 x months rows

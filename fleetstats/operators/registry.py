@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 class Stat:
     """``fixed``: (series, key), or (series, number, bins), one row each, none for a null key. ``each``: an array of strings, or of structs (series,
     key), one row per element. ``drop``: keys left out, by series. ``orders``: display order of labels, by series. ``max_age_days``: older
-    reports aren't counted (those without a time are). ``weight``: bin expressions count more towards a family's size."""
+    reports aren't counted (those without a time are). ``weight``: bin expressions count more towards a family's size. ``of_age``: keys
+    come from the report's age alone (column ``age_ms``), so they change without a new report."""
 
     name: str
     description: str
@@ -23,6 +24,7 @@ class Stat:
     orders: dict[str, list[str]] = field(default_factory=dict)
     max_age_days: int | None = None
     weight: int = 1
+    of_age: bool = False
 
 
 @dataclass(frozen=True)

@@ -82,17 +82,17 @@ _flat("uiLevel", "User interface levels", _ui_level, weight=3)
 _flat("timeZone", "Time zones", lambda: renamed(_or("timezone", "Not Reported"), {"+0000 GMT": "+0000 UTC"}))
 
 
-def _binned(name: str, description: str, drop: dict[str, tuple[str, ...]] | None = None, **series: tuple[Bins, object]) -> None:
+def _binned(name: str, description: str, drop: dict[str, tuple[str, ...]] | None = None, of_age: bool = False, **series: tuple[Bins, object]) -> None:
     register(
         Stat(
             name, description, fixed=lambda: [("" if s == "_" else s, value(), table) for s, (table, value) in series.items()],
-            orders={"" if s == "_" else s: table.labels for s, (table, _) in series.items()}, weight=2, drop=drop or {},
+            orders={"" if s == "_" else s: table.labels for s, (table, _) in series.items()}, weight=2, drop=drop or {}, of_age=of_age,
         )
     )
 
 
 #: Age in days needs ``age_ms``, which the engine adds.
-_binned("lastReported", "Time since the last report", _=(bins.AGE_DAYS, lambda: F.coalesce(col("age_ms"), F.lit(0)) / 86_400_000))
+_binned("lastReported", "Time since the last report", of_age=True, _=(bins.AGE_DAYS, lambda: F.coalesce(col("age_ms"), F.lit(0)) / 86_400_000))
 _binned("deviceMemory", "Memory of the devices", _=(bins.MEMORY, lambda: number("memory.MemTotal")))
 _MEDIA = "systemInfo.utilization.Disk.Media."
 _binned(

@@ -37,14 +37,18 @@ def _young(stat: Stat) -> Column:
     return F.lit(True) if stat.max_age_days is None else F.col("age_ms").isNull() | (F.col("age_ms") <= stat.max_age_days * DAY_MS)
 
 
-def rows_of(current: DataFrame, family: list[Stat]) -> DataFrame:
-    """stat, series, key, is_docker, age_class: a row for each thing that a statistic of the family counts."""
+#: What each counted thing has of its report.
+CARRIED = ("is_docker", "age_class")
+
+
+def rows_of(current: DataFrame, family: list[Stat], carry: tuple[str, ...] = CARRIED, gated: bool = True) -> DataFrame:
+    """stat, series, key and ``carry``: a row for each thing that a statistic of the family counts; if not ``gated``, at any age."""
     if family[0].each is not None:
         (stat,) = family
         element = F.col("e")
-        rows = current.where(_young(stat)).select("is_docker", "age_class", F.explode(stat.each()).alias("e"))
+        rows = (current.where(_young(stat)) if gated else current).select(*carry, F.explode(stat.each()).alias("e"))
         nested = dict(rows.dtypes)["e"].startswith("struct")
-        rows = rows.select("is_docker", "age_class", row(stat.name, element["series"] if nested else "", element["key"] if nested else element).alias("r"))
+        rows = rows.select(*carry, row(stat.name, element["series"] if nested else "", element["key"] if nested else element).alias("r"))
     else:
         # Numbers come first, so that the many branches of their bins read a column, not its expression.
         parts = [(s, *entry) for s in family for entry in s.fixed()]
@@ -52,13 +56,13 @@ def rows_of(current: DataFrame, family: list[Stat]) -> DataFrame:
         keys, series, structs = {}, {}, []
         for i, p in enumerate(parts):
             key = bin_case(F.col(f"_v{i}"), p[3]) if len(p) == 4 else p[2]
-            keys[f"_k{i}"] = F.when(_young(p[0]), key) if p[0].max_age_days else key
+            keys[f"_k{i}"] = F.when(_young(p[0]), key) if gated and p[0].max_age_days else key
             if not isinstance(p[1], str):
                 series[f"_s{i}"] = p[1]
             structs.append(row(p[0].name, p[1] if isinstance(p[1], str) else F.col(f"_s{i}"), F.col(f"_k{i}")))
-        named = current.withColumns(numbers).select("is_docker", "age_class", *(c.alias(n) for n, c in {**keys, **series}.items()))
-        rows = named.select("is_docker", "age_class", F.explode(F.array(*structs)).alias("r"))
-    rows = rows.select("r.*", "is_docker", "age_class").where("key IS NOT NULL")
+        named = current.withColumns(numbers).select(*carry, *(c.alias(n) for n, c in {**keys, **series}.items()))
+        rows = named.select(*carry, F.explode(F.array(*structs)).alias("r"))
+    rows = rows.select("r.*", *carry).where("key IS NOT NULL")
     for s in family:
         for series, keys in s.drop.items():
             rows = rows.where(~((F.col("stat") == s.name) & (F.col("series") == series) & F.col("key").isin(*keys)))
@@ -78,21 +82,31 @@ def families(chosen: list[Stat], size: int = FAMILY_SIZE) -> list[list[Stat]]:
     return out + [[s] for s in chosen if s.each]
 
 
-def summary(current: DataFrame, chosen: list[Stat] | None = None) -> DataFrame:
-    """population, stat, series, key and the windows' counts. ``current``: from ``snapshot``, best stored, as each family reads it."""
+def counted(current: DataFrame, chosen: list[Stat], carry: tuple[str, ...] = CARRIED, n: Column | None = None, gated: bool = True) -> DataFrame:
+    """stat, series, key, ``carry`` and n, the number of things, or the sum of column ``n``, which ``carry`` doesn't have."""
     parts = None
-    for family in families(list(STATS.values()) if chosen is None else chosen):
-        counted = rows_of(current, family).groupBy("stat", "series", "key", "age_class", "is_docker").agg(F.count(F.lit(1)).alias("n"))
-        parts = counted if parts is None else parts.unionByName(counted)
-    of_all = counters_of_classes(F.col("n"), F.col("age_class"))
-    n = F.when(~F.col("is_docker"), F.col("n")).otherwise(0)
-    without = counters_of_classes(n, F.col("age_class"))
+    for family in families(chosen):
+        rows = rows_of(current if n is None else current.withColumn("_n", n), family, carry if n is None else (*carry, "_n"), gated)
+        part = rows.groupBy("stat", "series", "key", *carry).agg((F.count(F.lit(1)) if n is None else F.sum("_n")).alias("n"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def windows(parts: DataFrame) -> DataFrame:
+    """The summary of counts n by stat, series, key, is_docker and age_class."""
     names = list(WINDOWS)
+    of_all = counters_of_classes(F.col("n"), F.col("age_class"))
+    without = counters_of_classes(F.when(~F.col("is_docker"), F.col("n")).otherwise(0), F.col("age_class"))
     both = parts.groupBy("stat", "series", "key").agg(F.struct(F.lit("all").alias("population"), *[c.alias(w) for c, w in zip(of_all, names, strict=True)]).alias("a"), F.struct(F.lit("noDocker").alias("population"), *[c.alias(w) for c, w in zip(without, names, strict=True)]).alias("b"))
     out = both.select("stat", "series", "key", F.explode(F.array("a", "b")).alias("c")).select("c.population", "stat", "series", "key", *[f"c.{w}" for w in names])
     return out.where("totalCount > 0")
 
 
+def summary(current: DataFrame, chosen: list[Stat] | None = None) -> DataFrame:
+    """population, stat, series, key and the windows' counts. ``current``: from ``snapshot``, best stored, as each family reads it."""
+    return windows(counted(current, list(STATS.values()) if chosen is None else chosen))
+
+
 def count_by_age(df: DataFrame, keys: list[str], time_ms: str, as_of: int) -> DataFrame:
     """The windows' counts of any table by keys."""
     return df.groupBy(*keys).agg(*counters(age_ms(F.col(time_ms), as_of)))

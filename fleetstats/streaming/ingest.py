@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.commits import clean, commit, described, exists, grown, last_commit, new_path, opened
 from ..sources.landing import latest_report
 from ..sources.schema import parse_report
+from .state import update
 
 #: Longest report in UTF-16 units, its stamp included.
 MAX_UNITS = 100_000
@@ -55,33 +57,104 @@ def parse_fields() -> list[str]:
     return StructType.fromDDL(REPORT_DDL).fieldNames()
 
 
-def stream_ingest(spark: SparkSession, landing: str, history: str, quarantine: str, checkpoint: str, stamp: int) -> StreamingQuery:
-    """Everything that has landed and wasn't ingested yet: accepted reports go to ``history``, the others to ``quarantine``.
+def ingest_batch(uploads: DataFrame, folder: str, number: int, stamp: int, value: str = "value", source: str = "stream") -> bool:
+    """Take in batch ``number`` of ``source``, whose numbers rise: bodies are judged and stamped, written, and then named by one commit.
 
-    A batch writes folders of its own number, so that one that is retried replaces what it wrote before.
+    False if the batch was taken in before. What a stopped run has written without its commit is never read.
     """
-    lines = spark.readStream.text(landing, wholetext=False)
+    spark = uploads.sparkSession
+    after, state = last_commit(spark, folder)
+    if state.get("sources", {}).get(source, -1) >= number:
+        return False
+    judged = upload_status(uploads, value, stamp).select("uuid", "ts", F.col(value).alias("payload"), F.xxhash64(value).alias("report_id"), "status")
+    path = new_path(folder)
+    judged.withColumn("accepted", F.col("status") == "OK").write.partitionBy("accepted").parquet(path)
+    tables, last = {}, []
+    for name, part in (("history", f"{path}/accepted=true"), ("rejected", f"{path}/accepted=false")):
+        table = state.get("tables", {}).get(name) or described(judged.schema, [])
+        found = exists(spark, part)
+        tables[name] = grown(spark, folder, table, part) if found else table
+        last += [part] if found and name == "history" else []
+    commit(spark, folder, {"sources": state.get("sources", {}) | {source: number}, "tables": tables, "last": described(judged.schema, last)}, after)
+    clean(spark, folder)
+    return True
+
+
+def stream_ingest(spark: SparkSession, landing: str, folder: str, checkpoint: str, stamp: int, lines: bool = False, kept: str | None = None, files: int | None = None) -> StreamingQuery:
+    """Everything that has landed and wasn't ingested yet goes to ``folder``. A file is one body, or with ``lines`` each of its lines is.
+
+    ``kept``: a folder where the latest reports and the summary are kept up as well. ``files``: how many make a batch at most.
+    """
+    reader = spark.readStream.option("recursiveFileLookup", True)
+    bodies = (reader if files is None else reader.option("maxFilesPerTrigger", files)).text(landing, wholetext=not lines)
 
     def write(batch: DataFrame, number: int) -> None:
-        accepted, rejected = split(batch, stamp + number)
-        accepted.select("uuid", "ts", "payload", "report_id").write.mode("overwrite").parquet(f"{history}/batch={number}")
-        rejected.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        ingest_batch(batch, folder, number, stamp + number)
+        if kept is not None:
+            # The last batch is this one, also if it was stopped between the two commits.
+            update(_parsed(opened(spark, last_commit(spark, folder)[1]["last"])), kept, number)
 
-    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_history(spark: SparkSession, history: str) -> DataFrame:
+def read_history(spark: SparkSession, folder: str) -> DataFrame:
     """Ingested reports, parsed."""
-    rows = spark.read.parquet(history).withColumn("report", parse_report(F.col("payload")))
+    return _parsed(opened(spark, last_commit(spark, folder)[1].get("tables", {}).get("history")))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("report", parse_report(F.col("payload")))
     return rows.select("uuid", "ts", "report_id", *[f"report.{f}" for f in parse_fields() if f not in ("uuid", "ts")])
 
 
-def stream_latest(spark: SparkSession, history: str) -> DataFrame:
-    """The latest report of each device, computed on read from what the stream has written."""
-    return latest_report(read_history(spark, history))
+def read_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    """payload, status, ts of the bodies that weren't accepted."""
+    _, state = last_commit(spark, folder)
+    return opened(spark, state.get("tables", {}).get("rejected")).select("payload", "status", "ts")
+
+
+def stream_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest report of each device, computed on read from what the stream has written; ``state.current_reports`` has it without that."""
+    return latest_report(read_history(spark, folder))
+
+
+#: How long after the end of a month its reports may still come, at least, once later months have begun.
+LATE = "31 days"
+
+
+def device_months(events: DataFrame, device: str = "uuid", time: str = "time", late: str = LATE) -> DataFrame:
+    """Of a stream: each device once a month, at its first report of the month that comes.
+
+    The state's key is (device, month) and lives until the month's end is ``late`` behind the end of the newest month, so with the default the
+    month before is still open while the present one runs, and reports of older months are too late. Reports without a time aren't counted.
+    """
+    month = F.date_trunc("month", F.col(time))
+    end = (F.add_months(month, 1).cast("timestamp") - F.expr("interval 1 millisecond")).alias("month_end")
+    return events.where(F.col(time).isNotNull()).select(F.col(device).alias("device"), end).withWatermark("month_end", late).dropDuplicates(["device", "month_end"])
+
+
+def stream_months(events: DataFrame, device: str = "uuid", time: str = "time", late: str = LATE) -> DataFrame:
+    """Of a stream: devices per month, each counted once."""
+    months = device_months(events, device, time, late).withColumn("month", F.date_format("month_end", "yyyy-MM"))
+    return months.groupBy("month").agg(F.count(F.lit(1)).alias("devices"))
+
+
+def keep_months(events: DataFrame, folder: str, checkpoint: str, device: str = "uuid", time: str = "time", late: str = LATE) -> StreamingQuery:
+    """Write the stream's devices by month to ``folder``, batch by batch, each once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        after, state = last_commit(spark, folder)
+        if state.get("batch", -1) < number:
+            path = new_path(folder)
+            found = batch.select(F.col("device").alias("uuid"), F.to_date(F.date_trunc("month", "month_end")).alias("first"))
+            found.write.parquet(path)
+            commit(spark, folder, {"batch": number, "months": grown(spark, folder, state.get("months") or described(found.schema, []), path)}, after)
+            clean(spark, folder)
+
+    return device_months(events, device, time, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_months(events: DataFrame, device: str = "uuid", time: str = "time", late: str = "1 day") -> DataFrame:
-    """Of a stream: devices per month, each counted at its first report of the month."""
-    month = F.date_format(time, "yyyy-MM")
-    return events.withWatermark(time, late).withColumn("month", month).dropDuplicatesWithinWatermark([device, "month"]).groupBy("month").agg(F.count(F.lit(1)).alias("devices"))
+def read_months(spark: SparkSession, folder: str) -> DataFrame:
+    """uuid, first: the months (their first days) in which each device has reported."""
+    return opened(spark, last_commit(spark, folder)[1].get("months"))

@@ -130,38 +130,6 @@ def test_archive_export(spark, sf_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == flat.count()
 
 
-def payloads(spark, sf_dir):
-    """The reports as JSON texts (VARIANT leaves as they are)."""
-    return demo.reports(spark, sf_dir).limit(400).select("uuid", F.to_json(F.struct("uuid", "ts", "systemInfo", "memory", "settings", "plugins", "output_panel", "timezone")).alias("value"))
-
-
-def test_ingest_round_trip_and_restart(spark, sf_dir, tmp_path):
-    texts = [r["value"] for r in payloads(spark, sf_dir).collect()]
-    land, hist, quarantine, check = (str(tmp_path / x) for x in ("land", "history", "quarantine", "checkpoint"))
-    Path(land).mkdir()
-    (Path(land) / "1.txt").write_text("\n".join([*texts[:200], "not json", '{"uuid":"a b"}']))
-    ingest.stream_ingest(spark, land, hist, quarantine, check, 5000).awaitTermination()
-    (Path(land) / "2.txt").write_text("\n".join(texts[200:]))
-    ingest.stream_ingest(spark, land, hist, quarantine, check, 5000).awaitTermination()
-    stored = spark.read.parquet(hist)
-    assert stored.count() == len(texts) and {r[0] for r in stored.select("ts").distinct().collect()} == {5000, 5001}
-    assert sorted(r["status"] for r in spark.read.parquet(quarantine).collect()) == ["Invalid UUID Format", "Not JSON"]
-    streamed = engine.summary(engine.aged(ingest.stream_latest(spark, hist), AS_OF), [STATS["platform"], STATS["settingsValues"]])
-    accepted, rejected = ingest.split(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string"), 5000 + F.when(F.col("i") >= 200, 1).otherwise(0))
-    assert rejected.count() == 0
-    batch = engine.summary(engine.snapshot(accepted, AS_OF), [STATS["platform"], STATS["settingsValues"]])
-    assert rows(streamed) == rows(batch)
-
-
-def test_stream_of_months(spark, tmp_path):
-    data = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-02 00:00:00"), ("b", "2024-01-03 00:00:00"), ("a", "2024-02-01 00:00:00")]
-    source = spark.createDataFrame(data, "uuid string, time string").withColumn("time", F.to_timestamp("time"))
-    source.write.parquet(str(tmp_path / "in"))
-    counted = ingest.stream_months(spark.readStream.schema(source.schema).parquet(str(tmp_path / "in")), late="60 days")
-    counted.writeStream.format("memory").queryName("months").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    assert rows(spark.table("months")) == [("2024-01", 2), ("2024-02", 1)]
-
-
 def test_published_documents(spark, summary, current, sf_dir):
     months = history.unique_by_month(demo.reports(spark, sf_dir), current, AS_OF)
 
