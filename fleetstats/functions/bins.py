@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .intervals import interval_join
+
 #: A maximum without bound.
 INF = float("inf")
 
@@ -72,18 +74,15 @@ def bins_table(spark: SparkSession, bins: Bins) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, label string, least double, most double")
 
 
-#: A table of ranges has at most this many rows.
-MOST_BINS = 1000
+#: Tables of up to so many ranges are one expression, tried range by range; larger ones are searched.
+MOST_BINS = 100
 
 
 def bin_range_join(df: DataFrame, value: str, table: DataFrame, default: str, open_end: bool = False, out: str = "label") -> DataFrame:
-    """``df`` with the label of ``value`` from a table of ranges, the last that matches; without a shuffle.
-
-    The table is a list of bins, which the caller writes; over MOST_BINS rows are an error.
-    """
+    """``df`` with the label of ``value`` from a table of ranges of any size (pos, label, least, most), the last that matches."""
     rows = table.orderBy("pos").limit(MOST_BINS + 1).collect()
     if len(rows) > MOST_BINS:
-        raise ValueError(f"more than {MOST_BINS} bins")
+        return interval_join(df, value, table, default, open_end, out)
     ranges = F.array(*(F.struct(F.lit(r["label"]).alias("label"), F.lit(r["least"]).alias("least"), F.lit(r["most"]).cast("double").alias("most")) for r in rows))
     v = F.col(value)
     hits = F.filter(ranges, lambda b: (v >= b["least"]) & (b["most"].isNull() | (v < b["most"] if open_end else v <= b["most"])))

@@ -34,16 +34,25 @@ def unique_by_month(history: DataFrame, current: DataFrame, as_of: int, months:
 
 def months_of(seen: DataFrame, current: DataFrame, as_of: int, months: int = MONTHS) -> DataFrame:
     """``unique_by_month`` of distinct (uuid, first): the months of each device, by their first days."""
-    spark = seen.sparkSession
-    first = F.date_trunc("month", F.timestamp_millis(F.lit(as_of)))
     counted = with_populations(seen.join(current.select("uuid", "is_docker"), "uuid")).groupBy("population", "first").agg(F.count(F.lit(1)).alias("devices"))
+    return zero_filled(counted, as_of, months)
+
+
+def zero_filled(counted: DataFrame, as_of: int, months: int = MONTHS) -> DataFrame:
+    """population, pos, month, devices of the last months, newest first, from counts (population, first, devices)."""
+    spark = counted.sparkSession
+    first = F.date_trunc("month", F.timestamp_millis(F.lit(as_of)))
     spine = spark.range(months).select(F.col("id").cast("int").alias("pos"), F.add_months(first.cast("date"), -F.col("id").cast("int")).alias("first"))
     spine = spine.crossJoin(spark.createDataFrame([("all",), ("noDocker",)], "population string"))  # 2 x months rows
     out = F.broadcast(spine).join(counted, ["population", "first"], "left")
     return out.select("population", "pos", F.date_format("first", "MMM-yyyy").alias("month"), F.coalesce("devices", F.lit(0)).alias("devices"))
 
 
-register(HistoryStat("uniqueByMonth", "Devices that report in each month", unique_by_month))
+def _unique_by_month(history: DataFrame, current: DataFrame, as_of: int) -> DataFrame:
+    return unique_by_month(history, current, as_of).select("population", "pos", F.col("month").alias("label"), F.col("devices").alias("n"))
+
+
+register(HistoryStat("uniqueByMonth", "Devices that report in each month", _unique_by_month))
 
 
 def interarrival(history: DataFrame, device: str = "uuid", time: str = "ts") -> DataFrame:

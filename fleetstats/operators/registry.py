@@ -29,11 +29,13 @@ class Stat:
 
 @dataclass(frozen=True)
 class HistoryStat:
-    """A statistic of the whole history: ``build(history, current, as_of)`` gives its rows."""
+    """A statistic of the whole history: ``build(history, current, as_of)`` gives rows population, pos, label, n, a few in all, for display in the
+    order of pos. ``columns``: what it reads of the history, besides ``month`` if that has one."""
 
     name: str
     description: str
     build: Callable[[DataFrame, DataFrame, int], DataFrame]
+    columns: tuple[str, ...] = ("uuid", "ts")
 
 
 STATS: dict[str, Stat] = {}

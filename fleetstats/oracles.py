@@ -209,8 +209,13 @@ UNION ALL SELECT 'months', 'monthly', pos, month, devices, NULL FROM ({months})
 def build(stat_keys: dict[str, str], descriptions: dict[str, str], keys: int) -> dict[str, str]:
     out = {key: summary_sql([name]) + "SELECT * FROM summary" for key, name in stat_keys.items()}
     out["summary_all"] = summary_sql(list(ROWS)) + "SELECT * FROM summary"
-    out["summary_population"] = summary_sql(["platform", "version", "timeZone"]) + "SELECT * FROM summary WHERE population = 'noDocker'"
+    out["summary_population"] = summary_sql(list(ROWS)) + "SELECT * FROM summary WHERE population = 'noDocker'"
+    out["summary_incremental"] = out["summary_all"]
+    out["top_settings"] = summary_sql(["settingsValues"]) + """
+SELECT series, CAST(rank AS INTEGER) AS rank, key, n FROM (
+  SELECT series, key, "totalCount" AS n, row_number() OVER (PARTITION BY series ORDER BY "totalCount" DESC, key) AS rank FROM summary WHERE population = 'all') WHERE rank <= 10"""
     out["latest_report"] = CURRENT.rstrip().rstrip(",") + " SELECT uuid, ts, report_id, platform, version FROM current"
+    out["current_kept"] = out["latest_report"]
     out["latest_event"] = f"SELECT user_id, event_id, {EVENT_MS} AS ts_ms, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000 DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"
     out["not_docker_filter"] = CURRENT.rstrip().rstrip(",") + " SELECT uuid, platform, variant FROM current WHERE NOT docker"
     out["upload_status"] = """
@@ -220,6 +225,11 @@ SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'Not JSON' WHEN 1 THEN 'Invalid R
     out["count_by_age"] = f"SELECT event_type, {COUNTS} FROM (SELECT event_type, {EVENTS_AS_OF} - {EVENT_MS} AS age FROM events) GROUP BY event_type"
     out["bin_case"] = f"SELECT quantity, price, count(*) AS n FROM (SELECT {bin_sql('l_quantity', bins.PEERS)} AS quantity, {bin_sql('l_extendedprice', bins.CHANNELS)} AS price FROM lineitem) GROUP BY quantity, price"
     out["bin_range_join"] = f"SELECT label, count(*) AS n FROM (SELECT {bin_sql('o_totalprice', bins.CHANNELS)} AS label FROM orders) GROUP BY label"
+    out["bin_join_many"] = """
+WITH ranges AS (SELECT p_partkey AS pos, p_brand || '-' || p_size AS label, p_partkey * 37 % 100000 + p_retailprice AS least, p_partkey * 37 % 100000 + p_retailprice + p_size * 20 AS most FROM part),
+prices AS (SELECT l_extendedprice AS x, count(*) AS k FROM lineitem GROUP BY x),
+found AS (SELECT x, k, arg_max(label, pos) AS label FROM prices LEFT JOIN ranges ON x >= least AND x <= most GROUP BY x, k)
+SELECT coalesce(label, 'none') AS label, CAST(sum(k) AS BIGINT) AS n FROM found GROUP BY 1"""
     out["unique_by_month"] = f"""{CURRENT}
 months AS (SELECT CAST(i AS INTEGER) AS pos, CAST(DATE '2001-08-01' - to_months(CAST(i AS INTEGER)) AS DATE) AS first FROM (SELECT unnest(range(0, 15)) AS i)),
 populations AS (SELECT * FROM (VALUES ('all'), ('noDocker')) AS p(population)),
@@ -228,6 +238,8 @@ seen AS (SELECT DISTINCT r.uuid, c.docker, date_trunc('month', make_timestamp(r.
 counted AS (SELECT population, first, count(*) AS n FROM seen, populations WHERE population = 'all' OR NOT docker GROUP BY population, first)
 SELECT p.population, pos, strftime(m.first, '%b-%Y') AS month, coalesce(n, 0) AS devices
 FROM months m CROSS JOIN populations p LEFT JOIN counted c ON c.population = p.population AND c.first = m.first"""
+    out |= {k: out["unique_by_month"] for k in ("unique_by_month_stream", "unique_by_month_laid_out", "approx_unique_by_month")}
+    out["history_summary"] = f"SELECT population, 'uniqueByMonth' AS stat, pos, month AS label, devices AS n FROM ({out['unique_by_month']})"
     out["summary_json"] = documents_sql(out["unique_by_month"], descriptions, keys)
     out["dashboard"] = dashboard_sql(out["unique_by_month"])
     out["interarrival"] = f"""
@@ -259,6 +271,7 @@ SELECT label, n, CASE WHEN label = 'Not Reported' THEN 99999999 WHEN starts_with
 SELECT md5(CAST(k AS VARCHAR)) AS sha, 'branch-' || o_custkey AS name, o_custkey % 2 = 0 AS protected, CASE WHEN o_orderkey IS NOT NULL THEN 'commits/' || md5(CAST(k AS VARCHAR)) END AS url,
   o_orderpriority AS message, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS date, epoch_us(o_orderdate) // 1000000 AS date_epoch
 FROM {heads} b LEFT JOIN (SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderkey % 5 <> 0) c ON c.o_orderkey = b.k"""
+    out["branch_details_pages"] = out["branch_details"]
     out["missing_commits"] = f"SELECT md5(CAST(k AS VARCHAR)) AS sha FROM {heads} WHERE k % 5 = 0"
     out["release_summary"] = "SELECT p_partkey AS id, p_name AS name, p_brand AS tag_name, p_size % 2 = 0 AS draft, CAST(p_size % 7 + 1 AS INTEGER) AS asset_cnt FROM part"
     return out

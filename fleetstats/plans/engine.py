@@ -6,14 +6,18 @@ aggregation over the latest reports; counts by age class give all windows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import DAY_MS, WINDOWS, age_class, age_ms, counters, counters_of_classes
 from ..functions.bins import bin_case
-from ..operators import stats  # noqa: F401  registers the statistics
-from ..operators.registry import STATS, Stat, row
+from ..operators import history as _history  # noqa: F401  registers its statistics
+from ..operators import stats as _stats  # noqa: F401  registers the statistics
+from ..operators.registry import HISTORY_STATS, STATS, HistoryStat, Stat, row
 from ..sources.landing import latest_report
+from ..sources.shared import stored
 
 #: Fixed expressions to a family, where a bin counts twice.
 FAMILY_SIZE = 8
@@ -107,11 +111,38 @@ def summary(current: DataFrame, chosen: list[Stat] | None = None) -> DataFrame:
     return windows(counted(current, list(STATS.values()) if chosen is None else chosen))
 
 
+def history_summary(history: DataFrame, current: DataFrame, as_of: int, chosen: list[HistoryStat] | None = None) -> DataFrame:
+    """population, stat, pos, label, n of every registered statistic of the history, for the populations that ``current`` (of ``snapshot``) decides.
+
+    Several statistics share one scan: the columns that they read are stored once.
+    """
+    stats = list(HISTORY_STATS.values()) if chosen is None else chosen
+    if not stats:
+        return history.sparkSession.createDataFrame([], "population string, stat string, pos int, label string, n long")
+    read = list(dict.fromkeys(c for s in stats for c in s.columns)) + (["month"] if "month" in history.columns else [])
+    shared = history.select(*dict.fromkeys(read))
+    shared = stored(shared) if len(stats) > 1 else shared
+    parts = [s.build(shared, current, as_of).select("population", F.lit(s.name).alias("stat"), F.col("pos").cast("int").alias("pos"), F.col("label").cast("string").alias("label"), F.col("n").cast("long").alias("n")) for s in stats]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def count_by_age(df: DataFrame, keys: list[str], time_ms: str, as_of: int) -> DataFrame:
     """The windows' counts of any table by keys."""
     return df.groupBy(*keys).agg(*counters(age_ms(F.col(time_ms), as_of)))
 
 
+def population_of(docker: str | None) -> str:
+    """The population that a flag asks for: without Docker only if it says "false", in any case."""
+    return "noDocker" if (docker or "").lower() == "false" else "all"
+
+
 def summary_population(rows: DataFrame, docker: str | None) -> DataFrame:
-    """The rows of one population: without Docker only if ``docker`` says "false", in any case."""
-    return rows.where(F.col("population") == ("noDocker" if (docker or "").lower() == "false" else "all"))
+    """The rows of the summary of one population."""
+    return rows.where(F.col("population") == population_of(docker))
+
+
+def summary_for(current: DataFrame, docker: str | None, chosen: list[Stat] | None = None) -> DataFrame:
+    """The summary of one population alone: the other one's reports are left out before anything is counted."""
+    name = population_of(docker)
+    kept = current.where("NOT is_docker") if name == "noDocker" else current
+    return summary(kept, chosen).where("population = 'all'").withColumn("population", F.lit(name))

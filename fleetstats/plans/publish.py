@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ages import WINDOWS
 from ..operators.registry import HISTORY_STATS, STATS
+from ..sources.commits import read_table, replace_tables
+from .engine import summary_population
 
 #: The fields of statistics with named series, and the names of the lists that hold the order of their labels.
 FIELDS: dict[str, list[tuple[str, str, str | None]]] = {
@@ -52,10 +54,11 @@ def _described(spark) -> DataFrame:
     return spark.createDataFrame([(s.name, s.description) for s in (*STATS.values(), *HISTORY_STATS.values())], "stat string, description string")
 
 
-def summary_json(summary: DataFrame, months: DataFrame, as_of: int, keys: int = KEYS) -> DataFrame:
+def summary_json(summary: DataFrame, histories: DataFrame, as_of: int, keys: int = KEYS) -> DataFrame:
     """population, stat, part, document: a JSON object with ts, description and data for each statistic, even one that counts nothing.
 
-    Data are counts by key, by series and key, or by window and plugin, with the lists of labels in order. ``months``: of ``unique_by_month``.
+    Data are counts by key, by series and key, or by window and plugin, with the lists of labels in order. ``histories``: of ``history_summary``; they
+    have their labels in order.
     A statistic of more than ``keys`` keys has several parts, by a hash of series and key, each with all its fixed fields; together they are the statistic.
     """
     spark = summary.sparkSession
@@ -90,15 +93,21 @@ def summary_json(summary: DataFrame, months: DataFrame, as_of: int, keys: int =
     one = F.when((F.col("stat") == "Instances") & (F.col("body") != ""), F.col("body")).otherwise(whole)
     documents = data.join(orders, "stat").select("population", "stat", "part", one.alias("data"))
 
-    by_place = months.groupBy("population").agg(F.sort_array(F.collect_list(F.struct("pos", "month", "devices"))).alias("m"))  # 15 rows each
+    by_place = histories.groupBy("population", "stat").agg(F.sort_array(F.collect_list(F.struct("pos", "label", "n"))).alias("m"))  # a few rows each
     listed = F.concat(
-        F.lit('{"data":{'), F.array_join(F.transform("m", lambda x: F.concat(quoted(x["month"]), F.lit(":"), x["devices"].cast("string"))), ","),
-        F.lit('},"order":['), F.array_join(F.transform("m", lambda x: quoted(x["month"])), ","), F.lit("]}"),
+        F.lit('{"data":{'), F.array_join(F.transform("m", lambda x: F.concat(quoted(x["label"]), F.lit(":"), x["n"].cast("string"))), ","),
+        F.lit('},"order":['), F.array_join(F.transform("m", lambda x: quoted(x["label"])), ","), F.lit("]}"),
     )
-    documents = documents.unionByName(by_place.select("population", F.lit("uniqueByMonth").alias("stat"), F.lit(0).alias("part"), listed.alias("data")))
+    documents = documents.unionByName(by_place.select("population", "stat", F.lit(0).alias("part"), listed.alias("data")))
     document = F.concat(F.lit(f'{{"ts":{as_of},"description":'), quoted(F.col("description")), F.lit(',"data":'), "data", F.lit("}"))
     return documents.join(F.broadcast(_described(spark)), "stat").select("population", "stat", "part", document.alias("document"))
 
 
 def write_summary(summary: DataFrame, folder: str) -> None:
-    summary.write.mode("overwrite").partitionBy("population").parquet(folder)
+    """Put the summary in the place of the one in ``folder``; a reader sees one or the other."""
+    replace_tables(summary.sparkSession, folder, {"summary": summary}, partition_by=("population",))
+
+
+def read_summary(spark: SparkSession, folder: str, docker: str | None = None) -> DataFrame:
+    """The rows of one population, chosen as ``engine.summary_population`` does."""
+    return summary_population(read_table(spark, folder, "summary"), docker)

@@ -117,8 +117,12 @@ DASHBOARD: dict[str, tuple[str, str, str, int | None, tuple[str, ...]]] = {
 }
 
 
-def dashboard(summary: DataFrame, months: DataFrame, time: str = DEFAULT_WINDOW, population: str = "all") -> DataFrame:
-    """view, kind, pos, label, n and, in tables, pct: all views of one window and population, and the bars of ``months``."""
+#: Statistics of the history are shown under their names, or these.
+HISTORY_VIEWS = {"uniqueByMonth": "months"}
+
+
+def dashboard(summary: DataFrame, histories: DataFrame, time: str = DEFAULT_WINDOW, population: str = "all") -> DataFrame:
+    """view, kind, pos, label, n and, in tables, pct: all views of one window and population, and the bars of ``histories`` (of ``history_summary``)."""
     spark = summary.sparkSession
     listed = [(view, kind, stat, series, most) for view, (kind, stat, series, most, _) in DASHBOARD.items()]
     asked = F.broadcast(spark.createDataFrame(listed, "view string, kind string, stat string, series string, most int"))
@@ -134,5 +138,6 @@ def dashboard(summary: DataFrame, months: DataFrame, time: str = DEFAULT_WINDOW,
     bars = spine.join(rows.where("kind = 'dense'").groupBy("view", "label").agg(F.sum("n").alias("n")), ["view", "label"], "left")
     none = F.lit(None).cast("double").alias("pct")
     bars = bars.select("view", "kind", "pos", "label", F.coalesce("n", F.lit(0)).alias("n"), none)
-    monthly = months.where(F.col("population") == population).select(F.lit("months").alias("view"), F.lit("monthly").alias("kind"), "pos", F.col("month").alias("label"), F.col("devices").alias("n"), none)
+    shown = F.coalesce(F.create_map(*(F.lit(x) for pair in HISTORY_VIEWS.items() for x in pair))[F.col("stat")], F.col("stat"))
+    monthly = histories.where(F.col("population") == population).select(shown.alias("view"), F.lit("monthly").alias("kind"), "pos", "label", "n", none)
     return ranked.unionByName(bars).unionByName(monthly)

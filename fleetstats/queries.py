@@ -11,12 +11,13 @@ from . import oracles
 from .functions import bins
 from .functions.ages import WINDOWS
 from .functions.bins import bin_case, bin_range_join, bins_table
-from .operators import catalog, history
+from .operators import catalog, heavy, history, sketches
 from .operators.registry import HISTORY_STATS, STATS
 from .plans import engine, publish, views
-from .sources import demo
+from .sources import demo, layout
 from .sources.landing import latest_report
-from .sources.shared import stored
+from .sources.shared import scratch, stored
+from .streaming import ingest, state
 from .streaming.ingest import upload_status
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,12 +56,33 @@ def summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def summary_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = [STATS[n] for n in ("platform", "version", "timeZone")]
-    return engine.summary_population(engine.summary(_current(spark, sf_dir), chosen), "False")
+    return engine.summary_for(stored(_current(spark, sf_dir)), "False")
+
+
+def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = demo.reports(spark, sf_dir)
+    return engine.history_summary(reports, engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
 
 
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.summary_json(stored(summary_all(spark, sf_dir)), unique_by_month(spark, sf_dir), demo.AS_OF)
+    return publish.summary_json(stored(summary_all(spark, sf_dir)), _histories(spark, sf_dir), demo.AS_OF)
+
+
+def _kept(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in which all reports were taken in, in three batches, one of them twice."""
+    folder, reports = scratch(spark), demo.reports(spark, sf_dir)
+    for number in (0, 1, 1, 2):
+        state.update(reports.where(F.col("report_id") % 3 == number), folder, number)
+    return folder
+
+
+def summary_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.summary(spark, _kept(spark, sf_dir), demo.AS_OF)
+
+
+def current_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = state.current_reports(spark, _kept(spark, sf_dir))
+    return latest.select("uuid", "ts", "report_id", F.col("systemInfo.platform").alias("platform"), F.col("systemInfo.version").alias("version"))
 
 
 def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +122,48 @@ def unique_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.unique_by_month(reports, engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
 
 
+def unique_by_month_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = demo.reports(spark, sf_dir)
+    events = stored(reports.select("uuid", F.timestamp_millis("ts").alias("time")))
+    folder = scratch(spark)
+    stream = spark.readStream.schema(events.schema).parquet(events.inputFiles()[0].rpartition("/")[0])
+    ingest.keep_months(stream, f"{folder}/months", f"{folder}/checkpoint").awaitTermination()
+    return history.months_of(ingest.read_months(spark, f"{folder}/months"), engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+
+
+def unique_by_month_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports, folder = demo.reports(spark, sf_dir), scratch(spark)
+    current = engine.snapshot(reports, demo.AS_OF).select("uuid", "is_docker")
+    layout.lay_out(folder, {"history": layout.by_month(reports.select("uuid", "ts", "report_id")), "current": current}, buckets=8)
+    return history.unique_by_month(layout.laid_out(spark, folder, "history"), layout.laid_out(spark, folder, "current"), demo.AS_OF)
+
+
+def approx_unique_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact up to 16,384 devices."""
+    reports, folder = demo.reports(spark, sf_dir), scratch(spark)
+    for number in range(2):
+        sketches.add_reports(reports.where(F.col("report_id") % 2 == number), folder, number)
+    return sketches.approx_unique_by_month(sketches.kept_sketches(spark, folder), engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+
+
+def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histories(spark, sf_dir)
+
+
+def bin_join_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices by ranges of which each part is one."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    least = (F.col("p_partkey") * 37 % 100_000 + F.col("p_retailprice")).alias("least")
+    ranges = part.select(F.col("p_partkey").alias("pos"), F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("label"), least, F.col("p_size").alias("size"))
+    prices = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice")
+    labelled = bin_range_join(prices, "l_extendedprice", ranges.select("pos", "label", "least", (F.col("least") + F.col("size") * 20).alias("most")), "none")
+    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heavy.top_keys(engine.rows_of(_current(spark, sf_dir), [STATS["settingsValues"]]), 10)
+
+
 def interarrival(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.interarrival(_events(spark, sf_dir), "user_id", "ts_ms").select("event_id", "user_id", "gap_seconds", "label_ref")
 
@@ -138,7 +202,7 @@ def period_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.dashboard(stored(summary_all(spark, sf_dir)), unique_by_month(spark, sf_dir))
+    return views.dashboard(stored(summary_all(spark, sf_dir)), _histories(spark, sf_dir))
 
 
 def format_date(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +227,20 @@ def branch_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.branch_details(_branches(orders), _commits(orders))
 
 
+def branch_details_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches from pages of 100, each of which repeats the first of the page after it; commits from a cache that takes in two overlapping lots, one twice."""
+    orders, folder = _orders(spark, sf_dir), scratch(spark)
+    rows = _branches(orders).withColumn("n", F.regexp_extract("name", "[0-9]+", 0).cast("long"))
+    paged = rows.withColumn("page", F.explode(F.when((F.col("n") % 100 == 0) & (F.col("n") > 0), F.array((F.col("n") / 100).cast("long"), (F.col("n") / 100).cast("long") - 1)).otherwise(F.array(F.floor(F.col("n") / 100)))))
+    pages = paged.groupBy("page").agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("n", "name", "protected", "commit"))), lambda x: F.struct(x["name"].alias("name"), x["protected"].alias("protected"), x["commit"].alias("commit")))).alias("value"))
+    pages.write.partitionBy("page").text(f"{folder}/pages")
+    branches = catalog.read_pages(spark, f"{folder}/pages", "name string, protected boolean, commit struct<sha:string,url:string>", "name", r"page=([0-9]+)/")
+    commits = stored(_commits(orders).withColumn("lot", F.crc32("sha") % 3))
+    for lots in ((0, 1), (1, 2), (1, 2)):
+        catalog.merge_commits(spark, f"{folder}/commits", commits.where(F.col("lot").isin(*lots)).drop("lot"))
+    return catalog.branch_details(branches, catalog.cached_commits(spark, f"{folder}/commits"))
+
+
 def missing_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = _orders(spark, sf_dir)
     return catalog.missing_commits(_branches(orders), _commits(orders))
@@ -192,6 +270,9 @@ QUERIES: dict[str, Query] = {
     "summary_all": summary_all,
     "summary_population": summary_population,
     "summary_json": summary_json,
+    "summary_incremental": summary_incremental,
+    "current_kept": current_kept,
+    "top_settings": top_settings,
     "latest_report": latest,
     "latest_event": latest_event,
     "not_docker_filter": not_docker_filter,
@@ -199,8 +280,13 @@ QUERIES: dict[str, Query] = {
     "count_by_age": count_by_age,
     "bin_case": bin_case_query,
     "bin_range_join": bin_range_query,
+    "bin_join_many": bin_join_many,
     **{key: _stat(name) for key, name in STAT_KEYS.items()},
     "unique_by_month": unique_by_month,
+    "unique_by_month_stream": unique_by_month_stream,
+    "unique_by_month_laid_out": unique_by_month_laid_out,
+    "approx_unique_by_month": approx_unique_by_month,
+    "history_summary": history_summary,
     "interarrival": interarrival,
     "freshness": freshness,
     "topk_view": topk_view,
@@ -213,6 +299,7 @@ QUERIES: dict[str, Query] = {
     "dashboard": dashboard,
     "format_date": format_date,
     "branch_details": branch_details,
+    "branch_details_pages": branch_details_pages,
     "missing_commits": missing_commits,
     "release_summary": release_summary,
 }

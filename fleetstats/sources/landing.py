@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .commits import read_table, replace_tables
 from .schema import parse_report
 
 
@@ -37,6 +38,11 @@ def latest_report(history: DataFrame, device: str = "uuid", time: str = "ts", ti
 
 
 def export_archive(history: DataFrame, folder: str) -> None:
-    """All reports as gzip JSON files, by month, several files to a month."""
+    """All reports as gzip JSON files, by month, several files to a month, in the place of the archive in ``folder``; a reader sees one or the other."""
     month = F.date_format(F.timestamp_millis("ts"), "yyyy-MM")
-    history.withColumn("month", month).repartition("month", F.pmod(F.xxhash64("uuid"), F.lit(16))).write.partitionBy("month").option("compression", "gzip").mode("overwrite").json(folder)
+    rows = history.withColumn("month", month).repartition("month", F.pmod(F.xxhash64("uuid"), F.lit(16)))
+    replace_tables(history.sparkSession, folder, {"archive": rows}, "json", ("month",), compression="gzip")
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "archive")

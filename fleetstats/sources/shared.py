@@ -25,10 +25,16 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder among the shared ones, for the session."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
-    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
