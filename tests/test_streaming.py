@@ -125,17 +125,18 @@ def parsed(spark, batch):
 
 def test_the_summary_follows_every_batch(spark, tmp_path):
     folder, so_far = str(tmp_path), []
+    chosen = [STATS[n] for n in ("Instances", "platform", "lastReported", "topPlugins", "settingsValues", "deviceMemory")]
     for number, batch in enumerate(random_batches()):
         # Reports of one device that agree in time and id must be the same report.
         batch = [(t, i * 1000 + hash_of(v), v) for t, i, v in batch]
         so_far += batch
-        assert state.update(parsed(spark, batch), folder, number)
-        assert not state.update(parsed(spark, batch), folder, number)
+        assert state.update(parsed(spark, batch), folder, number, chosen=chosen)
+        assert not state.update(parsed(spark, batch), folder, number, chosen=chosen)
         snap = engine.snapshot(parsed(spark, so_far), AS_OF)
-        assert rows(state.summary(spark, folder, AS_OF)) == rows(engine.summary(snap))
+        assert rows(state.summary(spark, folder, AS_OF, chosen)) == rows(engine.summary(snap, chosen))
         assert rows(state.current_reports(spark, folder).select("uuid", "ts", "report_id")) == rows(snap.select("uuid", "ts", "report_id"))
     later = AS_OF + 5 * HOUR
-    assert rows(state.summary(spark, folder, later)) == rows(engine.summary(engine.snapshot(parsed(spark, so_far), later)))
+    assert rows(state.summary(spark, folder, later, chosen)) == rows(engine.summary(engine.snapshot(parsed(spark, so_far), later), chosen))
     with pytest.raises(ValueError):
         state.summary(spark, folder, AS_OF + 1)
 
@@ -147,15 +148,16 @@ def hash_of(text):
 def test_only_buckets_with_news_are_read(spark, tmp_path):
     folder = str(tmp_path)
     first = [(1000 + i, i, json.dumps({"uuid": f"d{i}"})) for i in range(200)]
-    state.update(parsed(spark, first), folder, 0)
+    few = [STATS["Instances"]]
+    state.update(parsed(spark, first), folder, 0, chosen=few)
     before = commits.last_commit(spark, folder)[1]["current"]["paths"]
-    state.update(parsed(spark, [(5000, 1, json.dumps({"uuid": "d7"}))]), folder, 1)
+    state.update(parsed(spark, [(5000, 1, json.dumps({"uuid": "d7"}))]), folder, 1, chosen=few)
     _, now = commits.last_commit(spark, folder)
     assert len(now["touched"]) == 1 and sum(before[b] != p for b, p in now["current"]["paths"].items()) == 1
     hidden = [Path(p) for b, p in before.items() if int(b) not in now["touched"]]
     for p in hidden:  # what isn't there can't be read
         p.rename(p.with_name("_" + p.name))
-    assert state.update(parsed(spark, [(6000, 1, json.dumps({"uuid": "d7"}))]), folder, 2)
+    assert state.update(parsed(spark, [(6000, 1, json.dumps({"uuid": "d7"}))]), folder, 2, chosen=few)
     for p in hidden:
         p.with_name("_" + p.name).rename(p)
     assert state.current_reports(spark, folder).count() == 200 and state.current_reports(spark, folder).where("uuid = 'd7'").first()["ts"] == 6000
