@@ -126,8 +126,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Read ``format_conversations``'s output back: a row for each conversation."""
-    return formatted.mapInArrow(_digest, DIGEST)
+    """Read ``format_conversations``'s output back, in whatever order its rows now lie: a row for each conversation."""
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(_digest, DIGEST)
 
 
 def op5_chat_format(spark, sf_dir):

@@ -21,6 +21,8 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: So many of a window's words, the rarest, have postings.
 RAREST = 3
+#: Matches, with their windows' words and items, that are sent to all tasks at most.
+SENT_MATCHES = 200_000
 
 
 def words_of(text: Column) -> Column:
@@ -98,18 +100,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rarest = rarest_terms(windows, frequencies(keyed, windows))
     found = stored(intersect(postings(keyed, rarest), rarest))
     rows = found.count()
-    by_doc = found.groupBy("doc_id", "_k").agg(F.collect_list(F.struct("win", "start")).alias("found"))
-    by_doc = maybe_broadcast(stored(by_doc.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"), "found")), rows, 2_000_000)
-    all_rows = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left").withColumn("_row", F.monotonically_increasing_id())
-    # Of each candidate, the document's own words at that place, to be compared with the window's.
-    places = all_rows.select("doc_id", "_row", F.size("words").alias("n_words"), F.transform("found", lambda f: F.struct(f["win"].alias("win"), f["start"].alias("start"), F.slice("words", f["start"] + 1, WINDOW).alias("said"))).alias("found"))
-    each = places.select("doc_id", "_row", "n_words", F.explode_outer("found").alias("f")).select("doc_id", "_row", "n_words", F.col("f.win").alias("win"), F.col("f.start").alias("start"), F.col("f.said").alias("said"))
-    each = each.join(maybe_broadcast(windows), "win", "left")
-    exact = F.slice("said", F.lit(1), F.size("words")) == F.col("words")
-    hit = F.when(exact, F.struct("start", F.size("words").alias("size"), "items"))
-    judged = each.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(hit).alias("hits"))
+    told = found.join(maybe_broadcast(windows), "win").groupBy("doc_id", "_k").agg(F.collect_list(F.struct("start", "words", "items")).alias("found"))
+    by_doc = maybe_broadcast(stored(told.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"), "found")), rows, SENT_MATCHES)
+    all_rows = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left")
+    # The document's own words at each place are compared with the window's.
+    exact = F.filter("found", lambda f: F.slice(F.col("words"), f["start"] + 1, F.size(f["words"])) == f["words"])
+    hits = F.transform(exact, lambda f: F.struct(f["start"].alias("start"), F.size(f["words"]).alias("size"), f["items"].alias("items")))
+    hits = F.coalesce(hits, F.array().cast("array<struct<start:int,size:int,items:array<string>>>"))
+    judged = all_rows.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    return judged.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.size(covered).cast("long").alias("n_hit"), "hits")
+    return judged.select("doc_id", "n_words", F.size(covered).cast("long").alias("n_hit"), "hits")
 
 
 def op2_decontamination(spark, sf_dir):

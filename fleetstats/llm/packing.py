@@ -3,8 +3,8 @@
 Texts become token ids with an end mark; only longer ones than a sequence are cut, the first piece takes the remainder. The
 histogram of piece lengths (at most a sequence's length of numbers) goes to the driver. There multiplicative weights solve
 the configuration linear program: weights are the prices of lengths, a knapsack dynamic program finds the configuration worth
-most at these prices for each length, and prices of what these cover fall, until all lengths are covered. The solution is rounded down; what is
-left is priced and rounded on, and the last few hundredths of it are packed by best fit. Pieces find their place by rank within their
+most at these prices for each length, and prices of what these cover fall, until all lengths are covered. The solution is rounded down, and what is
+left packed by the same pricing, one whole configuration after another. Pieces find their place by rank within their
 length, so no task sees them all.
 
 Null texts are empty and give the end mark alone. Repeated rows are packed as often as they occur.
@@ -99,104 +99,111 @@ class Pricing:
         return np.sort(np.stack(columns, axis=1), axis=1), prices[items] + worth[capacity - sizes[items]]
 
 
-def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int, step: float = 0.15, slack: float = 0.02, eta: float = 5.0) -> dict[bytes, float]:
-    """How often each configuration (its indices, as bytes) is used; together they cover every length.
+#: Parts of its number by which a round covers a length at most, to begin with; how far under the best a configuration's worth may be; how steeply
+#: prices fall; rounds after which the first doubles; part of all tokens whose cover is left to rounding.
+STEP, SLACK, STEEP, GROWTH, REST = 0.05, 0.05, 5.0, 40, 0.003
+#: In the rounding prices rise a little faster than lengths, as long pieces are harder to place.
+PRICE_POWER = 1.1
 
-    Weights fall exponentially with how far a length is covered. A round uses, for each length that isn't covered yet, the configuration
-    worth most with it, if worth nearly the most of these, and covers no length by over ``step`` of its number.
-    """
-    pricing, covered, used = Pricing(sizes, capacity), np.zeros(len(sizes)), {}
-    while covered.min() < 1:
-        short = np.maximum(1 - covered, 0) * need
-        rows, values = pricing.configurations(sizes / capacity * np.exp(-eta * (covered - covered.min())), np.flatnonzero(short > 0))
-        keep = values >= (1 - slack) * values.max()
-        rows, amount = rows[keep], short[short > 0][keep]
-        cover = np.bincount((rows + 1).ravel(), np.repeat(amount, rows.shape[1]), len(sizes) + 1)[1:]
-        # The last rounds cover what is left at once, or they would only halve it.
-        scale = min(1.0, step / (cover / need).max())
-        covered = covered + scale * cover / need
-        covered[np.abs(covered - 1) < 1e-9] = 1
-        for row, x in zip(rows, (scale * amount).tolist(), strict=True):
-            key = row[row >= 0].tobytes()
-            used[key] = used.get(key, 0.0) + x
-    return used
 
+def fractional(sizes: np.ndarray, need: np.ndarray, capacity: int) -> dict[bytes, float]:
+    """How often each configuration (its indices, as bytes) is used; together they cover all but REST of the tokens.
 
-#: Parts of the whole that may be left to best fit; the one that makes the fewest sequences counts, of equal ones the first.
-REST = (0.03, 0.08, 0.15, 0.3, 0.5)
+    Prices fall exponentially with how far a length is covered, and a covered length has no price. A round takes, for each length, the configuration worth
+    most with it, if worth nearly the most of all; each as often as no length of it gains over STEP of its number, all that the round
+    takes together. The length with the greatest load gains a whole step, so there are no more rounds than lengths times steps, on any histogram.
+    """
+    covered, used, tokens = np.zeros(len(sizes)), {}, float(need @ sizes)
+    for turn in range(len(sizes) * (int(1 / STEP) + 1)):
+        open_ = np.flatnonzero(covered < 1)
+        gap, n = 1 - covered[open_], need[open_]
+        if not len(open_) or gap * n @ sizes[open_] < REST * tokens:
+            return used
+        prices = sizes[open_] / capacity * np.exp(STEEP * (gap - gap.max()))
+        rows, values = Pricing(sizes[open_], capacity).configurations(prices, np.arange(len(open_)))
+        best = np.flatnonzero(values >= (1 - SLACK) * values.max())
+        rows = rows[best]
+        counts = np.zeros((len(rows), len(open_) + 1), np.float32)
+        np.add.at(counts, (np.arange(len(rows))[:, None], rows), 1)  # the last column takes what is none
+        counts = counts[:, :-1]
+        amount = (gap * n)[best] / counts[np.arange(len(best)), best]
+        load = amount @ counts / n
+        room = np.minimum(gap, STEP * (1 + turn / GROWTH)) / np.maximum(load, 1e-300)
+        amount = amount * np.where(counts > 0, np.minimum(1, room), 1).min(axis=1)
+        covered[open_] += amount @ counts / n
+        covered[covered > 1 - 1e-9] = 1
+        for row, x in zip(rows, amount.tolist(), strict=True):
+            key = open_[row[row >= 0]].astype(np.int16).tobytes()
+            used[key] = used.get(key, 0.0) + x
+    raise AssertionError("a round covered nothing")
 
 
 def solve(histogram: dict[int, int], capacity: int = LENGTH) -> list[tuple[dict[int, int], int]]:
     """Configurations {length: how many} with how often each is used; together they hold the histogram exactly.
 
-    The fractional solution is rounded down. What is left is priced and rounded on, by whole configurations that fill a sequence, and the last of it
-    packed by best fit. Best fit for all of it counts only if it takes fewer sequences.
+    The fractional solution is rounded down, and what is left priced and rounded piece by piece. Where that takes more sequences than any packing
+    must, all is priced piece by piece as well, and best fit is tried; the fewest sequences count, of equal ones the first of these three.
     """
     histogram = {k: v for k, v in histogram.items() if v > 0}
     if not histogram:
         return []
     sizes = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
-    made, marks = rounded(sizes, need, capacity, fractional(sizes, need.astype(np.float64), capacity))
-    packings = [made[:n] + rest(sizes, left, capacity) for rest in (best_fill, best_fit) for n, left in reversed(marks)]
-    return min([*packings, best_fit(sizes, need, capacity)], key=lambda found: sum(times for _, times in found))
+    least = max(-(-int(need @ sizes) // capacity), int(need[2 * sizes > capacity].sum()))
+    ways = (lambda: rounded(sizes, need, capacity, fractional(sizes, need.astype(np.float64), capacity)), lambda: priced(sizes, need, capacity), lambda: best_fit(sizes, need, capacity))
+    found = None
+    for way in ways:
+        made = way()
+        if found is None or total(made) < total(found):
+            found = made
+        if total(found) == least:
+            break
+    return found
 
 
-def rounded(sizes: np.ndarray, need: np.ndarray, capacity: int, used: dict[bytes, float], eta: float = 2.0, share: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], list[tuple[int, np.ndarray]]]:
-    """Configurations with how often each is used; and for each part of REST how many of them come before it, and what is left then.
+def total(configurations: list[tuple[dict[int, int], int]]) -> int:
+    return sum(times for _, times in configurations)
 
-    First what of ``used`` fills sequences, rounded down; then rounds of pricing for sequences that are full,
-    in which lengths of which more is left are worth more, and none is used up by over ``share`` (or one) at once.
-    """
-    left, found, total = need.copy(), [], float(need @ sizes)
-    marks: list[tuple[int, np.ndarray]] = []
-    waiting = sorted(REST)
-
-    def take(index: np.ndarray, count: np.ndarray, times: int) -> None:
-        left[index] -= times * count
-        found.append((dict(zip(sizes[index].tolist(), count.tolist(), strict=True)), times))
-
-    def mark() -> None:
-        while waiting and left @ sizes <= waiting[-1] * total:
-            waiting.pop()
-            marks.append((len(found), left.copy()))
-
-    def round_down(full: bool) -> None:
-        for key, x in sorted(used.items(), key=lambda item: (-item[1], item[0])):
-            if x < 1:
-                break
-            index, count = np.unique(np.frombuffer(key, np.int16), return_counts=True)
-            times = int(min(int(x), (left[index] // count).min()))
-            if times > 0 and (int(sizes[index] @ count) == capacity) == full:
-                take(index, count, times)
-                mark()
-
-    round_down(True)
-    begun = left.copy()
-    while waiting:
-        have = np.flatnonzero(left > 0)
-        if not len(have):
-            break
-        own = left[have] / begun[have]
-        rows, values = Pricing(sizes[have], capacity).configurations(sizes[have] / capacity * np.exp(eta * (own - own.mean())), np.arange(len(have)))
-        full = np.where(rows >= 0, sizes[have][rows], 0).sum(axis=1) == capacity
-        room = np.maximum(1, (share * left[have]).astype(np.int64))
-        before = len(found)
-        for i in np.argsort(-values, kind="stable")[full[np.argsort(-values, kind="stable")]].tolist():
-            index, count = np.unique(rows[i][rows[i] >= 0], return_counts=True)
-            times = int((np.minimum(room[index], left[have[index]]) // count).min())
-            if times <= 0 and room[index].min() > 0 and (left[have[index]] >= count).all():
-                times = 1
-            if times > 0:
-                room[index] = np.maximum(room[index] - times * count, 0)
-                take(have[index], count, times)
-                mark()
-        if len(found) == before:
-            break
-    # Where no more sequences can be filled, those of the solution that are not full.
-    if waiting:
-        round_down(False)
-    return found, [*marks, (len(found), left.copy())]
+
+def rounded(sizes: np.ndarray, need: np.ndarray, capacity: int, used: dict[bytes, float]) -> list[tuple[dict[int, int], int]]:
+    """The solution's (nearly) full configurations rounded down, the most used first, then ``priced`` for what is left."""
+    left, found = need.copy(), []
+    for key, x in sorted(used.items(), key=lambda item: (-item[1], item[0])):
+        index, count = np.unique(np.frombuffer(key, np.int16), return_counts=True)
+        times = int(min(int(x), (left[index] // count).min()))
+        if times > 0 and sizes[index] @ count >= capacity - capacity // 256:
+            left[index] -= times * count
+            found.append((dict(zip(sizes[index].tolist(), count.tolist(), strict=True)), times))
+    return found + priced(sizes, left, capacity)
+
+
+def priced(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """What is ``left``: each time the configuration worth most of those with the longest piece left, of pieces that are there, as often as they last."""
+    left, found, prices = left.copy(), [], (sizes / capacity) ** PRICE_POWER
+    for k in range(len(sizes) - 1, -1, -1):
+        while left[k]:
+            room, steps = capacity - int(sizes[k]), []
+            worth = np.zeros(room + 1)
+            # A length that is there n times is tried as 1, 2, 4... of it and what remains of n.
+            for i in np.flatnonzero((left[: k + 1] > 0) & (sizes[: k + 1] <= room)).tolist():
+                n, size, part = min(int(left[i]) - (i == k), room // int(sizes[i])), int(sizes[i]), 1
+                while n > 0:
+                    part = min(part, n)
+                    gain = worth[: room + 1 - part * size] + part * prices[i]
+                    better = gain > worth[part * size :]
+                    np.maximum(gain, worth[part * size :], out=worth[part * size :])
+                    steps.append((i, part, part * size, better))
+                    n, part = n - part, part * 2
+            count = {k: 1}
+            for i, part, size, better in reversed(steps):
+                if room >= size and better[room - size]:
+                    count[i] = count.get(i, 0) + part
+                    room -= size
+            times = min(int(left[i]) // n for i, n in count.items())
+            for i, n in count.items():
+                left[i] -= times * n
+            found.append(({int(sizes[i]): n for i, n in count.items()}, times))
+    return found
 
 
 def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -235,34 +242,6 @@ def best_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[d
     return out
 
 
-def best_fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """What is ``left``, each sequence with the longest piece left and those others that fill it best, the longest first; again as often as they last."""
-    left, found = left.copy(), []
-    for k in range(len(sizes) - 1, -1, -1):
-        while left[k]:
-            room = capacity - int(sizes[k])
-            # Which sums up to the room can be had, item by item, as bits; an item that is there n times as 1, 2, 4... and what remains of n.
-            reach, steps = 1, []
-            for i in np.flatnonzero((left[: k + 1] > 0) & (sizes[: k + 1] <= room)).tolist():
-                n, size, part = min(int(left[i]) - (i == k), room // int(sizes[i])), int(sizes[i]), 1
-                while n > 0:
-                    part = min(part, n)
-                    steps.append((i, part, part * size, reach))
-                    reach = (reach | (reach << (part * size))) & ((2 << room) - 1)
-                    n, part = n - part, part * 2
-            target = reach.bit_length() - 1
-            count = {k: 1}
-            for i, part, size, before in reversed(steps):
-                if target >= size and before >> (target - size) & 1:
-                    count[i] = count.get(i, 0) + part
-                    target -= size
-            times = min(int(left[i]) // n for i, n in count.items())
-            for i, n in count.items():
-                left[i] -= times * n
-            found.append(({int(sizes[i]): n for i, n in count.items()}, times))
-    return found
-
-
 def slots(configurations: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, last rank, first sequence, how many in a sequence, offset): where ranks of a length go."""
     out, at, sequence = [], {}, 0

@@ -292,7 +292,9 @@ def test_chat_conflicts(spark):
         for text in nasty:
             assert [(r, t) for r, t, _, _ in chat.parse(chat.format_turn(role, text))] == [(role, text)]
     rows = [(1, None, "assistant", "b"), (1, 0, None, None), (1, 0, "assistant", "a"), (None, 5, "user", "x"), (1, 0, "assistant", "a")]
-    got = {r["conv_id"]: r for r in chat.digest(chat.format_conversations(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, seq int"))).collect()}
+    formatted = chat.format_conversations(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, seq int"))
+    got = {r["conv_id"]: r for r in chat.digest(formatted).collect()}
+    assert {r["conv_id"]: r for r in chat.digest(formatted.orderBy("formatted").repartition(5, "seq")).collect()} == got
     assert got[None]["n_turns"] == 1 and got[1]["n_turns"] == 4
     assert got[1]["turns_sha256"] == sha("assistant\nb\n\n\nassistant\na\nassistant\na\n") and got[1]["loss_sha256"] == sha("baa")
     with pytest.raises(ValueError):
@@ -342,7 +344,7 @@ def test_packing_holds_every_piece(seed):
     assert held == histogram
     sizes = np.array(sorted(histogram))
     plain = packing.best_fit(sizes, np.array([histogram[int(k)] for k in sizes]), 1024)
-    assert sum(x for _, x in found) <= 1.01 * sum(x for _, x in plain) + 1
+    assert sum(x for _, x in found) <= sum(x for _, x in plain)
     ranks = {}
     for length, first, last, _, _, _ in packing.slots(found):
         assert first == ranks.get(length, 0)
@@ -350,6 +352,40 @@ def test_packing_holds_every_piece(seed):
     assert ranks == histogram
 
 
+EVERY = range(1, 1024)
+SKEWED = {
+    "one long": {600: 1_000_000, **{i: 1 for i in EVERY if i != 600}}, "one long, few others": {600: 10_000, **{i: 1 for i in range(100, 1000, 23)}}, "null texts": {1: 1_000_000, **{i: 5 for i in EVERY if i > 1}},
+    "harmonic": {i: max(1, 10**8 // i) for i in EVERY}, "four": {600: 200, 424: 1, 300: 1, 100: 1}, "equal": dict.fromkeys(EVERY, 10**6), "one": {5: 10**9},
+}
+
+
+@pytest.mark.parametrize("case", sorted(SKEWED))
+def test_packing_of_skewed_lengths_ends(case):
+    """In a bounded number of rounds, with at most one sequence more than any packing needs (more where one length can't fill a sequence)."""
+    histogram = SKEWED[case]
+    sizes, need = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+    found = packing.solve(histogram)
+    held = {}
+    for a, times in found:
+        assert sum(k * n for k, n in a.items()) <= 1024 and times > 0
+        for k, n in a.items():
+            held[k] = held.get(k, 0) + n * times
+    least = -(-(10**9) // 204) if case == "one" else max(-(-int(need @ sizes) // 1024), int(need[sizes > 512].sum()))
+    assert held == histogram and packing.total(found) <= least + 1
+
+
+def test_packing_comes_from_the_program():
+    """The fractional solution is no worse than a good packing, and rounding it down leaves little to be priced on."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        histogram = {k: rng.randint(1, 4000) for k in rng.sample(EVERY, 500)}
+        sizes, need = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+        used = packing.fractional(sizes, need.astype(float), 1024)
+        plain = packing.total(packing.best_fit(sizes, need, 1024))
+        assert sum(used.values()) <= 1.003 * plain and sum(int(x) for x in used.values()) >= 0.9 * plain
+        assert packing.total(packing.rounded(sizes, need, 1024, used)) <= 1.005 * plain
+
+
 @pytest.mark.parametrize("histogram,most", [({400: 3000, 310: 6000}, 3000), ({500: 900, 260: 1800}, 900), ({700: 500, 310: 500, 430: 1000, 290: 2000}, 1500)])
 def test_packing_without_exact_fills(histogram, most):
     """No configuration has exactly 1024 tokens; ``most`` is what the configuration program needs, 1 % more is allowed."""
