@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 
-from .functions import bins
 from .functions.ages import DAY_MS, WINDOWS
-from .functions.bins import INF, Bins
 from .sources.demo import AS_OF, DUCKDB_MS, FLAT
 
 #: 2024-02-01 00:00:00 UTC.
@@ -29,13 +27,24 @@ COUNTS = ", ".join(f'count(*) AS "{w}"' if d is None else f'count(*) FILTER (WHE
 EVENT_MS = "(epoch_us(ts) // 1000)"
 
 
-def bin_sql(value: str, table: Bins) -> str:
-    whens = []
-    for label, least, most in reversed(table.rows):
-        if least is not None:
-            top = "" if most == INF else f" AND ({value}) {'<' if table.open_end else '<='} {most}"
-            whens.append(f"WHEN ({value}) >= {least}{top} THEN '{label}'")
-    return f"CASE {' '.join(whens)} ELSE '{table.default}' END"
+# Bins once more, apart from the engine's: conditions on x in the order in which they are tried, so that the last bin that holds a value comes first.
+AGE_DAYS = ["x >= 365: > 1 year", "x >= 180 AND x < 365: 180-365 days", "x >= 90 AND x < 180: 90-180 days", "x >= 30 AND x < 90: 30-90 days", "x >= 14 AND x < 30: 14-30 days", "x >= 5 AND x < 14: 5-14 days", "x >= 1 AND x < 5: 1-5 days", "x >= 0 AND x < 1: < 24 hrs", "true: > 1 year"]
+MEMORY = ["x BETWEEN 4194305 AND 8388608: 4.1-8GB", "x BETWEEN 2097153 AND 4194304: 2.1-4GB", "x BETWEEN 1048577 AND 2097152: 1.1-2GB", "x BETWEEN 524289 AND 1048576: 1GB", "x BETWEEN 100 AND 524288: 512M", "true: Unknown"]
+STORAGE = [
+    "x >= 262145: >256GB", "x BETWEEN 131073 AND 262144: 128.1-256GB", "x BETWEEN 65537 AND 131072: 64.1-128GB", "x BETWEEN 32769 AND 65536: 32.1-64GB", "x BETWEEN 16385 AND 32768: 16.1-32GB",
+    "x BETWEEN 8193 AND 16384: 8.1-16GB", "x BETWEEN 4097 AND 8192: 4.1-8GB", "x BETWEEN 2 AND 4096: 4GB", "true: Unknown",
+]
+PEERS = ["x >= 101: 101+", "x BETWEEN 51 AND 100: 51-100", "x BETWEEN 21 AND 50: 21-50", "x BETWEEN 11 AND 20: 11-20", "x BETWEEN 6 AND 10: 6-10", "x BETWEEN 4 AND 5: 4-5", "x BETWEEN 2 AND 3: 2-3", "x = 1: 1", "x BETWEEN -1 AND 0: None", "true: Unknown"]
+PIXELS = ["x >= 20000: 20k+", "x BETWEEN 10000 AND 19999: 10k-20k", "x BETWEEN 5000 AND 9999: 5k-10k", "x BETWEEN 1000 AND 4999: 1k-5k", "x BETWEEN 500 AND 999: 500-1k", "x BETWEEN 1 AND 499: 1-499", "true: Zero"]
+UNIVERSES = ["x >= 500: 500+", "x BETWEEN 249 AND 499: 249-500", "x BETWEEN 100 AND 249: 100-249", "x BETWEEN 50 AND 99: 50-99", "x BETWEEN 1 AND 49: 1-49", "true: Zero"]
+CHANNELS = ["x >= 1000000: 1M+", "x BETWEEN 500000 AND 999999: 500k-1M", "x BETWEEN 100000 AND 499999: 100k-500k", "x BETWEEN 10000 AND 99999: 10k-100k", "x BETWEEN 1 AND 9999: 1k-10k", "true: Zero"]
+PANELS = ["x >= 65: 65+", "x BETWEEN 33 AND 64: 33-64", "x BETWEEN 17 AND 32: 17-32", "x BETWEEN 9 AND 16: 9-16", "x BETWEEN 5 AND 8: 5-8", "x BETWEEN 1 AND 4: 1-4", "true: Zero"]
+
+
+def bin_sql(value: str, table: list[str]) -> str:
+    """The first of ``table`` that holds, its condition before the colon and its label after it."""
+    parts = (line.split(": ", 1) for line in table)
+    return "CASE " + " ".join(f"WHEN {condition.replace('x', f'({value})')} THEN '{label}'" for condition, label in parts) + " END"
 
 
 _TRIM = "(CASE WHEN strpos(version, '-master-') > 1 THEN substr(version, 1, strpos(version, '-master-') + 6) ELSE version END)"
@@ -48,7 +57,7 @@ _DIRTY = "CASE WHEN strpos(version, '-dirty') > 0 THEN substr(version, 1, strpos
 _MODE = "CASE fppd_mode WHEN 'bridge' THEN 'player' WHEN 'master' THEN 'player' ELSE fppd_mode END"
 _ON = "coalesce(panel_enabled, '1') NOT IN ('0', 'false')"
 _IN = "CASE WHEN in_enabled IN ('1', 'true') THEN {} END"
-_AGE_BIN = bin_sql(f"coalesce(age, 0) / {DAY_MS}.0", bins.AGE_DAYS)
+_AGE_BIN = bin_sql(f"coalesce(age, 0) / {DAY_MS}.0", AGE_DAYS)
 
 #: (series, key, condition) of each statistic, in SQL.
 ROWS: dict[str, list[tuple[str, str, str]]] = {
@@ -72,15 +81,15 @@ ROWS: dict[str, list[tuple[str, str, str]]] = {
     "uiLevel": [("''", "CASE coalesce(set_ui_level, '0') WHEN '0' THEN 'Basic' WHEN '1' THEN 'Advanced' WHEN '2' THEN 'Experimental' WHEN '3' THEN 'Developer' WHEN '' THEN 'undefined' ELSE 'Undefined' END", "true")],
     "timeZone": [("''", "CASE WHEN timezone IS NULL THEN 'Not Reported' WHEN timezone = '+0000 GMT' THEN '+0000 UTC' ELSE timezone END", "true")],
     "lastReported": [("''", _AGE_BIN, "true")],
-    "deviceMemory": [("''", bin_sql("mem_total", bins.MEMORY), "true")],
-    "deviceStorage": [("'storage'", bin_sql("media_total / 1048576.0", bins.STORAGE), "true"), ("'usedStorage'", bin_sql("(media_total - media_free) / 1048576.0", bins.STORAGE), "true")],
-    "multisyncPeers": [("''", bin_sql("coalesce(multisync_n - 1, 0)", bins.PEERS), "true")],
-    "outputLocalPixels": [("''", bin_sql("coalesce(pi_pixels, 0) + coalesce(bbb_pixels, 0)", bins.PIXELS), "true")],
-    "outputUniverses": [("'universe'", bin_sql("e131_universes", bins.UNIVERSES), "true"), ("'channel'", bin_sql("e131_channels", bins.CHANNELS), "true")],
-    "inputUniverses": [("'universe'", bin_sql(_IN.format("in_universes"), bins.UNIVERSES), "true"), ("'channel'", bin_sql(_IN.format("in_channels"), bins.CHANNELS), "true")],
+    "deviceMemory": [("''", bin_sql("mem_total", MEMORY), "true")],
+    "deviceStorage": [("'storage'", bin_sql("media_total / 1048576.0", STORAGE), "true"), ("'usedStorage'", bin_sql("(media_total - media_free) / 1048576.0", STORAGE), "true")],
+    "multisyncPeers": [("''", bin_sql("coalesce(multisync_n - 1, 0)", PEERS), "true")],
+    "outputLocalPixels": [("''", bin_sql("coalesce(pi_pixels, 0) + coalesce(bbb_pixels, 0)", PIXELS), "true")],
+    "outputUniverses": [("'universe'", bin_sql("e131_universes", UNIVERSES), "true"), ("'channel'", bin_sql("e131_channels", CHANNELS), "true")],
+    "inputUniverses": [("'universe'", bin_sql(_IN.format("in_universes"), UNIVERSES), "true"), ("'channel'", bin_sql(_IN.format("in_channels"), CHANNELS), "true")],
     "outputPanels": [
-        ("'panels'", bin_sql("panel_count", bins.PANELS), f"{_ON} AND {bin_sql('panel_count', bins.PANELS)} <> 'Zero'"),
-        ("'channel'", bin_sql("panel_channels", bins.CHANNELS), f"{_ON} AND {bin_sql('panel_channels', bins.CHANNELS)} <> 'Zero'"),
+        ("'panels'", bin_sql("panel_count", PANELS), f"{_ON} AND {bin_sql('panel_count', PANELS)} <> 'Zero'"),
+        ("'channel'", bin_sql("panel_channels", CHANNELS), f"{_ON} AND {bin_sql('panel_channels', CHANNELS)} <> 'Zero'"),
         ("'panelType'", "panel_type", _ON),
         ("'panelSubType'", "CASE panel_subtype WHEN 'LEDscapeMatrix' THEN 'BeagleBone' WHEN 'RGBMatrix' THEN 'RGBMatrix(Pi)' ELSE coalesce(panel_subtype, panel_type) END", _ON),
         ("'panelSize'", "CAST(panel_width AS VARCHAR) || 'x' || CAST(panel_height AS VARCHAR)", _ON),
@@ -223,8 +232,8 @@ SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'Not JSON' WHEN 1 THEN 'Invalid R
     WHEN 5 THEN 'Payload too large' WHEN 6 THEN 'Not JSON Object' ELSE 'OK' END AS status,
   CASE WHEN event_id % 9 = 5 THEN 'big-' || user_id WHEN event_id % 9 IN (7, 8) THEN 'dev-' || user_id ELSE '' END AS uuid FROM events"""
     out["count_by_age"] = f"SELECT event_type, {COUNTS} FROM (SELECT event_type, {EVENTS_AS_OF} - {EVENT_MS} AS age FROM events) GROUP BY event_type"
-    out["bin_case"] = f"SELECT quantity, price, count(*) AS n FROM (SELECT {bin_sql('l_quantity', bins.PEERS)} AS quantity, {bin_sql('l_extendedprice', bins.CHANNELS)} AS price FROM lineitem) GROUP BY quantity, price"
-    out["bin_range_join"] = f"SELECT label, count(*) AS n FROM (SELECT {bin_sql('o_totalprice', bins.CHANNELS)} AS label FROM orders) GROUP BY label"
+    out["bin_case"] = f"SELECT quantity, price, count(*) AS n FROM (SELECT {bin_sql('l_quantity', PEERS)} AS quantity, {bin_sql('l_extendedprice', CHANNELS)} AS price FROM lineitem) GROUP BY quantity, price"
+    out["bin_range_join"] = f"SELECT label, count(*) AS n FROM (SELECT {bin_sql('o_totalprice', CHANNELS)} AS label FROM orders) GROUP BY label"
     out["bin_join_many"] = """
 WITH ranges AS (SELECT p_partkey AS pos, p_brand || '-' || p_size AS label, p_partkey * 37 % 100000 + p_retailprice AS least, p_partkey * 37 % 100000 + p_retailprice + p_size * 20 AS most FROM part),
 prices AS (SELECT l_extendedprice AS x, count(*) AS k FROM lineitem GROUP BY x),
@@ -256,7 +265,7 @@ FROM (SELECT last_ms, CAST(floor(({EVENTS_AS_OF} - last_ms) / 1000) AS BIGINT) A
     out["topk_view"] = view_sql("versionWithOS") + " SELECT label, n FROM v ORDER BY n DESC, label LIMIT 15"
     out["topk_plugins"] = view_sql("topPlugins", "last180Days") + " SELECT label, n FROM v WHERE n > 0 ORDER BY n DESC, label LIMIT 10"
     out["pie_view"] = view_sql("fppMode") + " SELECT label, n FROM v"
-    labels = [x for x in bins.PIXELS.labels if x != "Zero"]
+    labels = [x for x in _LABELS["pixelOrder"] if x != "Zero"]
     out["dense_bar"] = view_sql("outputLocalPixels", population="noDocker") + f" SELECT o.pos, o.label, coalesce(n, 0) AS n FROM {_values(labels)} LEFT JOIN v ON v.label = o.label"
     out["table_pct"] = view_sql("platformVariant", "totalCount") + """
 SELECT CASE WHEN label = '' THEN 'Unknown' ELSE label END AS label, n, ((2000 * n + t) // (2 * t)) / 10.0::DOUBLE AS pct

@@ -35,9 +35,10 @@ def percent(n: Column, total: Column) -> Column:
 
 def table_pct(view: DataFrame, max_rows: int) -> DataFrame:
     """label, n, pct of the total over all rows; prints one row fewer than ``max_rows``."""
-    total = F.sum("n").over(Window.partitionBy())  # over the labels of one statistic
+    total = F.broadcast(view.agg(F.sum("n").alias("_total")))  # one row, summed before anything meets
     named = view.withColumn("label", F.when(F.col("label") == "", "Unknown").otherwise(F.col("label")))
-    return named.withColumn("pct", percent(F.col("n"), total)).orderBy(F.desc("n"), "label").limit(max_rows - 1)
+    shown = named.orderBy(F.desc("n"), "label").limit(max_rows - 1)
+    return shown.join(total).withColumn("pct", percent(F.col("n"), F.col("_total"))).drop("_total").orderBy(F.desc("n"), "label")
 
 
 def stat_order(spark: SparkSession, stat: str, series: str = "", without: tuple[str, ...] = ()) -> DataFrame:
