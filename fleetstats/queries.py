@@ -27,7 +27,7 @@ EVENTS_AS_OF = oracles.EVENTS_AS_OF
 
 
 def _current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.snapshot(demo.reports(spark, sf_dir), demo.AS_OF)
+    return engine.aged(demo.current(spark, sf_dir), demo.AS_OF)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def summary_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = demo.reports(spark, sf_dir)
-    return engine.history_summary(reports, engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+    return engine.history_summary(reports, _current(spark, sf_dir), demo.AS_OF)
 
 
 def summary_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ def bin_range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unique_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = demo.reports(spark, sf_dir)
-    return history.unique_by_month(reports, engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+    return history.unique_by_month(reports, _current(spark, sf_dir), demo.AS_OF)
 
 
 def unique_by_month_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +128,12 @@ def unique_by_month_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     stream = spark.readStream.schema(events.schema).parquet(events.inputFiles()[0].rpartition("/")[0])
     ingest.keep_months(stream, f"{folder}/months", f"{folder}/checkpoint").awaitTermination()
-    return history.months_of(ingest.read_months(spark, f"{folder}/months"), engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+    return history.months_of(ingest.read_months(spark, f"{folder}/months"), _current(spark, sf_dir), demo.AS_OF)
 
 
 def unique_by_month_laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports, folder = demo.reports(spark, sf_dir), scratch(spark)
-    current = engine.snapshot(reports, demo.AS_OF).select("uuid", "is_docker")
+    current = _current(spark, sf_dir).select("uuid", "is_docker")
     layout.lay_out(folder, {"history": layout.by_month(reports.select("uuid", "ts", "report_id")), "current": current}, buckets=8)
     return history.unique_by_month(layout.laid_out(spark, folder, "history"), layout.laid_out(spark, folder, "current"), demo.AS_OF)
 
@@ -143,7 +143,7 @@ def approx_unique_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports, folder = demo.reports(spark, sf_dir), scratch(spark)
     for number in range(2):
         sketches.add_reports(reports.where(F.col("report_id") % 2 == number), folder, number)
-    return sketches.approx_unique_by_month(sketches.kept_sketches(spark, folder), engine.snapshot(reports, demo.AS_OF), demo.AS_OF)
+    return sketches.approx_unique_by_month(sketches.kept_sketches(spark, folder), _current(spark, sf_dir), demo.AS_OF)
 
 
 def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .landing import latest_report
+
 #: 2001-08-02 00:00:00 UTC, later than every report.
 AS_OF = 996_710_400_000
 
@@ -66,6 +68,16 @@ def flat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports in the nested schema, with ``report_id``."""
+    return nested(flat_reports(spark, sf_dir))
+
+
+def current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest report of each device, chosen among flat ones before they are nested."""
+    return nested(latest_report(flat_reports(spark, sf_dir)))
+
+
+def nested(flat: DataFrame) -> DataFrame:
+    """Flat reports in the schema of real ones."""
     s = lambda c: F.col(c).cast("string")
     struct = lambda **fields: F.struct(*(v.alias(k) for k, v in fields.items()))
 
@@ -74,7 +86,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.map_from_entries(kept)
 
     media = F.when(F.col("media_total").isNotNull(), struct(Total=s("media_total"), Free=s("media_free")))
-    return flat_reports(spark, sf_dir).select(
+    return flat.select(
         "report_id",
         "uuid",
         "ts",
