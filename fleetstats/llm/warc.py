@@ -23,7 +23,10 @@ from .common import drop_at_exit, join_hot, maybe_broadcast, shared_dir, stored
 CRLF = "\r\n"
 #: Payloads under this many bytes are always stored.
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 1500
+#: Records of a file; of pages with payloads of LARGE bytes and more, as many as make FILE_BYTES at most (one page at least).
+RECORDS_PER_FILE, LARGE, FILE_BYTES = 1500, 128 << 10, 192 << 20
+#: Bytes unpacked at once, and of records sent on at once, about.
+PIECE, BATCH_BYTES = 1 << 20, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "warc_type string, record_id string, concurrent_to string, target_uri string, refers_to string, payload_digest string, block binary"
 
@@ -74,27 +77,64 @@ def write_archives(planned: DataFrame, path: str, records_per_file: int = RECORD
     metadata = _record("metadata", _urn("metadata", page, copy), notes, F.octet_length(notes), [("WARC-Concurrent-To", main), ("WARC-Target-URI", uri)])
     response = _record("response", main, F.concat(F.lit(head), F.col("payload")), F.col("size") + len(head), [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest)])
     revisit = _record("revisit", main, F.lit(head), F.lit(len(head)), [("WARC-Target-URI", uri), ("WARC-Payload-Digest", digest), ("WARC-Refers-To", _urn("capture", F.col("refers_to")))])
-    records = planned.select(F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)).alias("value"))
-    records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    records = planned.select("size", F.explode(F.array(request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata)).alias("value"))
+    largest = planned.where(F.col("size") >= LARGE).agg(F.max("size")).first()[0]
+    small = records if largest is None else records.where(F.col("size") < LARGE)
+    writes = [(small, records_per_file)] + ([] if largest is None else [(records.where(F.col("size") >= LARGE), max(3, FILE_BYTES // largest))])
+    for rows, most in writes:
+        rows.select("value").write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _unpacked(packed: pa.Buffer) -> Iterator[bytes]:
+    """The contents of a gzip file by pieces."""
+    unzip, data = zlib.decompressobj(wbits=47), memoryview(packed)
+    for at in range(0, len(data), PIECE):
+        left = data[at : at + PIECE]
+        while len(left):
+            yield unzip.decompress(left, PIECE)
+            left = unzip.unconsumed_tail
+    yield unzip.flush()
+
+
+def _records(packed: pa.Buffer) -> Iterator[tuple]:
+    """The records of an archive; only the one that is being read is in memory."""
+    keys = ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-target-uri", "warc-refers-to", "warc-payload-digest")
+    data, at = bytearray(), 0
+    for piece in _unpacked(packed):
+        data += piece
+        while (end := data.find(b"\r\n\r\n", at)) >= 0:
+            lines = data[at:end].decode().split(CRLF)
+            if not lines[0].startswith("WARC/"):
+                raise ValueError("no record where one should begin")
+            fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+            stop = end + 4 + int(fields["content-length"])
+            if len(data) < stop + 4:
+                break
+            yield (*map(fields.get, keys), bytes(data[end + 4 : stop]))
+            at = stop + 4
+        del data[:at]
+        at = 0
+    if data:
+        raise ValueError("an archive ends within a record")
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.string()] * 6 + [pa.binary()]
-    keys = ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-target-uri", "warc-refers-to", "warc-payload-digest")
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)], names=names)
+
     for b in batches:
         for packed in b[0]:
-            data, rows, at = zlib.decompress(packed.as_buffer(), wbits=47), [], 0
-            while at < len(data):
-                end = data.index(b"\r\n\r\n", at)
-                lines = data[at:end].decode().split(CRLF)
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"no record at {at}")
-                fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-                stop = end + 4 + int(fields["content-length"])
-                rows.append((*map(fields.get, keys), data[end + 4 : stop]))
-                at = stop + 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds, strict=True)], names=names)
+            rows, size = [], 0
+            for row in _records(packed.as_buffer()):
+                rows.append(row)
+                size += len(row[-1])
+                if size > BATCH_BYTES:
+                    yield batch(rows)
+                    rows, size = [], 0
+            yield batch(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
