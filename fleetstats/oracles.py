@@ -231,6 +231,7 @@ SELECT series, CAST(rank AS INTEGER) AS rank, key, n FROM (
 SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'Not JSON' WHEN 1 THEN 'Invalid Record' WHEN 2 THEN 'Invalid Record' WHEN 3 THEN 'Invalid UUID Format'
     WHEN 5 THEN 'Payload too large' WHEN 6 THEN 'Not JSON Object' ELSE 'OK' END AS status,
   CASE WHEN event_id % 9 = 5 THEN 'big-' || user_id WHEN event_id % 9 IN (7, 8) THEN 'dev-' || user_id ELSE '' END AS uuid FROM events"""
+    out["stream_ingest"] = f"SELECT status, CASE WHEN status = 'OK' THEN uuid ELSE '' END AS uuid, count(*) AS n FROM ({out['upload_status']}) GROUP BY ALL"
     out["count_by_age"] = f"SELECT event_type, {COUNTS} FROM (SELECT event_type, {EVENTS_AS_OF} - {EVENT_MS} AS age FROM events) GROUP BY event_type"
     out["bin_case"] = f"SELECT quantity, price, count(*) AS n FROM (SELECT {bin_sql('l_quantity', PEERS)} AS quantity, {bin_sql('l_extendedprice', CHANNELS)} AS price FROM lineitem) GROUP BY quantity, price"
     out["bin_range_join"] = f"SELECT label, count(*) AS n FROM (SELECT {bin_sql('o_totalprice', CHANNELS)} AS label FROM orders) GROUP BY label"

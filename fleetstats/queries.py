@@ -102,6 +102,16 @@ def upload_status_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upload_status(_events(spark, sf_dir).select("event_id", text.alias("value"))).select("event_id", "status", "uuid")
 
 
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of an upload for each event, taken in by the stream: accepted reports and rejected bodies by reason."""
+    folder = scratch(spark)
+    _events(spark, sf_dir).select(F.expr(oracles.UPLOAD_TEXT).alias("value")).write.text(f"{folder}/landing")
+    ingest.stream_ingest(spark, f"{folder}/landing", f"{folder}/kept", f"{folder}/checkpoint", EVENTS_AS_OF, lines=True).awaitTermination()
+    accepted = ingest.read_history(spark, f"{folder}/kept").select("uuid", F.lit("OK").alias("status"))
+    rejected = ingest.read_rejected(spark, f"{folder}/kept").select(F.lit("").alias("uuid"), "status")
+    return accepted.unionByName(rejected).groupBy("status", "uuid").agg(F.count(F.lit(1)).alias("n"))
+
+
 def count_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.count_by_age(_events(spark, sf_dir), ["event_type"], "ts_ms", EVENTS_AS_OF)
 
@@ -277,6 +287,7 @@ QUERIES: dict[str, Query] = {
     "latest_event": latest_event,
     "not_docker_filter": not_docker_filter,
     "upload_status": upload_status_query,
+    "stream_ingest": stream_ingest,
     "count_by_age": count_by_age,
     "bin_case": bin_case_query,
     "bin_range_join": bin_range_query,
