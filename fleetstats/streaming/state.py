@@ -34,7 +34,7 @@ def bucket_of(device: str, buckets: int) -> Column:
 
 def grain_time(ts: Column, grain: int) -> Column:
     """The time itself at a full grain, else the middle of its grain."""
-    start = F.floor(ts / F.lit(grain)) * grain
+    start = ts - F.pmod(ts, F.lit(grain))
     return F.when(ts == start, ts).otherwise(start + grain // 2)
 
 
@@ -57,8 +57,8 @@ def _changes(added: DataFrame, replaced: DataFrame, grain: int, chosen: list[Sta
 def update(reports: DataFrame, folder: str, number: int, source: str = "stream", buckets: int = BUCKETS, grain: int = GRAIN_MS, chosen: list[Stat] | None = None) -> bool:
     """Take in batch ``number`` of ``source``: parsed reports with uuid, ts and report_id. False if it was taken in before.
 
-    Numbers of a source rise. Late reports change nothing; of equal times the larger report_id is later; equal reports are one. ``buckets`` and
-    ``grain`` hold from the first batch on.
+    Numbers of a source rise. Late reports change nothing; of equal times the larger report_id is later; equal reports are one. ``buckets``,
+    ``grain`` and the names of the statistics hold from the first batch on; see ``recount``.
     """
     spark = reports.sparkSession
     after, state = last_commit(spark, folder)
@@ -66,6 +66,9 @@ def update(reports: DataFrame, folder: str, number: int, source: str = "stream",
         return False
     buckets, grain = state.get("buckets", buckets), state.get("grain", grain)
     stats = list(STATS.values()) if chosen is None else chosen
+    counted = _names(stats)
+    if state.get("stats", counted) != counted:
+        raise ValueError("other statistics are kept; recount them first")
     news = stored(latest_report(reports).withColumn("since", F.lit(after + 1).cast("long")).withColumn("bucket", bucket_of("uuid", buckets)))
     touched = sorted(r[0] for r in news.select("bucket").distinct().collect())  # at most ``buckets`` numbers
     current = state.get("current", {"schema": news.drop("bucket").schema.jsonValue(), "paths": {}})
@@ -84,12 +87,27 @@ def update(reports: DataFrame, folder: str, number: int, source: str = "stream",
         path = new_path(folder)
         changed.write.parquet(path)
         changes = grown(spark, folder, changes or described(changed.schema, []), path, _summed)
-    content = {"sources": state.get("sources", {}) | {source: number}, "buckets": buckets, "grain": grain, "current": current, "changes": changes, "touched": touched}
+    content = {"sources": state.get("sources", {}) | {source: number}, "buckets": buckets, "grain": grain, "stats": counted, "current": current, "changes": changes, "touched": touched}
     commit(spark, folder, content, after)
     clean(spark, folder)
     return True
 
 
+def _names(stats: list[Stat]) -> list[str]:
+    """Of those that are kept; statistics of age are counted when read."""
+    return sorted(s.name for s in stats if not s.of_age)
+
+
+def recount(spark: SparkSession, folder: str, chosen: list[Stat] | None = None) -> None:
+    """Count all latest reports anew, for statistics that are new or have changed."""
+    after, state = last_commit(spark, folder)
+    stats, reports = list(STATS.values()) if chosen is None else chosen, current_reports(spark, folder)
+    changed, path = _changes(reports, reports.where("false"), state["grain"], stats), new_path(folder)
+    changed.write.parquet(path)
+    commit(spark, folder, state | {"stats": _names(stats), "changes": described(changed.schema, [path])}, after)
+    clean(spark, folder)
+
+
 def current_reports(spark: SparkSession, folder: str) -> DataFrame:
     """The latest report of each device, as of the last batch."""
     _, state = last_commit(spark, folder)
@@ -102,6 +120,8 @@ def summary(spark: SparkSession, folder: str, as_of: int, chosen: list[Stat] | N
     if as_of % state["grain"]:
         raise ValueError(f"as_of must be a multiple of {state['grain']} ms")
     stats = list(STATS.values()) if chosen is None else chosen
+    if missing := set(_names(stats)) - set(state["stats"]):
+        raise ValueError(f"not kept, recount them first: {sorted(missing)}")
     if state["changes"] is None:
         return engine.summary(engine.aged(current_reports(spark, folder), as_of), stats)
     rows = _summed(opened(spark, state["changes"]))

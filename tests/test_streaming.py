@@ -173,6 +173,20 @@ def test_changes_are_summed_up(spark, tmp_path, monkeypatch):
     assert [(r["key"], r["totalCount"]) for r in state.summary(spark, folder, HOUR, chosen).where("population = 'all' AND stat = 'platform'").collect()] == [("x", 1)]
 
 
+def test_new_statistics_are_counted_anew(spark, tmp_path):
+    folder, few = str(tmp_path), [STATS["platform"], STATS["lastReported"]]
+    batch = [(1000 * i, i, json.dumps({"uuid": f"d{i % 7}", "timezone": f"+0{i % 3}00 X", "systemInfo": {"platform": "xyz"[i % 3]}})) for i in range(20)]
+    state.update(parsed(spark, batch[:12]), folder, 0, chosen=few)
+    more = [*few, STATS["timeZone"]]
+    with pytest.raises(ValueError, match="timeZone"):
+        state.summary(spark, folder, HOUR, more)
+    with pytest.raises(ValueError, match="recount"):
+        state.update(parsed(spark, batch[12:]), folder, 1, chosen=more)
+    state.recount(spark, folder, more)
+    state.update(parsed(spark, batch[12:]), folder, 1, chosen=more)
+    assert rows(state.summary(spark, folder, HOUR, more)) == rows(engine.summary(engine.snapshot(parsed(spark, batch), HOUR), more))
+
+
 def months_in(spark, folder, data):
     out = spark.createDataFrame(data, "uuid string, time string").withColumn("time", F.to_timestamp("time"))
     out.coalesce(1).write.mode("append").parquet(folder)
