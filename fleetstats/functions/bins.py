@@ -68,6 +68,21 @@ def bin_case(value: Column, bins: Bins) -> Column:
     return F.lit(bins.default) if out is None else out.otherwise(bins.default)
 
 
+def quoted(text: str) -> str:
+    """A text as SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def bin_of(column: str, bins: Bins) -> Column:
+    """``bin_case`` of a named column, made as one text: that takes one call into the JVM instead of one for each part."""
+    tests = []
+    for label, least, most in reversed(bins.rows):
+        if least is not None:
+            end = "" if most == INF else f" AND `{column}` {'<' if bins.open_end else '<='} {most}"
+            tests.append(f"WHEN `{column}` >= {least}{end} THEN {quoted(label)}")
+    return F.expr(f"CASE {' '.join(tests)} ELSE {quoted(bins.default)} END" if tests else quoted(bins.default))
+
+
 def bins_table(spark: SparkSession, bins: Bins) -> DataFrame:
     """pos, label, least, most (null: open)."""
     rows = [(i, label, float(least), None if most == INF else float(most)) for i, (label, least, most) in enumerate(bins.rows) if least is not None]

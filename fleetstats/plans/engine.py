@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ages import DAY_MS, WINDOWS, age_class, age_ms, counters, counters_of_classes
-from ..functions.bins import bin_case
+from ..functions.bins import bin_of, quoted
 from ..operators import history as _history  # noqa: F401  registers its statistics
 from ..operators import stats as _stats  # noqa: F401  registers the statistics
 from ..operators.registry import HISTORY_STATS, STATS, HistoryStat, Stat, row
@@ -59,7 +59,7 @@ def rows_of(current: DataFrame, family: list[Stat], carry: tuple[str, ...] = CAR
         numbers = {f"_v{i}": p[2] for i, p in enumerate(parts) if len(p) == 4}
         keys, series, structs = {}, {}, []
         for i, p in enumerate(parts):
-            key = bin_case(F.col(f"_v{i}"), p[3]) if len(p) == 4 else p[2]
+            key = bin_of(f"_v{i}", p[3]) if len(p) == 4 else p[2]
             keys[f"_k{i}"] = F.when(_young(p[0]), key) if gated and p[0].max_age_days else key
             if not isinstance(p[1], str):
                 series[f"_s{i}"] = p[1]
@@ -67,10 +67,8 @@ def rows_of(current: DataFrame, family: list[Stat], carry: tuple[str, ...] = CAR
         named = current.withColumns(numbers).select(*carry, *(c.alias(n) for n, c in {**keys, **series}.items()))
         rows = named.select(*carry, F.explode(F.array(*structs)).alias("r"))
     rows = rows.select("r.*", *carry).where("key IS NOT NULL")
-    for s in family:
-        for series, keys in s.drop.items():
-            rows = rows.where(~((F.col("stat") == s.name) & (F.col("series") == series) & F.col("key").isin(*keys)))
-    return rows
+    dropped = [f"(stat = {quoted(s.name)} AND series = {quoted(series)} AND key IN ({', '.join(map(quoted, keys))}))" for s in family for series, keys in s.drop.items()]
+    return rows.where(f"NOT ({' OR '.join(dropped)})") if dropped else rows
 
 
 def families(chosen: list[Stat], size: int = FAMILY_SIZE) -> list[list[Stat]]:

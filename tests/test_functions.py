@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetstats.functions import ages, bins
 from fleetstats.functions.ages import DAY_MS, WINDOWS
-from fleetstats.functions.bins import bin_case, bin_range_join, bins_table
+from fleetstats.functions.bins import Bins, bin_case, bin_of, bin_range_join, bins_table
 from fleetstats.functions.compat import js_num, key_text, loose_eq, truthy
 from fleetstats.functions.versions import drop_dirty, major, trim_master
 
@@ -51,7 +51,8 @@ def test_bin_forms_agree_at_edges(spark, name):
         return hit[-1] if hit else table.default
 
     rows = spark.createDataFrame([(i, float(x)) for i, x in enumerate(edges)], "i int, v double")
-    got = bin_range_join(rows, "v", bins_table(spark, table), table.default, table.open_end).withColumn("c", bin_case(F.col("v"), table)).orderBy("i").collect()
+    got = bin_range_join(rows, "v", bins_table(spark, table), table.default, table.open_end).withColumn("c", bin_case(F.col("v"), table)).withColumn("d", bin_of("v", table)).orderBy("i").collect()
+    assert all(r["c"] == r["d"] for r in got)
     assert [r["c"] for r in got] == [r["label"] for r in got] == [plain(x) for x in edges]
 
 
@@ -69,3 +70,9 @@ def test_age_windows(spark):
     counted = rows.withColumn("k", ages.age_class(F.col("age"))).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     twice = counted.agg(*ages.counters_of_classes(F.col("n"), F.col("k"))).first()
     assert list(twice) == [direct[w] for w in WINDOWS]
+
+
+def test_labels_of_any_text(spark):
+    odd = Bins((("it's \\ \"odd\"", 0, 1), ("%{x}", 2, bins.INF)), "'")
+    got = spark.createDataFrame([(0.5,), (7.0,)], "v double").select(bin_of("v", odd)).collect()
+    assert [r[0] for r in got] == ["it's \\ \"odd\"", "'"]
