@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import drop_at_exit, shared_dir, stored
 
-__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "crc32_sql", "drop_at_exit", "join_hot", "join_unique", "maybe_broadcast", "shared_dir", "stored", "table"]
+__all__ = ["BROADCAST_ROWS", "ascii_lower", "bound_batches", "broadcast_small", "crc32_sql", "drop_at_exit", "is_small", "join_hot", "join_unique", "maybe_broadcast", "shared_dir", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A side is broadcast only if a count has shown that it has no more rows than this; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: A side with wide rows is broadcast only if it has been measured to have no more bytes than this.
+BROADCAST_BYTES = 64 << 20
 
 
 #: Texts go to Python in batches of about so many bytes.
@@ -35,6 +37,16 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAS
     return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
 
 
+def is_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the stored table ``df`` has at most ``most_bytes`` bytes, measured on its rows as JSON."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most_bytes
+
+
+def broadcast_small(df: DataFrame) -> DataFrame:
+    """The stored table ``df``, of any width, with a broadcast hint if it is small; else as it is."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

@@ -92,6 +92,29 @@ def contaminated(docs, items, size=10):
     return out
 
 
+def near_items(docs, items, slop=5, size=10, rarest=3):
+    """{doc_id: items with a window whose rarest words all stand within ``slop`` of their places by the rarest}."""
+    texts = {d: test_words(t) for d, t in docs.items()}
+    df = Counter(x for w in texts.values() for x in set(w))
+    windows = defaultdict(set)
+    for k, t in items.items():
+        w = test_words(t)
+        for i in range(max(1, len(w) - size + 1) if w else 0):
+            windows[tuple(w[i : i + size])].add(k)
+    plans = [(sorted((df[x], x.encode(), i) for i, x in enumerate(w))[:rarest], own) for w, own in windows.items() if all(df[x] for x in w)]
+    out = {}
+    for d, w in texts.items():
+        at = defaultdict(list)
+        for i, x in enumerate(w):
+            at[x.encode()].append(i)
+        out[d] = set()
+        for plan, own in plans:
+            starts = [p - plan[0][2] for p in at[plan[0][1]] if p >= plan[0][2]]
+            if any(all(any(abs(p - off - s) <= slop for p in at[x]) for _, x, off in plan) for s in starts):
+                out[d] |= own
+    return out
+
+
 test_words.__test__ = False
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetstats.llm import chat, components, decontamination, jaccard_join, langid, packing, paragraph_dedup, quality, suffix_dedup, url_filter, warc
 
-from .helpers import contaminated, jaccard_groups, sha, without_repeats
+from .helpers import contaminated, jaccard_groups, near_items, sha, without_repeats
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n long, key long, node long, _salt int, words int"
 
@@ -277,6 +277,33 @@ def test_proximity(spark):
     assert {(r["doc_id"], r["item"]) for r in got} == {(1, "9"), (2, "9")}
 
 
+def test_proximity_against_brute_force(spark):
+    """Few words, so that places are many, at and across the borders of blocks; every slop, repeated rows, null ids and hot terms joined without a broadcast."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    docs = {i: text(rng.randrange(0, 400)) for i in range(40)} | {40: None, 41: "w1"}
+    items = {i: text(rng.choice([1, 2, 3, 11, 14])) for i in range(30)} | {30: None, 31: "nowhere w1"}
+    rows = table(spark, [*docs.items(), (7, docs[7]), (None, docs[8])])
+    asked = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for slop in (0, 3, 70):
+        want = near_items(docs | {-1: docs[7], -2: docs[8]}, {str(k): v for k, v in items.items()}, slop)
+        got = decontamination.contamination(rows, asked, slop=slop).collect()
+        assert len(got) == len(docs) + 2
+        assert all({x for m in r["near"] for x in m["items"]} == want[-2 if r["doc_id"] is None else r["doc_id"]] for r in got)
+        assert slop or any(want.values())
+
+
+def test_postings_of_frequent_terms_are_salted(spark, monkeypatch):
+    from fleetstats.llm.common import stored
+
+    index = stored(spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("often")).otherwise(F.concat(F.lit("t"), "id")).alias("term"), F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("_k"), F.lit(4).alias("pos")))
+    windows = stored(spark.createDataFrame([(1, "often"), (2, "often"), (3, "t9")], "win long, term string"))
+    want = sorted(map(tuple, decontamination._by_term(index, windows).collect()))
+    monkeypatch.setattr(decontamination, "is_small", lambda df: False)
+    assert sorted(map(tuple, decontamination._by_term(index, windows).collect())) == want and len(want) == 4001
+
+
 def test_quality_of_odd_texts(spark):
     line = "the quick brown fox and the lazy dog of it all"
     docs = [(1, None), (2, ""), (3, "\n".join([line] * 5)), (4, " ".join(["the cat of a man is in it"] * 30)), (5, "|".join(line.split())), (6, "a\u00a0b c\x0bd")]

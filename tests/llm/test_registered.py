@@ -8,7 +8,7 @@ import pytest
 from fleetstats.llm.queries import ORACLE_SQL, QUERIES
 from fleetstats.llm.shingles import shingles, words
 
-from .helpers import contaminated, jaccard_groups, sha, without_repeats
+from .helpers import contaminated, jaccard_groups, near_items, sha, without_repeats
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +34,8 @@ def test_op1(spark, sf_dir, docs):
 def test_op2(spark, duck, sf_dir, docs):
     items = {str(k): t for k, t in duck.execute("SELECT item_id, text FROM benchmark").fetchall()}
     want = {i: (n, h, len(f), sha(",".join(sorted(f))), h > 0) for i, (n, h, f) in contaminated(docs, items).items()}
-    assert {r[0]: tuple(r[1:]) for r in QUERIES["op2_decontamination"](spark, sf_dir).collect()} == want
+    near = near_items(docs, items)
+    assert {r[0]: tuple(r[1:]) for r in QUERIES["op2_decontamination"](spark, sf_dir).collect()} == {i: (*row, len(near[i])) for i, row in want.items()}
 
 
 def test_op3_catches_repeats_and_leaves_the_rest(spark, sf_dir, docs):
