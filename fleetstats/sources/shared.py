@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,15 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def unsorted(spark: SparkSession, folders: int) -> Iterator[None]:
+    """Writes to partitions don't sort their rows as long as a task has no more than ``folders`` of them, so long rows aren't held back."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, folders)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

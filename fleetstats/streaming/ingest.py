@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.commits import clean, commit, described, exists, grown, last_commit, new_path, opened
 from ..sources.landing import latest_report
 from ..sources.schema import parse_report
+from ..sources.shared import unsorted
 from .state import update
 
 #: Longest report in UTF-16 units, its stamp included.
@@ -68,7 +69,8 @@ def ingest_batch(uploads: DataFrame, folder: str, number: int, stamp: int, value
         return False
     judged = upload_status(uploads, value, stamp).select("uuid", "ts", F.col(value).alias("payload"), F.xxhash64(value).alias("report_id"), "status")
     path = new_path(folder)
-    judged.withColumn("accepted", F.col("status") == "OK").write.partitionBy("accepted").parquet(path)
+    with unsorted(spark, 2):
+        judged.withColumn("accepted", F.col("status") == "OK").write.partitionBy("accepted").option("compression", "zstd").parquet(path)
     tables, last = {}, []
     for name, part in (("history", f"{path}/accepted=true"), ("rejected", f"{path}/accepted=false")):
         table = state.get("tables", {}).get(name) or described(judged.schema, [])

@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from fleetstats import queries
 from fleetstats.operators import history
 from fleetstats.operators.registry import STATS
 from fleetstats.plans import engine
@@ -218,3 +219,16 @@ def test_months_by_stream_equal_those_of_the_history(spark, sf_dir, tmp_path):
     seen = ingest.read_months(spark, folder)
     assert seen.count() == seen.distinct().count()
     assert rows(history.months_of(seen, current, AS_OF)) == rows(history.unique_by_month(reports, current, AS_OF))
+
+
+def test_long_bodies_take_little_disk(spark, sf_dir, tmp_path, monkeypatch):
+    """A ninth of the uploads have 100,000 characters, 11 MB in all; what lands and what is kept is compressed, and nothing is sorted."""
+    monkeypatch.setattr(queries, "scratch", lambda _: str(tmp_path))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    rejected = queries.stream_ingest(spark, sf_dir).where("status = 'Payload too large'").first()["n"]
+    assert rejected * 100_000 > 10_000_000 and sum(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()) < 1_000_000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_uploads_are_made_by_all_cores(spark, sf_dir):
+    assert queries._uploads(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
