@@ -17,28 +17,29 @@ MAX_UNITS = 100_000
 
 
 def utf16_units(c: Column) -> Column:
-    return F.octet_length(F.encode(c, "UTF-16BE")) / 2
+    """ASCII, as most reports are, has as many units as octets and isn't encoded again."""
+    return F.when(F.octet_length(c) == F.char_length(c), F.char_length(c)).otherwise(F.octet_length(F.encode(c, "UTF-16BE")) / 2)
 
 
 def upload_status(uploads: DataFrame, value: str = "value", stamp: Column | int = 0) -> DataFrame:
-    """``uploads`` with ``status``, ``uuid`` ('' unless the format is right) and ``ts``."""
-    parsed = F.try_parse_json(value)
-    kind = F.schema_of_variant(parsed)
-    uuid = F.get_json_object(value, "$.uuid")
+    """``uploads`` with ``status``, ``uuid`` ('' unless the format is right) and ``ts``. A body is parsed once and written again once."""
     stamped = F.lit(stamp) if isinstance(stamp, int) else stamp
+    # Each of these is a projection of its own, so that what follows reads columns.
+    out = uploads.withColumn("_parsed", F.try_parse_json(value))
+    out = out.withColumns({"_again": F.to_json("_parsed"), "_ts": F.to_json(F.try_variant_get("_parsed", "$.ts", "variant")), "_uuid": F.get_json_object(value, "$.uuid")})
+    again, uuid = F.col("_again"), F.col("_uuid")
     # Of the report as it is written again: without white space, with its stamp in place of one that it has.
-    old = F.to_json(F.try_variant_get(parsed, "$.ts", "variant"))
-    size = utf16_units(F.to_json(parsed)) - F.when(F.get_json_object(value, "$.ts").isNotNull(), F.length(old) + len(',"ts":')).otherwise(0) + F.length(F.concat(F.lit(',"ts":'), stamped.cast("string")))
+    size = utf16_units(again) - F.when(F.col("_ts") != "null", F.length("_ts") + len(',"ts":')).otherwise(0) + F.length(F.concat(F.lit(',"ts":'), stamped.cast("string")))
     status = (
-        F.when(parsed.isNull(), "Not JSON")
-        .when(~kind.startswith("OBJECT"), F.when(kind.startswith("ARRAY"), "Invalid Record").otherwise("Not JSON Object"))
+        F.when(F.col("_parsed").isNull(), "Not JSON")
+        .when(~again.startswith("{"), F.when(again.startswith("["), "Invalid Record").otherwise("Not JSON Object"))
         .when(uuid.isNull(), "Invalid Record")
         .when(uuid.rlike(r"[^A-Za-z0-9\-]"), "Invalid UUID Format")
         .when(size > MAX_UNITS, "Payload too large")
         .otherwise("OK")
     )
-    out = uploads.withColumn("status", status).withColumn("ts", stamped.cast("long"))
-    return out.withColumn("uuid", F.when(F.col("status").isin("OK", "Payload too large"), uuid).otherwise(""))
+    out = out.withColumn("status", status).withColumn("ts", stamped.cast("long"))
+    return out.withColumn("uuid", F.when(F.col("status").isin("OK", "Payload too large"), uuid).otherwise("")).drop("_parsed", "_again", "_ts", "_uuid")
 
 
 def split(uploads: DataFrame, stamp: Column | int, value: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -232,3 +232,25 @@ def test_long_bodies_take_little_disk(spark, sf_dir, tmp_path, monkeypatch):
 
 def test_uploads_are_made_by_all_cores(spark, sf_dir):
     assert queries._uploads(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_body_is_parsed_and_written_once(spark):
+    plan = ingest.upload_status(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("get_json_object(") == 1 and plan.count("StructsToJsonEvaluator(") == 2, plan  # the report and its stamp
+
+
+def test_sizes_are_those_of_utf16(spark):
+    """At the bound, one below and one above it, for texts of one to four octets, with and without a stamp of their own."""
+    bodies, want = [], []
+    for letter, units in (("y", 1), ("é", 1), ("€", 1), ("😀", 2)):
+        for stamp in ({}, {"ts": 12345}):
+            doc = {"uuid": "a", **stamp, "x": ""}
+            rest = ingest.MAX_UNITS - len(json.dumps({"uuid": "a", "x": ""}, separators=(",", ":"))) - len(',"ts":7')
+            for over in (-1, 0, 1):
+                fill = letter * ((rest + over) // units) + "z" * ((rest + over) % units)
+                bodies.append(json.dumps(doc | {"x": fill}, ensure_ascii=False, indent=1))
+                want.append("Payload too large" if over > 0 else "OK")
+    bodies += ["null", " 5", "[ ]", '{"uuid": null}', '{"uuid": 5}', '{"uuid": "a", "uuid": "b"}', None]
+    want += ["Not JSON Object", "Not JSON Object", "Invalid Record", "Invalid Record", "OK", "Not JSON", "Not JSON"]
+    judged = ingest.upload_status(spark.createDataFrame(list(enumerate(bodies)), "i int, value string"), stamp=7)
+    assert [r["status"] for r in judged.orderBy("i").collect()] == want
