@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from fleetstats import queries
 from fleetstats.operators import catalog, heavy, history, registry, sketches
 from fleetstats.operators.registry import HISTORY_STATS, STATS, HistoryStat
 from fleetstats.plans import engine, publish, views
@@ -73,6 +74,15 @@ def test_error_of_sketches(spark, tmp_path):
     assert all(abs(got[p] - want[p]) <= 4 * 60_000 / 64 for p in want) and got != want
 
 
+def test_the_query_counts_any_number_of_devices(spark, tmp_path):
+    """40,000 devices, more than a sketch of the default size holds exactly, each with two reports in one month."""
+    pytest.importorskip("duckdb").connect().execute(f"""
+        COPY (SELECT i AS o_orderkey, i % 40000 AS o_custkey, TIMESTAMP '2001-06-01' + to_days(CAST(i % 7 AS INTEGER)) AS o_orderdate FROM range(80000) t(i)) TO '{tmp_path}/orders.parquet'""")
+    got = queries.approx_unique_by_month(spark, str(tmp_path))
+    assert got.where("population = 'all' AND month = 'Jun-2001'").first()["devices"] == 40_000
+    assert rows(got) == rows(queries.unique_by_month(spark, str(tmp_path)))
+
+
 def ranked(pairs, k):
     out = []
     for series in {s for s, _ in pairs if s is not None}:
