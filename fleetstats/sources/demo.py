@@ -61,9 +61,26 @@ DUCKDB_MS = "(epoch_us(o_orderdate) // 1000)"
 
 
 def flat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return flat(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def flat(orders: DataFrame) -> DataFrame:
+    """The flat reports of orders."""
+    orders = orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    return orders.sparkSession.sql(FLAT.replace("{EPOCH_MS}", SPARK_MS).replace("FROM orders", "FROM {orders}"), orders=orders)
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the report_id, uuid and ts of their reports, which say all that is needed to choose the latest; ``of_uploads`` makes the reports."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
-    return spark.sql(FLAT.replace("{EPOCH_MS}", SPARK_MS).replace("FROM orders", "FROM {orders}"), orders=orders)
+    ts = F.expr(SPARK_MS) + (F.col("o_orderkey") % 86400) * 1000
+    return orders.select(F.col("o_orderkey").alias("report_id"), F.concat(F.lit("dev-"), F.col("o_custkey").cast("string")).alias("uuid"), ts.alias("ts"), "*")
+
+
+def of_uploads(rows: DataFrame) -> DataFrame:
+    return nested(flat(rows))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +89,8 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest report of each device, chosen among flat ones before they are nested."""
-    return nested(latest_report(flat_reports(spark, sf_dir)))
+    """The latest report of each device, chosen before anything else of it is made."""
+    return of_uploads(latest_report(uploads(spark, sf_dir)))
 
 
 def nested(flat: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder among the shared ones, for the session."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"

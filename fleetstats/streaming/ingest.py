@@ -95,7 +95,7 @@ def stream_ingest(spark: SparkSession, landing: str, folder: str, checkpoint: st
         ingest_batch(batch, folder, number, stamp + number)
         if kept is not None:
             # The last batch is this one, also if it was stopped between the two commits.
-            update(_parsed(opened(spark, last_commit(spark, folder)[1]["last"])), kept, number)
+            update(opened(spark, last_commit(spark, folder)[1]["last"]), kept, number, parse=_parsed)
 
     return bodies.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

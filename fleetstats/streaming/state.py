@@ -11,15 +11,17 @@ grain can tell from the exact time. So a summary may be asked for at every full
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ages import DAY_MS, age_class, age_ms
 from ..operators.registry import STATS, Stat
 from ..plans import engine
-from ..sources.commits import clean, commit, described, grown, last_commit, new_path, opened
+from ..sources.commits import clean, commit, described, exists, grown, last_commit, new_path, opened
 from ..sources.landing import latest_report
-from ..sources.shared import stored
+from ..sources.shared import drop, stored, unsorted
 
 BUCKETS = 64
 GRAIN_MS = 3_600_000
@@ -46,19 +48,21 @@ def _summed(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*KEY).agg(F.sum("n").alias("n")).where("n != 0")
 
 
-def _changes(added: DataFrame, replaced: DataFrame, grain: int, chosen: list[Stat]) -> DataFrame:
-    """KEY and n: what ``added`` reports count, less what ``replaced`` ones do."""
-    signed = added.withColumn("sign", F.lit(1)).unionByName(replaced.withColumn("sign", F.lit(-1)))
-    signed = stored(signed.withColumn("is_docker", engine.is_docker()).withColumn("time", grain_time(F.col("ts"), grain)))
-    each = engine.counted(signed, [_DEVICES, *(s for s in chosen if not s.of_age)], ("is_docker", "time"), F.col("sign"), gated=False)
-    return _summed(each)
+def _changes(signed: DataFrame, grain: int, chosen: list[Stat]) -> DataFrame:
+    """KEY and n: what reports of ``sign`` 1 count, less what those of ``sign`` -1 do. Each family counts keys of its own, so none comes twice."""
+    signed = signed.withColumn("is_docker", engine.is_docker()).withColumn("time", grain_time(F.col("ts"), grain))
+    return engine.counted(signed, [_DEVICES, *(s for s in chosen if not s.of_age)], ("is_docker", "time"), F.col("sign"), gated=False).where("n != 0")
 
 
-def update(reports: DataFrame, folder: str, number: int, source: str = "stream", buckets: int = BUCKETS, grain: int = GRAIN_MS, chosen: list[Stat] | None = None) -> bool:
-    """Take in batch ``number`` of ``source``: parsed reports with uuid, ts and report_id. False if it was taken in before.
+def update(
+    reports: DataFrame, folder: str, number: int, source: str = "stream", buckets: int = BUCKETS, grain: int = GRAIN_MS, chosen: list[Stat] | None = None,
+    parse: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> bool:
+    """Take in batch ``number`` of ``source``: reports with uuid, ts and report_id. False if it was taken in before.
 
     Numbers of a source rise. Late reports change nothing; of equal times the larger report_id is later; equal reports are one. ``buckets``,
-    ``grain`` and the names of the statistics hold from the first batch on; see ``recount``.
+    ``grain`` and the names of the statistics hold from the first batch on; see ``recount``. ``parse`` makes parsed reports, with the same three columns, of rows like
+    ``reports``; only the latest of each device go through it.
     """
     spark = reports.sparkSession
     after, state = last_commit(spark, folder)
@@ -69,24 +73,31 @@ def update(reports: DataFrame, folder: str, number: int, source: str = "stream",
     counted = _names(stats)
     if state.get("stats", counted) != counted:
         raise ValueError("other statistics are kept; recount them first")
-    news = stored(latest_report(reports).withColumn("since", F.lit(after + 1).cast("long")).withColumn("bucket", bucket_of("uuid", buckets)))
-    touched = sorted(r[0] for r in news.select("bucket").distinct().collect())  # at most ``buckets`` numbers
-    current = state.get("current", {"schema": news.drop("bucket").schema.jsonValue(), "paths": {}})
+    latest = stored(latest_report(reports))
+    touched = sorted(r[0] for r in latest.select(bucket_of("uuid", buckets)).distinct().collect())  # at most ``buckets`` numbers
+    news = parse(latest).withColumn("since", F.lit(after + 1).cast("long"))
+    current = state.get("current", {"schema": news.schema.jsonValue(), "paths": {}})
     changes = state.get("changes")
     if touched:
         names = [str(b) for b in touched]
-        old = _reports(spark, current, names).withColumn("bucket", bucket_of("uuid", buckets))
-        order = Window.partitionBy("bucket", "uuid").orderBy(F.col("ts").desc_nulls_last(), F.col("report_id").desc_nulls_last(), "since")
-        both = old.unionByName(news).repartition(len(touched), "bucket")
-        path = new_path(folder)
-        both.withColumn("_last", F.row_number().over(order)).where("_last = 1").drop("_last").write.partitionBy("bucket").parquet(path)
-        current = {"schema": current["schema"], "paths": current["paths"] | {b: f"{path}/bucket={b}" for b in names}}
-        added = _reports(spark, current, names).where(F.col("since") == after + 1)
-        replaced = old.drop("bucket").join(added.select(F.col("uuid").alias("_device")), F.col("uuid").eqNullSafe(F.col("_device")), "left_semi")
-        changed = _changes(added, replaced, grain, stats)
+        # A task for each bucket, which lays the reports that stay beside those that news have taken the place of.
+        both = _reports(spark, current, names).unionByName(news).withColumn("bucket", bucket_of("uuid", buckets))
+        both = both.withColumn("_task", (F.array_position(F.lit(touched), F.col("bucket")) - 1).cast("int")).repartitionById(len(touched), "_task")
+        order = Window.partitionBy("_task", "uuid").orderBy(F.col("ts").desc_nulls_last(), F.col("report_id").desc_nulls_last(), "since")
+        both = both.withColumn("_place", F.row_number().over(order)).withColumn("_by", F.first("since").over(order))
+        kept = both.withColumn("replaced", F.col("_place") > 1).where((F.col("_place") == 1) | ((F.col("_by") == after + 1) & (F.col("since") <= after)))
         path = new_path(folder)
-        changed.write.parquet(path)
-        changes = grown(spark, folder, changes or described(changed.schema, []), path, _summed)
+        with unsorted(spark, 2):
+            kept.drop("_task", "_place", "_by").write.partitionBy("replaced", "bucket").parquet(path)
+        current = {"schema": current["schema"], "paths": current["paths"] | {b: f"{path}/replaced=false/bucket={b}" for b in names}}
+        signed = _reports(spark, current, names).where(F.col("since") == after + 1).withColumn("sign", F.lit(1))
+        if exists(spark, old := f"{path}/replaced=true"):
+            signed = signed.unionByName(_reports(spark, current | {"paths": {"": old}}, [""]).drop("bucket").withColumn("sign", F.lit(-1)))
+        changed = _changes(signed, grain, stats)
+        counts = new_path(folder)
+        changed.write.parquet(counts)
+        drop(spark, old)
+        changes = grown(spark, folder, changes or described(changed.schema, []), counts, _summed)
     content = {"sources": state.get("sources", {}) | {source: number}, "buckets": buckets, "grain": grain, "stats": counted, "current": current, "changes": changes, "touched": touched}
     commit(spark, folder, content, after)
     clean(spark, folder)
@@ -102,7 +113,7 @@ def recount(spark: SparkSession, folder: str, chosen: list[Stat] | None = None)
     """Count all latest reports anew, for statistics that are new or have changed."""
     after, state = last_commit(spark, folder)
     stats, reports = list(STATS.values()) if chosen is None else chosen, current_reports(spark, folder)
-    changed, path = _changes(reports, reports.where("false"), state["grain"], stats), new_path(folder)
+    changed, path = _changes(reports.withColumn("sign", F.lit(1)), state["grain"], stats), new_path(folder)
     changed.write.parquet(path)
     commit(spark, folder, state | {"stats": _names(stats), "changes": described(changed.schema, [path])}, after)
     clean(spark, folder)

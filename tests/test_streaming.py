@@ -254,3 +254,24 @@ def test_sizes_are_those_of_utf16(spark):
     want += ["Not JSON Object", "Not JSON Object", "Invalid Record", "Invalid Record", "OK", "Not JSON", "Not JSON"]
     judged = ingest.upload_status(spark.createDataFrame(list(enumerate(bodies)), "i int, value string"), stamp=7)
     assert [r["status"] for r in judged.orderBy("i").collect()] == want
+
+
+def test_only_latest_reports_are_parsed_and_replaced_ones_go(spark, tmp_path):
+    folder, few, passed = str(tmp_path), [STATS["Instances"], STATS["platform"]], []
+
+    def parse(raw):
+        passed.append(raw.count())
+        return raw.withColumn("r", parse_report(F.col("value"))).select("uuid", "ts", "report_id", *[f"r.{f}" for f in ingest.parse_fields() if f not in ("uuid", "ts")])
+
+    batches = [[(f"d{i % 3}", 1000 * i + n, i, json.dumps({"uuid": f"d{i % 3}", "systemInfo": {"platform": "xyz"[(i + n) % 3]}})) for i in range(30)] for n in range(2)]
+    for n, batch in enumerate(batches):
+        state.update(spark.createDataFrame(batch, "uuid string, ts long, report_id long, value string"), folder, n, chosen=few, parse=parse)
+    assert passed == [3, 3] and not list(tmp_path.rglob("replaced=true"))
+    everything = spark.createDataFrame(batches[0] + batches[1], "uuid string, ts long, report_id long, value string")
+    assert rows(state.summary(spark, folder, HOUR, few)) == rows(engine.summary(engine.snapshot(parse(everything), HOUR), few))
+
+
+def test_demo_uploads_are_the_reports(spark, sf_dir):
+    kept = demo.uploads(spark, sf_dir)
+    assert rows(kept.select("report_id", "uuid", "ts")) == rows(demo.flat_reports(spark, sf_dir).select("report_id", "uuid", "ts"))
+    assert demo.of_uploads(kept).schema == demo.reports(spark, sf_dir).schema
